@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,7 +81,7 @@ def text_chunks(batch: pa.RecordBatch, column: int = 1, limit: int = CHUNK_BYTES
     n = batch.num_rows
     if not n:
         return
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     group = np.cumsum(sizes) // limit
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), n]
     for a, b in zip(cuts, cuts[1:]):
@@ -97,7 +98,7 @@ def byte_buffer(batch: pa.RecordBatch, column: int = 1) -> tuple[np.ndarray, np.
     are empty)."""
     arr = batch.column(column)
     if arr.null_count:
-        arr = pa.compute.fill_null(arr, b"" if pa.types.is_binary(arr.type) or pa.types.is_large_binary(arr.type) else "")
+        arr = pc.fill_null(arr, b"" if pa.types.is_binary(arr.type) or pa.types.is_large_binary(arr.type) else "")
     wide = pa.types.is_large_string(arr.type) or pa.types.is_large_binary(arr.type)
     offsets = np.frombuffer(arr.buffers()[1], dtype=np.int64 if wide else np.int32)[arr.offset : arr.offset + len(arr) + 1].astype(np.int64)
     data = arr.buffers()[2]

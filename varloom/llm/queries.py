@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varloom.llm import bpe
+from varloom.llm import bpe, secret_scan
 from varloom.llm.common import documents
 
 DIGESTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,8 @@ def vocabulary() -> str:
 @_register
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), vocabulary(), with_ids=False)
+
+
+@_register
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(documents(spark, sf_dir))
