@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varloom.llm import bpe, license_scan, pii, quality, secret_scan
+from varloom.llm import bpe, license_scan, pii, quality, secret_scan, simhash
 from varloom.llm.common import documents
 
 DIGESTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@_register
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(documents(spark, sf_dir))
