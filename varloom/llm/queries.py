@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varloom.llm import bpe, license_scan, pii, quality, secret_scan, simhash
+from varloom.llm import bpe, license_scan, mixture, pii, quality, secret_scan, simhash
 from varloom.llm.common import documents
 
 DIGESTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(documents(spark, sf_dir))
+
+
+@_register
+def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(documents(spark, sf_dir))
