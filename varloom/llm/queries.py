@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from varloom.llm import bpe, license_scan, mixture, pii, quality, secret_scan, simhash
-from varloom.llm.common import documents
+from varloom.llm import bpe, license_scan, mixture, pii, quality, secret_scan, simhash, topk
+from varloom.llm.common import documents, embeddings
 
 DIGESTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -57,3 +58,26 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(documents(spark, sf_dir))
+
+
+@_register
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = embeddings(spark, sf_dir)
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+ORACLE_SQL["op8_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
