@@ -35,6 +35,8 @@ QUERY_BLOCK = 512
 STEP = 4096
 SHARD = 8192
 DIMS = 16
+#: Below every score; its negative can be held too.
+NOTHING = -(1 << 62)
 
 
 def scaled(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -51,7 +53,7 @@ class Best:
 
     def __init__(self, queries: int, k: int):
         self.k = k
-        self.score = np.full((queries, k), np.iinfo(np.int64).min)
+        self.score = np.full((queries, k), NOTHING)
         self.id = np.full((queries, k), np.iinfo(np.int64).max)
 
     def add(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
@@ -82,7 +84,7 @@ def search(best: Best, q_ids: np.ndarray, q: np.ndarray, q_rest: np.ndarray, ids
         while True:
             slack = q_rest[block, j] * c_rest[block, cols]
             upper, lower = partial + slack, partial - slack
-            floor = float(kth) if kth > np.iinfo(np.int64).min else -np.inf
+            floor = float(kth) if kth > NOTHING else -np.inf
             if len(cols) > best.k:
                 floor = max(floor, np.partition(lower, -best.k)[-best.k])
             stay = upper >= floor - 1e-6 - 1e-12 * abs(floor)
