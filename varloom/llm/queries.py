@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import bpe, embedding_dups, license_scan, mixture, pii, quality, secret_scan, simhash, topk
+from varloom.llm import bpe, embedding_dups, license_scan, mixture, pii, quality, secret_scan, simhash, substring_dups, topk
 from varloom.llm.common import documents, embeddings
 
 DIGESTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,8 @@ n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
 SELECT c.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
 FROM c LEFT JOIN n ON c.vec_id = n.vec_id
 """
+
+
+@_register
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dups.digest(documents(spark, sf_dir))
