@@ -147,3 +147,16 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     out = laid.join(taken, (F.col("sid") == F.col("ts")) & (F.col("chunk") == F.col("tc")) & (F.col("place") == F.col("tp")), "left")
     out = out.join(lengths, F.col("sid") == F.col("s"))
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def repeat(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", s: Settings = Settings()) -> DataFrame:
+    """The mix as rows: each row of ``df``, with all its columns, as many times as its
+    words are taken (to the nearest whole number, so at most the one document that a
+    source's cut falls in differs from ``taken``)."""
+    scratch = Scratch(df.sparkSession, "repeat")
+    marked = scratch.table(df.select("*", F.monotonically_increasing_id().alias("__row")), "rows")
+    taken = mix(marked, "__row", text_col, source_col, s)
+    times = F.round(F.col("taken") / F.col("size")).cast("int")
+    copies = scratch.table(taken.where("size > 0").select(F.col("__row").alias("__of"), times.alias("__times")).where("__times > 0"), "copies")
+    rows = marked.join(copies, F.col("__row") == F.col("__of"))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*df.columns)

@@ -189,8 +189,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     without an id stay only where no linked one has an id.  All columns stay."""
     spark = df.sparkSession
     scratch = Scratch(spark, "keep")
-    source = df.select("*", F.monotonically_increasing_id().alias("__row"))
-    marked = scratch.table(source, "rows")
+    marked = scratch.table(df.select("*", F.monotonically_increasing_id().alias("__row")), "rows")
     groups = cluster(marked, "__row", text_col, words_each, radius)
     ids = marked.select("__row", F.col(id_col).alias("__id"))
     w = ids.join(groups, "__row").groupBy("component").agg(F.min(F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__row"))).alias("best"))
