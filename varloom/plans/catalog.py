@@ -1,4 +1,16 @@
-"""All registered queries and the SQL that states their results."""
+"""All registered queries over the derived genotype tables, and the SQL that states
+their results."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from varloom.plans import calls, coordinates, merging, pairs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+for module in (calls, coordinates, merging, pairs):
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL
