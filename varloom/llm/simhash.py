@@ -41,25 +41,34 @@ BLOCKS = 6
 FRONTIER = 1 << 20
 
 
-def fingerprint(text: str, words_each: int) -> int:
-    from xxhash import xxh64_intdigest
+def shingle_hashes(text: str, words_each: int) -> tuple[np.ndarray, bytes]:
+    """Hashes of a text's shingles, repeats included, and a 128-bit name of its words."""
+    from xxhash import xxh64_intdigest, xxh128_digest
 
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
-    n = len(words) - words_each + 1
+    joined = b" ".join(words)
     if not words:
-        return 0
+        return np.zeros(0, np.uint64), xxh128_digest(joined)
+    n = len(words) - words_each + 1
     if n < 1:
-        return xxh64_intdigest(b" ".join(words), SEED)
-    joined = b" ".join(words)
+        return np.array([xxh64_intdigest(joined, SEED)], np.uint64), xxh128_digest(joined)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1][:n].tolist()
     stops = ends[words_each - 1 :].tolist()
-    hashes = np.fromiter(map(xxh64_intdigest, [joined[a:b] for a, b in zip(starts, stops)], repeat(SEED)), np.uint64, n)
+    return np.fromiter(map(xxh64_intdigest, [joined[a:b] for a, b in zip(starts, stops)], repeat(SEED)), np.uint64, n), xxh128_digest(joined)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; no hashes give zero."""
     ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, n, 1 << 15):
+    for i in range(0, len(hashes), 1 << 15):
         part = hashes[i : i + (1 << 15)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str, words_each: int) -> int:
+    return majority(shingle_hashes(text, words_each)[0])
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3) -> DataFrame:
@@ -82,11 +91,10 @@ def block_masks(radius: int = RADIUS) -> list[int]:
     return [sum(c) for c in combinations(blocks, BLOCKS - radius)]
 
 
-def near_in_groups(group: np.ndarray, x: np.ndarray, radius: int) -> np.ndarray:
-    """Labels of components within each group (sorted, values distinct within):
-    the BK-trees of all groups are built and searched at once."""
+def search(group: np.ndarray, x: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Queries, nodes and distances of all pairs within the radius in each group (rows
+    sorted by group).  The BK-trees of all groups are built and searched at once."""
     n = len(x)
-    union = Union(n)
     first = np.r_[True, group[1:] != group[:-1]]
     root = np.flatnonzero(first)[np.cumsum(first) - 1]
     rest, at = np.flatnonzero(~first), root[~first]
@@ -101,7 +109,7 @@ def near_in_groups(group: np.ndarray, x: np.ndarray, radius: int) -> np.ndarray:
         later[where] = False
         rest, at = rest[later], child[back][later]
     if not keys:
-        return union.label
+        return
     key, kid = np.concatenate(keys), np.concatenate(kids)
     order = np.argsort(key)
     key, kid = key[order], kid[order]
@@ -117,7 +125,7 @@ def near_in_groups(group: np.ndarray, x: np.ndarray, radius: int) -> np.ndarray:
             continue
         d = np.bitwise_count(x[q] ^ x[node]).astype(np.int64)
         hit = (d <= radius) & (q != node)
-        union.link(q[hit], node[hit])
+        yield q[hit], node[hit], d[hit]
         low = np.searchsorted(key, node * 65 + np.maximum(d - radius, 0), side="left")
         high = np.searchsorted(key, node * 65 + np.minimum(d + radius, 64), side="right")
         count = high - low
@@ -125,9 +133,41 @@ def near_in_groups(group: np.ndarray, x: np.ndarray, radius: int) -> np.ndarray:
         if total:
             start = np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count)
             stack.append((np.repeat(q, count), kid[start + np.arange(total)]))
+
+
+def near_in_groups(group: np.ndarray, x: np.ndarray, radius: int) -> np.ndarray:
+    """Labels of components within each group."""
+    union = Union(len(x))
+    for q, node, _ in search(group, x, radius):
+        union.link(q, node)
     return union.label
 
 
+def in_shards(batches: Iterator[pa.RecordBatch], solve) -> Iterator[pa.RecordBatch]:
+    """``solve`` over whole shards, many at a time, of rows sorted by their first
+    column; shards of one row are left out."""
+
+    def whole(columns: list[np.ndarray]) -> pa.RecordBatch:
+        shard = columns[0]
+        same = shard[1:] == shard[:-1]
+        kept = np.r_[same, False] | np.r_[False, same]
+        return solve(*(c[kept] for c in columns))
+
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for b in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+        size += b.num_rows
+        if size > 1 << 18:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            cut = int(np.searchsorted(columns[0], columns[0][-1], side="left"))  # the last shard may go on
+            if cut:
+                yield whole([c[:cut] for c in columns])
+            held, size = [[c[cut:] for c in columns]], len(columns[0]) - cut
+    if size:
+        yield whole([np.concatenate(c) for c in zip(*held)])
+
+
 def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges ``a``, ``b`` between near fingerprints, enough to connect all that are
     connected.  ``points``: distinct ``fp``."""
@@ -136,30 +176,13 @@ def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     keyed = keyed.select(F.xxhash64("mask", "bits").alias("shard"), "fp")
 
     def solve(shard: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        counts = np.r_[shard[1:] == shard[:-1], False] | np.r_[False, shard[1:] == shard[:-1]]
-        shard, fp = shard[counts], fp[counts]
         label = near_in_groups(shard, fp.view(np.uint64), radius) if len(fp) else np.zeros(0, np.int64)
         moved = label != np.arange(len(fp))
-        a, b = fp[moved], fp[label[moved]]
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-        for b in batches:
-            held.append((b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)))
-            size += b.num_rows
-            if size > 1 << 18:
-                shard, fp = (np.concatenate(c) for c in zip(*held))
-                cut = int(np.searchsorted(shard, shard[-1], side="left"))  # the last shard may go on
-                if cut:
-                    yield solve(shard[:cut], fp[:cut])
-                held, size = [(shard[cut:], fp[cut:])], len(shard) - cut
-        if size:
-            yield solve(*(np.concatenate(c) for c in zip(*held)))
+        return pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[label[moved]])], names=["a", "b"])
 
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(n, "shard").sortWithinPartitions("shard", "fp").mapInArrow(run, "a long, b long").distinct()
+    dealt = keyed.repartition(n, "shard").sortWithinPartitions("shard", "fp")
+    return dealt.mapInArrow(lambda batches: in_shards(batches, solve), "a long, b long").distinct()
 
 
 def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3, radius: int = RADIUS) -> DataFrame:
@@ -184,14 +207,134 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return cluster(df, id_col, text_col).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, radius: int = RADIUS) -> DataFrame:
-    """One row of each component: that of smallest id (ties: one of them); rows
-    without an id stay only where no linked one has an id.  All columns stay."""
-    spark = df.sparkSession
-    scratch = Scratch(spark, "keep")
+# --- near copies by similarity -------------------------------------------------
+
+#: Minima of a text's shingles, and how many of them make a shard's key.
+MINIMA, EACH = 64, 4
+#: Smallest shingle hashes kept of a text, by which two texts are compared.
+SKETCH = 256
+#: Fingerprint bits that texts of similarity 0.8 may differ in: about nine are
+#: expected of 64, and the spread is three.
+LOOSE_RADIUS = 18
+#: Half the error of a similarity read off two full sketches.
+SKETCH_MARGIN = 0.0125
+
+
+def minima_keys(distinct: np.ndarray) -> np.ndarray:
+    """Keys of the shards that a text's shingle set belongs to: texts of similarity 0.8
+    share one of them almost surely.  One permutation is cut into ``MINIMA`` bins; an
+    empty bin borrows from the next full one."""
+    if not len(distinct):
+        return np.zeros(0, np.int64)
+    mixed = distinct * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(31)
+    bins = (mixed & np.uint64(MINIMA - 1)).astype(np.int64)
+    low = np.full(MINIMA, np.iinfo(np.uint64).max)
+    np.minimum.at(low, bins, mixed)
+    full = np.flatnonzero(low != np.iinfo(np.uint64).max)
+    take = full[np.searchsorted(full, np.arange(MINIMA)) % len(full)]
+    gap = (take - np.arange(MINIMA)) % MINIMA
+    low = low[take] + gap.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    key = np.zeros(MINIMA // EACH, np.uint64)
+    for column in low.reshape(-1, EACH).T:
+        key = (key ^ column) * np.uint64(0xBF58476D1CE4E5B9)
+        key ^= key >> np.uint64(29)
+    return ((key >> np.uint64(6) << np.uint64(6)) | np.arange(MINIMA // EACH, dtype=np.uint64)).view(np.int64)
+
+
+def similarity_of(a: np.ndarray, b: np.ndarray) -> tuple[float, bool]:
+    """Shared part of two sketched shingle sets, and whether it is exact."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b)), True
+    if len(a) < SKETCH and len(b) < SKETCH:
+        shared = len(np.intersect1d(a, b, assume_unique=True))
+        return shared / (len(a) + len(b) - shared), True
+    both = np.union1d(a, b)[:SKETCH]
+    return float((np.isin(both, a) & np.isin(both, b)).sum()) / len(both), False
+
+
+def signatures(df: DataFrame, row_col: str, id_col: str, text_col: str, words_each: int) -> DataFrame:
+    """``row``, ``id``, ``copy`` (a name of the words), ``fp``, ``keys`` and ``sketch``."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in text_chunks(whole, 2):
+                fps, copies, keys, sketches = [], [], [], []
+                for text in texts(b, 2):
+                    h, name = shingle_hashes(text, words_each)
+                    distinct = np.unique(h)
+                    fps.append(majority(h))
+                    copies.append(name)
+                    keys.append(minima_keys(distinct))
+                    sketches.append(np.unique((distinct[:SKETCH] >> np.uint64(32)).astype("<u4")).tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(1), pa.array(copies, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                    names=["row", "id", "copy", "fp", "keys", "sketch"],
+                )
+
+    return df.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"row long, id {kind}, copy binary, fp long, keys array<long>, sketch binary")
+
+
+def candidates(points: DataFrame, radius: int) -> DataFrame:
+    """Pairs ``a`` > ``b`` of rows to compare: within each shard's BK-tree each row's
+    first and nearest earlier neighbour in the radius.  ``points``: ``row``, ``fp``, ``keys``."""
+
+    def solve(shard: np.ndarray, row: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        none = np.iinfo(np.int64).max
+        first, nearest = np.full(len(row), none), np.full(len(row), none)
+        for q, node, d in search(shard, fp.view(np.uint64), radius) if len(row) else ():
+            q, node, d = (c[node < q] for c in (q, node, d))
+            np.minimum.at(first, q, node)
+            np.minimum.at(nearest, q, (d << 40) | node)
+        nearest = np.where(nearest == none, none, nearest & ((1 << 40) - 1))
+        a = np.r_[np.flatnonzero(first != none), np.flatnonzero((nearest != none) & (nearest != first))]
+        b = np.r_[first[first != none], nearest[(nearest != none) & (nearest != first)]].astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(row[a]), pa.array(row[b])], names=["a", "b"])
+
+    keyed = points.select(F.explode("keys").alias("shard"), "row", "fp")
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keyed.repartition(n, "shard").sortWithinPartitions("shard", "row")
+    return dealt.mapInArrow(lambda batches: in_shards(batches, solve), "a long, b long").distinct()
+
+
+def alike(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets reach the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                found, exact = similarity_of(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"))
+                keep.append(found >= similarity - (0 if exact else SKETCH_MARGIN) - 1e-12)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = sketches.select(F.col("row").alias("a"), F.col("sketch").alias("sa"))
+    two = sketches.select(F.col("row").alias("b"), F.col("sketch").alias("sb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, similarity: float = 0.8, radius: int = LOOSE_RADIUS) -> DataFrame:
+    """One row of each group of near copies, that of smallest id (rows without an id
+    come last; ties: one of them).  All columns stay.
+
+    Near copies are texts whose sets of word shingles are alike by ``similarity`` at
+    least; a radius of a few bits finds only the closest of them, and one that finds
+    all does not let blocks of bits choose the shards.  So shards are chosen by minima
+    of the shingles, a BK-tree over the fingerprints of each proposes pairs within a
+    loose radius, and sketches of the shingle sets decide.  Texts of equal words are
+    one point.
+    """
+    scratch = Scratch(df.sparkSession, "keep")
     marked = scratch.table(df.select("*", F.monotonically_increasing_id().alias("__row")), "rows")
-    groups = cluster(marked, "__row", text_col, words_each, radius)
-    ids = marked.select("__row", F.col(id_col).alias("__id"))
-    w = ids.join(groups, "__row").groupBy("component").agg(F.min(F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__row"))).alias("best"))
-    chosen = scratch.table(w.select(F.col("best.__row").alias("__row")), "chosen")
-    return marked.join(chosen, "__row", "left_semi").drop("__row")
+    signed = scratch.table(signatures(marked, "__row", id_col, text_col, words_each), "signatures")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
+    copies = scratch.table(signed.groupBy("copy").agg(F.min("row").alias("rep"), best), "copies")
+    reps = copies.select(F.col("rep").alias("row"))
+    points = signed.select("row", "fp", "keys").join(reps, "row", "left_semi")
+    pairs = scratch.table(candidates(points, radius), "pairs")
+    edges = scratch.table(alike(pairs, signed.select("row", "sketch"), similarity), "edges")
+    nodes = connected_components(scratch, edges)
+    rooted = copies.join(nodes, copies.rep == nodes.node, "left").select(F.coalesce("root", "rep").alias("root"), "best")
+    chosen = scratch.table(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row")), "chosen")
+    return marked.join(chosen, "__row", "left_semi").select(*df.columns)
