@@ -63,13 +63,16 @@ def merge(a: DataFrame, b: DataFrame, how: str = "intersection") -> DataFrame:
     sites = reconciled(a, b, match(a, b, how))
     parts = []
     for n, t in ((1, a), (2, b)):
-        sids = t.agg(F.array_sort(F.collect_set("sid")).alias("_sids"))  # one row, as wide as the table
-        grid = sites.join(F.broadcast(sids), F.lit(True)).withColumn("sid", F.explode("_sids"))
-        cells = t.select(F.col("vid").alias(f"vid{n}"), "sid", "a0", "a1")
-        joined = grid.join(cells, [f"vid{n}", "sid"], "left")
+        key = f"vid{n}"
+        cells = t.select(F.col("vid").alias(key), "sid", "a0", "a1")
         moved = {c: alleles.rebase(F.col(f"old{n}"), F.col("new"), F.col(c)) for c in ("a0", "a1")}
-        parts.append(joined.select(F.coalesce("vid1", "vid2").alias("vid"), "cidx", *KEY, "ploidy", F.col("new")[0].alias("ref"), alleles.alt_text(F.slice("new", 2, 15)).alias("alt"), "sid", moved["a0"].alias("a0"), moved["a1"].alias("a1")))
-    return parts[0].unionByName(parts[1])
+        held = sites.where(F.col(key).isNotNull()).join(cells, key).withColumns(moved)
+        # Only sites that the side lacks are filled; a table has all its subjects at each site.
+        sids = t.agg(F.array_sort(F.collect_set("sid")).alias("_sids"))  # one row, as wide as the table
+        lacking = sites.where(F.col(key).isNull()).join(F.broadcast(sids), F.lit(True)).withColumn("sid", F.explode("_sids")).withColumns({c: F.lit(None).cast("int") for c in ("a0", "a1")})
+        for part in (held, lacking):
+            parts.append(part.select(F.coalesce("vid1", "vid2").alias("vid"), "cidx", *KEY, "ploidy", F.col("new")[0].alias("ref"), alleles.alt_text(F.slice("new", 2, 15)).alias("alt"), "sid", "a0", "a1"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def merge_all(tables: list[tuple[DataFrame, int]], how: str = "intersection", largest_first: bool = False) -> DataFrame:

@@ -80,14 +80,19 @@ def join_multiallelic(calls: DataFrame, phased: bool = True, most: int = 15) ->
     sites = used(calls).withColumn("_o", order)
     names = F.transform("used", lambda i: F.get(alleles.listed(F.col("ref"), F.col("alt")), i))
     per = sites.withColumn("_names", names).groupBy(*coordinate).agg(F.array_sort(F.collect_list(F.struct("_o", "ref", "_names"))).alias("_sites"))
-    merged = per.select(*coordinate, F.array_distinct(F.concat(F.array(F.col("_sites")[0]["ref"]), F.flatten(F.transform("_sites", lambda s: s["_names"])))).alias("_new"), F.col("_sites")[0]["_o"]["vid"].alias("_vid"))
+    merged = per.select(*coordinate, (F.size("_sites") == 1).alias("_alone"), F.array_distinct(F.concat(F.array(F.col("_sites")[0]["ref"]), F.flatten(F.transform("_sites", lambda s: s["_names"])))).alias("_new"), F.col("_sites")[0]["_o"]["vid"].alias("_vid"))
     too_many = F.when(F.size("_new") > most, F.raise_error(F.lit("more alleles than a site may have"))).otherwise(F.lit(True))
     merged = merged.where(too_many)
     left = calls.withColumn("_o", order)
     joined = left.join(merged, coordinate)
     old = alleles.listed(F.col("ref"), F.col("alt"))
     cell = F.struct("_o", *(alleles.rebase(old, F.col("_new"), F.col(c)).alias(c) for c in ("a0", "a1")))
-    folded = joined.groupBy(*coordinate, "_vid", "_new", "sid").agg(F.array_sort(F.collect_list(F.when(F.col("a0").isNotNull(), cell))).alias("_cells"))
+    # Most coordinates have one site, and its cells need no gathering.
+    cells = F.array_compact(F.array(F.when(F.col("a0").isNotNull(), cell)))
+    columns = [*coordinate, "_vid", "_new", "sid"]
+    alone = joined.where("_alone").select(*columns, cells.alias("_cells"))
+    shared = joined.where("NOT _alone").groupBy(*columns).agg(F.array_sort(F.collect_list(F.when(F.col("a0").isNotNull(), cell))).alias("_cells"))
+    folded = alone.unionByName(shared)
     if phased:
         a0, a1 = _fold(F.col("_cells"), "a0"), _fold(F.col("_cells"), "a1")
     else:
