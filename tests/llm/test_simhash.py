@@ -144,3 +144,18 @@ def test_keep_one_of_planted_copies(spark, sf):
 def test_empty(spark):
     assert simhash.digest(empty(spark)).collect() == []
     assert simhash.keep_one(empty(spark)).collect() == []
+
+
+def test_crowded_shards(spark, monkeypatch):
+    """A large group of near copies, cut into chunks, is still one group."""
+    monkeypatch.setattr(simhash, "CROWD", 32)
+    rng = np.random.default_rng(8)
+    words = [f"w{rng.integers(900)}" for _ in range(400)]
+    docs = []
+    for k in range(300):
+        copy = list(words)
+        copy[int(rng.integers(400))] = f"x{k}"
+        docs.append((k, " ".join(copy)))
+    docs += [(1000 + k, " ".join(f"y{rng.integers(10**6)}" for _ in range(50))) for k in range(40)]
+    kept = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert kept == [0, *range(1000, 1040)]

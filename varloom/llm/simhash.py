@@ -216,6 +216,8 @@ SKETCH = 256
 #: Fingerprint bits that texts of similarity 0.8 may differ in: about nine are
 #: expected of 64, and the spread is three.
 LOOSE_RADIUS = 18
+#: Rows of a shard whose tree one task searches.
+CROWD = 2048
 #: Half the error of a similarity read off two full sketches.
 SKETCH_MARGIN = 0.0125
 
@@ -276,9 +278,14 @@ def signatures(df: DataFrame, row_col: str, id_col: str, text_col: str, words_ea
     return df.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"row long, id {kind}, copy binary, fp long, keys array<long>, sketch binary")
 
 
-def candidates(points: DataFrame, radius: int) -> DataFrame:
+def candidates(scratch: Scratch, points: DataFrame, radius: int) -> DataFrame:
     """Pairs ``a`` > ``b`` of rows to compare: within each shard's BK-tree each row's
-    first and nearest earlier neighbour in the radius.  ``points``: ``row``, ``fp``, ``keys``."""
+    first and nearest earlier neighbour in the radius.  ``points``: ``row``, ``fp``, ``keys``.
+
+    A shard of more than ``CROWD`` rows, such as a large group of near copies, is cut into
+    chunks at random, differently for each of the up to sixteen shards that near copies
+    share, and the first rows of its chunks meet in a shard of their own; so its work grows
+    with its rows and no task holds it whole."""
 
     def solve(shard: np.ndarray, row: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         none = np.iinfo(np.int64).max
@@ -292,9 +299,14 @@ def candidates(points: DataFrame, radius: int) -> DataFrame:
         b = np.r_[first[first != none], nearest[(nearest != none) & (nearest != first)]].astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(row[a]), pa.array(row[b])], names=["a", "b"])
 
-    keyed = points.select(F.explode("keys").alias("shard"), "row", "fp")
+    keyed = scratch.table(points.select(F.explode("keys").alias("shard"), "row", "fp"), "keyed")
+    crowded = keyed.groupBy("shard").agg(F.count("*").alias("rows")).where(F.col("rows") > CROWD)
+    crowded = scratch.table(crowded.select(F.col("shard").alias("of"), F.ceil(F.col("rows") / CROWD).cast("int").alias("chunks")), "crowded")
+    cut = keyed.join(crowded, keyed.shard == crowded.of, "left").withColumn("chunk", F.pmod(F.xxhash64("row", "shard"), F.coalesce("chunks", F.lit(1))))
+    leaders = cut.where("chunks IS NOT NULL").groupBy("shard", "chunk").agg(F.min(F.struct("row", "fp")).alias("l"))
+    parts = cut.select(F.xxhash64("shard", "chunk").alias("shard"), "row", "fp").unionByName(leaders.select(F.xxhash64("shard", F.lit(-1)).alias("shard"), "l.row", "l.fp"))
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartition(n, "shard").sortWithinPartitions("shard", "row")
+    dealt = parts.repartition(n, "shard").sortWithinPartitions("shard", "row")
     return dealt.mapInArrow(lambda batches: in_shards(batches, solve), "a long, b long").distinct()
 
 
@@ -332,7 +344,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     copies = scratch.table(signed.groupBy("copy").agg(F.min("row").alias("rep"), best), "copies")
     reps = copies.select(F.col("rep").alias("row"))
     points = signed.select("row", "fp", "keys").join(reps, "row", "left_semi")
-    pairs = scratch.table(candidates(points, radius), "pairs")
+    pairs = scratch.table(candidates(scratch, points, radius), "pairs")
     edges = scratch.table(alike(pairs, signed.select("row", "sketch"), similarity), "edges")
     nodes = connected_components(scratch, edges)
     rooted = copies.join(nodes, copies.rep == nodes.node, "left").select(F.coalesce("root", "rep").alias("root"), "best")
