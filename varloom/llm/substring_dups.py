@@ -42,8 +42,11 @@ WINDOW = LENGTH - GRAM + 1  # grams of a window
 BACK, AHEAD = LENGTH - GRAM, LENGTH  # a context's reach before and after its anchor
 NO_ID = np.iinfo(np.int64).max
 U = np.uint64
-#: Records that a task gathers before it packs them.
+#: Records that a task gathers before it packs them, bytes of text that are hashed at a
+#: time, and rows of the byte matrices that are named at a time; these bound memory.
 GATHER = 1 << 20
+TEXT_BYTES = 1 << 20
+ROWS = 1 << 13
 #: Parts by which records and documents are dealt, for each shuffle partition.
 PARTS_EACH = 4
 
@@ -207,7 +210,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Gather(2, lambda a: by_range(a[0], parts))
         for whole in batches:
-            for b in text_chunks(whole):
+            for b in text_chunks(whole, limit=TEXT_BYTES):
                 data, offsets = byte_buffer(b)
                 ok, at, h = anchors(data, offsets)
                 found = first_of_runs(ok, at)
@@ -241,7 +244,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def chunks(docs: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Buffers of documents: ids, bytes, offsets and text marks."""
         for whole in docs.select(["id", "raw"]).combine_chunks().to_batches():
-            for b in text_chunks(whole):
+            for b in text_chunks(whole, limit=TEXT_BYTES):
                 data, offsets = byte_buffer(b)
                 yield _ids(b.column(0)), data, offsets, text_marks(data, offsets)
 
@@ -257,8 +260,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             asked = mixed(h[found] ^ ids[doc].view(np.uint64) * U(0x9E3779B97F4A7C15))
             hit = known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked if len(known) else np.zeros(len(asked), bool)
             found, doc = found[hit], doc[hit]
-            for i in range(0, len(found), 1 << 15):
-                a, d = found[i : i + (1 << 15)], doc[i : i + (1 << 15)]
+            for i in range(0, len(found), ROWS):
+                a, d = found[i : i + ROWS], doc[i : i + ROWS]
                 where = a[:, None] + np.arange(-BACK, AHEAD)
                 inside = (where >= offsets[d][:, None]) & (where < offsets[d + 1][:, None])
                 rows = np.where(inside, data[np.clip(where, 0, len(data) - 1)], 0).astype(np.uint8)
@@ -304,8 +307,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     rim[found[0][found[1] == 2].astype(np.int64) + offsets[i]] = True
             start = np.flatnonzero(ok & rim[at]) if len(at) else at
             doc = np.searchsorted(offsets, start, side="right") - 1
-            for i in range(0, len(start), 1 << 15):
-                q, d = start[i : i + (1 << 15)], doc[i : i + (1 << 15)]
+            for i in range(0, len(start), ROWS):
+                q, d = start[i : i + ROWS], doc[i : i + ROWS]
                 rows = data[q[:, None] + np.arange(LENGTH)]
                 out.add(names_of(rows, 21), names_of(rows, 31), ids[d], marks[d], (q - offsets[d]).astype(np.uint32))
         return pa.Table.from_batches([out.take()])
