@@ -15,7 +15,7 @@ a sixteenth of the positions.
    can hold.  Where a smaller document has gram and context, every window of the
    anchor is repeated.
 3. Where it has the gram only, the anchor stands at the rim of a passage: its windows
-   themselves are named (128 bits), sorted, and compared.
+   themselves are named (96 bits), sorted, and compared.
 
 Each round returns only places.  Records travel packed by part, one row for many.
 
@@ -143,12 +143,20 @@ def by_document(ids: np.ndarray, parts: int) -> np.ndarray:
     return (mixed(ids.astype(np.int64).view(np.uint64) * U(0x9E3779B97F4A7C15)) >> U(32)) * U(parts) >> U(32)
 
 
-def text_marks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 32-bit mark of each text, which tells rows of equal ids apart."""
-    from xxhash import xxh32_intdigest
+def text_marks(ids: np.ndarray, raw: pa.Array) -> np.ndarray:
+    """Tells documents of equal ids apart: 0, but for ids with several texts the place of
+    the text's hash among them.  All rows of an id lie in one part, so this is the same
+    in every round, and it takes next to nothing in a packed record."""
+    from xxhash import xxh64_intdigest
 
-    raw = data.tobytes()
-    return np.array([xxh32_intdigest(raw[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())], dtype=np.uint32)
+    marks = np.zeros(len(ids), dtype=np.uint32)
+    unique, back, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    for i in np.flatnonzero(counts > 1):
+        rows = np.flatnonzero(back == i)
+        hashes = [xxh64_intdigest(raw[int(r)].as_py() or b"") for r in rows]
+        order = {h: k for k, h in enumerate(sorted(set(hashes)))}
+        marks[rows] = [order[h] for h in hashes]
+    return marks
 
 
 DOCS = "part int, id long, raw binary"
@@ -244,9 +252,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def chunks(docs: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Buffers of documents: ids, bytes, offsets and text marks."""
         for whole in docs.select(["id", "raw"]).combine_chunks().to_batches():
+            marks, done = text_marks(_ids(whole.column(0)), whole.column(1)), 0
             for b in text_chunks(whole, limit=TEXT_BYTES):
                 data, offsets = byte_buffer(b)
-                yield _ids(b.column(0)), data, offsets, text_marks(data, offsets)
+                yield _ids(b.column(0)), data, offsets, marks[done : done + b.num_rows]
+                done += b.num_rows
 
     def second(docs: pa.Table, told: pa.Table) -> pa.Table:
         """Contexts of the anchors whose gram is shared."""
@@ -310,12 +320,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for i in range(0, len(start), ROWS):
                 q, d = start[i : i + ROWS], doc[i : i + ROWS]
                 rows = data[q[:, None] + np.arange(LENGTH)]
-                out.add(names_of(rows, 21), names_of(rows, 31), ids[d], marks[d], (q - offsets[d]).astype(np.uint32))
+                out.add(names_of(rows, 21), (names_of(rows, 31) >> U(32)).astype(np.uint32), ids[d], marks[d], (q - offsets[d]).astype(np.uint32))
         return pa.Table.from_batches([out.take()])
 
     def windows(table: pa.Table) -> pa.Table:
         """Round 3: windows that a smaller document has."""
-        a, b, ids, marks, at = unpack(table.column("blob").to_pylist(), ("u8", "u8", "i8", "u4", "u4"))
+        a, b, ids, marks, at = unpack(table.column("blob").to_pylist(), ("u8", "u4", "i8", "u4", "u4"))
         order, number = numbered(a, b)
         full, _ = smaller_exists(number, ids[order])
         keep = order[full]
