@@ -48,7 +48,7 @@ GATHER = 1 << 20
 TEXT_BYTES = 1 << 20
 ROWS = 1 << 13
 #: Parts by which records and documents are dealt, for each shuffle partition.
-PARTS_EACH = 4
+PARTS_EACH = 2
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
