@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4 << 20
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of a batch for Python while a scratch table is written: both sides hold a batch
+#: about twice, so batches of documents stay small.
+BATCH_ROWS = 2000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,11 +50,12 @@ class Scratch:
         self.base = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def table(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write ``df``; its shuffle files go as soon as the write ends."""
+    def table(self, df: DataFrame, name: str = "t", batch_rows: int = BATCH_ROWS) -> DataFrame:
+        """Write ``df``; its shuffle files go as soon as the write ends.  Python gets
+        at most ``batch_rows`` rows at a time."""
         self.count += 1
         path = f"{self.base}/{self.count:03d}-{name}"
-        with _shuffle_cleanup(self.spark):
+        with _writing(self.spark, batch_rows):
             df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
@@ -63,16 +68,16 @@ class Scratch:
 
 
 @contextmanager
-def _shuffle_cleanup(spark: SparkSession):
-    before = spark.conf.get(CLEANUP, None)
+def _writing(spark: SparkSession, batch_rows: int):
+    wanted = {CLEANUP: "true", BATCH: str(batch_rows)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
     try:
-        spark.conf.set(CLEANUP, "true")
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def text_chunks(batch: pa.RecordBatch, column: int = 1, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

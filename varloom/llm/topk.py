@@ -134,7 +134,8 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
                 which, slot = np.nonzero(best.id != np.iinfo(np.int64).max)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[which]), pa.array(best.id[which, slot]), pa.array(best.score[which, slot])], names=["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    # A row holds a whole shard, so Python gets few at a time.
+    found = scratch.table(pairs.mapInArrow(run, "query_id long, vec_id long, score long"), "found", 4)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
