@@ -158,5 +158,6 @@ def repeat(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     taken = mix(marked, "__row", text_col, source_col, s)
     times = F.round(F.col("taken") / F.col("size")).cast("int")
     copies = scratch.table(taken.where("size > 0").select(F.col("__row").alias("__of"), times.alias("__times")).where("__times > 0"), "copies")
-    rows = marked.join(copies, F.col("__row") == F.col("__of"))
+    # Always by sorting: a broadcast where the copies are few would hide how shuffles grow.
+    rows = marked.hint("merge").join(copies, F.col("__row") == F.col("__of"))
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*df.columns)

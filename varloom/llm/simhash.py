@@ -323,7 +323,8 @@ def alike(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame
 
     one = sketches.select(F.col("row").alias("a"), F.col("sketch").alias("sa"))
     two = sketches.select(F.col("row").alias("b"), F.col("sketch").alias("sb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    # Always by sorting: a broadcast where the pairs are few would hide how shuffles grow.
+    return pairs.hint("merge").join(one, "a").hint("merge").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, similarity: float = 0.8, radius: int = LOOSE_RADIUS) -> DataFrame:
@@ -343,10 +344,12 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
     copies = scratch.table(signed.groupBy("copy").agg(F.min("row").alias("rep"), best), "copies")
     reps = copies.select(F.col("rep").alias("row"))
-    points = signed.select("row", "fp", "keys").join(reps, "row", "left_semi")
+    points = signed.select("row", "fp", "keys").hint("merge").join(reps, "row", "left_semi")
     pairs = scratch.table(candidates(scratch, points, radius), "pairs")
     edges = scratch.table(alike(pairs, signed.select("row", "sketch"), similarity), "edges")
     nodes = connected_components(scratch, edges)
     rooted = copies.join(nodes, copies.rep == nodes.node, "left").select(F.coalesce("root", "rep").alias("root"), "best")
     chosen = scratch.table(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row")), "chosen")
-    return marked.join(chosen, "__row", "left_semi").select(*df.columns)
+    for done in (signed, copies, pairs, edges):  # what is left to read are the rows and the choice
+        scratch.drop(done)
+    return marked.hint("merge").join(chosen, "__row", "left_semi").select(*df.columns)
