@@ -28,7 +28,7 @@ from varloom.llm.common import text_chunks, texts
 
 SPACES = "\t-\r \x85\xa0  -     　"
 #: Words that a worker remembers; a full memory is emptied, which only costs time.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 NEVER = np.iinfo(np.int32).max
 
 
