@@ -174,12 +174,12 @@ add(
  SELECT s.vid, chrom, pos, 'AC=' || ac || ';AF=' || printf('%.8f', {AF}) || ';AN=' || an || ';' || g AS listing FROM s JOIN g ON s.vid = g.vid""",
 )
 for name, predicate, sql in (
-    ("filter_ac", qc.ac_between(1, 20), "ac BETWEEN 1 AND 20"),
-    ("filter_af", qc.af_between(0.05, 0.5), "ac >= an * CAST(0.05 AS DOUBLE) AND ac <= an * CAST(0.5 AS DOUBLE)"),
-    ("filter_an", qc.an_between(110, 118), "an BETWEEN 110 AND 118"),
-    ("filter_custom", (F.col("ac") % 2 == 0) & (F.col("an") > 100), "ac % 2 = 0 AND an > 100"),
+    ("filter_ac", lambda: qc.ac_between(1, 20), "ac BETWEEN 1 AND 20"),
+    ("filter_af", lambda: qc.af_between(0.05, 0.5), "ac >= an * CAST(0.05 AS DOUBLE) AND ac <= an * CAST(0.5 AS DOUBLE)"),
+    ("filter_an", lambda: qc.an_between(110, 118), "an BETWEEN 110 AND 118"),
+    ("filter_custom", lambda: (F.col("ac") % 2 == 0) & (F.col("an") > 100), "ac % 2 = 0 AND an > 100"),
 ):
-    add(name, "calls", lambda c, p=predicate: qc.sites(c, p).select(*K, "ac", "an"), f"SELECT vid, chrom, pos, ac, an FROM ({SITES}) WHERE {sql}")
+    add(name, "calls", lambda c, p=predicate: qc.sites(c, p()).select(*K, "ac", "an"), f"SELECT vid, chrom, pos, ac, an FROM ({SITES}) WHERE {sql}")
 add(
     "qc_genotype",
     "calls_qc",

@@ -88,7 +88,10 @@ def two_allele_pairs(a, b):
     return one.join(two, F.col("vid") == F.col("v")).drop("v").withColumn("vid1", F.col("vid")).withColumn("vid2", F.col("vid"))
 
 
-COUNTS = strand.Counts(F.col("an1") - F.col("ac1"), F.col("ac1"), F.col("an2") - F.col("ac2"), F.col("ac2"))
+def counts() -> strand.Counts:
+    return strand.Counts(F.col("an1") - F.col("ac1"), F.col("ac1"), F.col("an2") - F.col("ac2"), F.col("ac2"))
+
+
 ALT_COUNT = "CASE WHEN a0 IS NULL THEN 0 WHEN ploidy = 1 THEN CAST(a0 > 0 AS INT) ELSE CAST(a0 > 0 AS INT) + CAST(a1 > 0 AS INT) END"
 PAIRS = "WITH " + ", ".join(
     f"c{n} AS (SELECT vid, chrom, pos, ref AS ref{n}, alt AS alt{n}, CAST(sum({ALT_COUNT}) AS BIGINT) AS ac{n}, CAST(sum(CASE WHEN a0 IS NOT NULL THEN ploidy ELSE 0 END) AS BIGINT) AS an{n} FROM {t} WHERE alt NOT LIKE '%,%' GROUP BY ALL)"
@@ -117,20 +120,20 @@ def _eq_sql(maf, r2="rc2", a2="ac2"):
 add(
     "check_chi2",
     "merge_a merge_b",
-    lambda a, b: two_allele_pairs(a, b).select("vid", F.round(strand.chi_square(COUNTS), 6).alias("chi2"), F.coalesce(strand.ChiSquare(0.4).equal(COUNTS), F.lit(False)).alias("equal")),
+    lambda a, b: two_allele_pairs(a, b).select("vid", F.round(strand.chi_square(counts()), 6).alias("chi2"), F.coalesce(strand.ChiSquare(0.4).equal(counts()), F.lit(False)).alias("equal")),
     f"{PAIRS} SELECT vid, round({_chi_sql()}, 6) AS chi2, {_eq_sql(0.4)} AS equal FROM pr",
 )
 add(
     "check_freq_gap",
     "merge_a merge_b",
-    lambda a, b: two_allele_pairs(a, b).select("vid", F.coalesce(strand.FrequencyGap(0.4, 0.1).equal(COUNTS), F.lit(False)).alias("equal")),
+    lambda a, b: two_allele_pairs(a, b).select("vid", F.coalesce(strand.FrequencyGap(0.4, 0.1).equal(counts()), F.lit(False)).alias("equal")),
     f"{PAIRS} SELECT vid, coalesce({_minor_sql('rc1', 'ac1')} <= 0.4e0 AND {_minor_sql('rc2', 'ac2')} <= 0.4e0 AND abs(CAST(ac1 AS DOUBLE) / nullif(rc1 + ac1, 0) - CAST(ac2 AS DOUBLE) / nullif(rc2 + ac2, 0)) < 0.1e0, FALSE) AS equal FROM pr",
 )
 
 
 def _fixed(a, b):
     p = two_allele_pairs(a, b)
-    new = strand.relabelled(F.col("ref1"), F.col("alt1"), F.col("ref2"), F.col("alt2"), COUNTS, strand.ChiSquare(0.5))
+    new = strand.relabelled(F.col("ref1"), F.col("alt1"), F.col("ref2"), F.col("alt2"), counts(), strand.ChiSquare(0.5))
     return p.select("vid", new.alias("n")).select("vid", F.col("n.alt1").alias("new_alt1"), F.col("n.ref2").alias("new_ref2"), F.col("n.alt2").alias("new_alt2"))
 
 

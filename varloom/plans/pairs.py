@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from varloom.operators import ld, select, strand
-from varloom.plans.merging import COUNTS, two_allele_pairs
+from varloom.plans.merging import counts, two_allele_pairs
 from varloom.plans.registry import registry
 
 QUERIES, ORACLE_SQL, add = registry()
@@ -68,7 +68,7 @@ add(
 def _signs(a, b):
     signed = strand.link_signs(a, b, two_allele_pairs(a, b), WINDOW, 0.3)
     check = strand.LinkSigns(0.05, 0.8)
-    return signed.select("vid", "kept", "agree", F.coalesce(check.equal(COUNTS), F.lit(False)).alias("equal"), F.coalesce(check.equal(COUNTS.turned(), True), F.lit(False)).alias("reversed"))
+    return signed.select("vid", "kept", "agree", F.coalesce(check.equal(counts()), F.lit(False)).alias("equal"), F.coalesce(check.equal(counts().turned(), True), F.lit(False)).alias("reversed"))
 
 
 ALT_COUNT = "CASE WHEN a0 IS NULL THEN 0 WHEN ploidy = 1 THEN CAST(a0 > 0 AS INT) ELSE CAST(a0 > 0 AS INT) + CAST(a1 > 0 AS INT) END"
