@@ -40,7 +40,7 @@ LENGTH = 50
 GRAM = 18
 WINDOW = LENGTH - GRAM + 1  # grams of a window
 BACK, AHEAD = LENGTH - GRAM, LENGTH  # a context's reach before and after its anchor
-NO_ID = np.iinfo(np.int64).max
+NO_ID = int(np.iinfo(np.int64).max)
 U = np.uint64
 #: Records that a task gathers before it packs them, bytes of text that are hashed at a
 #: time, and rows of the byte matrices that are named at a time; these bound memory.
@@ -140,7 +140,16 @@ def by_range(names: np.ndarray, parts: int) -> np.ndarray:
 
 
 def by_document(ids: np.ndarray, parts: int) -> np.ndarray:
-    return (mixed(ids.astype(np.int64).view(np.uint64) * U(0x9E3779B97F4A7C15)) >> U(32)) * U(parts) >> U(32)
+    """The same part as Spark's ``pmod(xxhash64(id), parts)`` gives."""
+    one, two, three, four, five = (U(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: (x << U(n)) | (x >> U(64 - n))
+    with np.errstate(over="ignore"):
+        h = (U(42) + five + U(8)) ^ (turn(ids.astype(np.int64).view(np.uint64) * two, 31) * one)
+        h = turn(h, 27) * one + four
+        h = (h ^ (h >> U(33))) * two
+        h = (h ^ (h >> U(29))) * three
+        h ^= h >> U(32)
+    return np.mod(h.view(np.int64), parts)
 
 
 def text_marks(ids: np.ndarray, raw: pa.Array) -> np.ndarray:
@@ -159,7 +168,6 @@ def text_marks(ids: np.ndarray, raw: pa.Array) -> np.ndarray:
     return marks
 
 
-DOCS = "part int, id long, raw binary"
 SENT = "part int, blob binary"
 
 
@@ -241,13 +249,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sent = source.mapInArrow(first, SENT)
     grams_shared = scratch.table(sent.groupBy("part").applyInArrow(shared, SENT), "grams")
 
-    def deal_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            part = by_document(_ids(b.column(0)), parts).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(part), b.column(0), b.column(1)], names=["part", "id", "raw"])
+    part = F.pmod(F.xxhash64(F.coalesce("id", F.lit(NO_ID).cast("long"))), F.lit(parts)).cast("int")
 
     def by_part() -> DataFrame:
-        return source.mapInArrow(deal_documents, DOCS)
+        return source.select(part.alias("part"), "id", "raw")
 
     def chunks(docs: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Buffers of documents: ids, bytes, offsets and text marks."""
@@ -371,5 +376,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The contract's columns."""
-    return remove_repeats(df, id_col, text_col).select(id_col, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The contract's columns, written and read back (they are small), so that the last
+    round runs with small batches too."""
+    found = remove_repeats(df, id_col, text_col).select(id_col, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return Scratch(df.sparkSession, "substrings").table(found, "digest")
