@@ -159,3 +159,32 @@ def test_crowded_shards(spark, monkeypatch):
     docs += [(1000 + k, " ".join(f"y{rng.integers(10**6)}" for _ in range(50))) for k in range(40)]
     kept = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect())
     assert kept == [0, *range(1000, 1040)]
+
+
+def edited(rng, words, places, name):
+    copy = list(words)
+    for at in places:
+        copy[int(at)] = f"{name}x{rng.integers(10**9)}"
+    return " ".join(copy)
+
+
+def star(rng, copies, name="o"):
+    """An original and copies of it, alike to it by 0.8 but not to each other."""
+    words = [f"{name}{rng.integers(10**6)}" for _ in range(300)]
+    return " ".join(words), [edited(rng, words, np.arange(6) * 48 + 5 + rng.integers(0, 40), f"{name}{k}") for k in range(copies)]
+
+
+def kept_ids(spark, docs):
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    return sorted(r.doc_id for r in simhash.keep_one(df).collect())
+
+
+def test_copies_alike_to_a_later_original_only(spark):
+    rng = np.random.default_rng(3)
+    docs = []
+    for g in range(4):
+        original, copies = star(rng, 12, f"g{g}o")
+        docs += [(100 * g + k, t) for k, t in enumerate([*copies, original])]
+    expected, _ = brute_kept(docs)
+    assert expected == [0, 100, 200, 300]
+    assert kept_ids(spark, docs) == expected

@@ -211,15 +211,11 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 #: Minima of a text's shingles, and how many of them make a shard's key.
 MINIMA, EACH = 64, 4
-#: Smallest shingle hashes kept of a text, by which two texts are compared.
-SKETCH = 256
 #: Fingerprint bits that texts of similarity 0.8 may differ in: about nine are
 #: expected of 64, and the spread is three.
 LOOSE_RADIUS = 18
 #: Rows of a shard whose tree one task searches.
 CROWD = 2048
-#: Half the error of a similarity read off two full sketches.
-SKETCH_MARGIN = 0.0125
 
 
 def minima_keys(distinct: np.ndarray) -> np.ndarray:
@@ -244,87 +240,142 @@ def minima_keys(distinct: np.ndarray) -> np.ndarray:
     return ((key >> np.uint64(6) << np.uint64(6)) | np.arange(MINIMA // EACH, dtype=np.uint64)).view(np.int64)
 
 
-def similarity_of(a: np.ndarray, b: np.ndarray) -> tuple[float, bool]:
-    """Shared part of two sketched shingle sets, and whether it is exact."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b)), True
-    if len(a) < SKETCH and len(b) < SKETCH:
-        shared = len(np.intersect1d(a, b, assume_unique=True))
-        return shared / (len(a) + len(b) - shared), True
-    both = np.union1d(a, b)[:SKETCH]
-    return float((np.isin(both, a) & np.isin(both, b)).sum()) / len(both), False
-
-
 def signatures(df: DataFrame, row_col: str, id_col: str, text_col: str, words_each: int) -> DataFrame:
-    """``row``, ``id``, ``copy`` (a name of the words), ``fp``, ``keys`` and ``sketch``."""
+    """``row``, ``id``, ``copy`` (a name of the words), ``fp`` and ``keys``."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in text_chunks(whole, 2):
-                fps, copies, keys, sketches = [], [], [], []
+                fps, copies, keys = [], [], []
                 for text in texts(b, 2):
                     h, name = shingle_hashes(text, words_each)
-                    distinct = np.unique(h)
                     fps.append(majority(h))
                     copies.append(name)
-                    keys.append(minima_keys(distinct))
-                    sketches.append(np.unique((distinct[:SKETCH] >> np.uint64(32)).astype("<u4")).tobytes())
+                    keys.append(minima_keys(np.unique(h)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(copies, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                    names=["row", "id", "copy", "fp", "keys", "sketch"],
+                    [b.column(0), b.column(1), pa.array(copies, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["row", "id", "copy", "fp", "keys"],
                 )
 
-    return df.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"row long, id {kind}, copy binary, fp long, keys array<long>, sketch binary")
+    return df.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"row long, id {kind}, copy binary, fp long, keys array<long>")
 
 
 def candidates(scratch: Scratch, points: DataFrame, radius: int) -> DataFrame:
-    """Pairs ``a`` > ``b`` of rows to compare: within each shard's BK-tree each row's
-    first and nearest earlier neighbour in the radius.  ``points``: ``row``, ``fp``, ``keys``.
-
-    A shard of more than ``CROWD`` rows, such as a large group of near copies, is cut into
-    chunks at random, differently for each of the up to sixteen shards that near copies
-    share, and the first rows of its chunks meet in a shard of their own; so its work grows
-    with its rows and no task holds it whole."""
+    """Edges ``a``, ``b`` that connect every two rows within the radius in some shard's
+    BK-tree, so that all pairs to compare lie within components.  ``points``: ``row``,
+    ``fp``, ``keys``.  The rows of a shard of more than ``CROWD``, such as a large group
+    of near copies, are connected whole, without a tree."""
 
     def solve(shard: np.ndarray, row: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        none = np.iinfo(np.int64).max
-        first, nearest = np.full(len(row), none), np.full(len(row), none)
-        for q, node, d in search(shard, fp.view(np.uint64), radius) if len(row) else ():
-            q, node, d = (c[node < q] for c in (q, node, d))
-            np.minimum.at(first, q, node)
-            np.minimum.at(nearest, q, (d << 40) | node)
-        nearest = np.where(nearest == none, none, nearest & ((1 << 40) - 1))
-        a = np.r_[np.flatnonzero(first != none), np.flatnonzero((nearest != none) & (nearest != first))]
-        b = np.r_[first[first != none], nearest[(nearest != none) & (nearest != first)]].astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(row[a]), pa.array(row[b])], names=["a", "b"])
+        label = near_in_groups(shard, fp.view(np.uint64), radius) if len(row) else np.zeros(0, np.int64)
+        moved = label != np.arange(len(row))
+        return pa.RecordBatch.from_arrays([pa.array(row[moved]), pa.array(row[label[moved]])], names=["a", "b"])
 
     keyed = scratch.table(points.select(F.explode("keys").alias("shard"), "row", "fp"), "keyed")
-    crowded = keyed.groupBy("shard").agg(F.count("*").alias("rows")).where(F.col("rows") > CROWD)
-    crowded = scratch.table(crowded.select(F.col("shard").alias("of"), F.ceil(F.col("rows") / CROWD).cast("int").alias("chunks")), "crowded")
-    cut = keyed.join(crowded, keyed.shard == crowded.of, "left").withColumn("chunk", F.pmod(F.xxhash64("row", "shard"), F.coalesce("chunks", F.lit(1))))
-    leaders = cut.where("chunks IS NOT NULL").groupBy("shard", "chunk").agg(F.min(F.struct("row", "fp")).alias("l"))
-    parts = cut.select(F.xxhash64("shard", "chunk").alias("shard"), "row", "fp").unionByName(leaders.select(F.xxhash64("shard", F.lit(-1)).alias("shard"), "l.row", "l.fp"))
+    crowded = keyed.groupBy("shard").agg(F.count("*").alias("rows"), F.min("row").alias("least")).where(F.col("rows") > CROWD)
+    crowded = scratch.table(crowded.select(F.col("shard").alias("of"), "least"), "crowded")
+    joined = keyed.join(crowded, keyed.shard == crowded.of, "left")
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = parts.repartition(n, "shard").sortWithinPartitions("shard", "row")
-    return dealt.mapInArrow(lambda batches: in_shards(batches, solve), "a long, b long").distinct()
+    dealt = joined.where("least IS NULL").select("shard", "row", "fp").repartition(n, "shard").sortWithinPartitions("shard", "row")
+    whole = joined.where("least IS NOT NULL AND row <> least").select(F.col("row").alias("a"), F.col("least").alias("b"))
+    return dealt.mapInArrow(lambda batches: in_shards(batches, solve), "a long, b long").unionByName(whole).distinct()
 
 
-def alike(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets reach the similarity."""
+def shingle_sets(df: DataFrame, words_each: int) -> DataFrame:
+    """``row``, ``group``, ``n`` and ``set``, the hashes of a text's distinct shingles.
+    ``df``: ``row``, ``group``, ``text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in text_chunks(whole, 2):
+                found = [np.unique(shingle_hashes(t, words_each)[0]) for t in texts(b, 2)]
+                columns = [b.column(0), b.column(1), pa.array([len(s) for s in found], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "group", "n", "set"])
+
+    return df.select("row", "group", "text").mapInArrow(run, "row long, group long, n long, set binary")
+
+
+def links_of(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of a row of ``left`` and one of ``right`` that reach the similarity, enough to
+    connect all that do; rows of one label are connected already."""
+    size = np.array([len(s) for s in sets])
+    start = np.cumsum(size) - size
+    names, code = np.unique(np.concatenate(sets), return_inverse=True)
+    label = np.unique(label, return_inverse=True)[1]
+    mark = np.zeros(len(names), np.int64)
+    out = []
+    for i in np.flatnonzero(left):
+        other = right & (label != label[i]) & (size >= similarity * size[i] - 1e-6) & (size[i] >= similarity * size - 1e-6)
+        if right[i]:
+            other[:i] &= ~left[:i]  # met before
+        other = np.flatnonzero(other)
+        if not len(other):
+            continue
+        mine = code[start[i] : start[i] + size[i]]
+        mark[mine] = 1
+        before = np.cumsum(size[other]) - size[other]
+        at = np.repeat(start[other] - before, size[other])
+        shared = np.add.reduceat(mark[code[at + np.arange(len(at))]], before)
+        mark[mine] = 0
+        hits = other[shared / (size[i] + size[other] - shared) >= similarity - 1e-12]
+        met, first = np.unique(label[hits], return_index=True)
+        out += [(i, j) for j in hits[first]]
+        if len(met):
+            label[np.isin(label, met)] = label[i]
+    return out
+
+
+def judged(dealt: DataFrame, similarity: float) -> DataFrame:
+    """Edges ``a``, ``b`` and their ``group`` from comparing, for each (``group``, ``lo``,
+    ``hi``), the rows of ``left`` with those of ``right`` by their whole ``set``s."""
+    names = ["group", "lo", "hi"]
+
+    def solve(held: list[pa.RecordBatch]) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        row, label, left, right = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in (3, 4, 5, 6))
+        if len(row) < 2:
+            return row, []
+        sets = [np.frombuffer(x, "<u8") for b in held for x in b.column(7).to_pylist()]
+        return row, links_of(sets, label, left, right, similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, out = [], None, []
+
+        def close() -> None:
+            row, links = solve(held)
+            out.extend((row[i], row[j], last[0]) for i, j in links)
+
+        def edges() -> pa.RecordBatch:
+            a, b, group = zip(*out) if out else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, group)], names=["a", "b", "group"])
+
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                found, exact = similarity_of(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"))
-                keep.append(found >= similarity - (0 if exact else SKETCH_MARGIN) - 1e-12)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    one = sketches.select(F.col("row").alias("a"), F.col("sketch").alias("sa"))
-    two = sketches.select(F.col("row").alias("b"), F.col("sketch").alias("sb"))
-    # Always by sorting: a broadcast where the pairs are few would hide how shuffles grow.
-    return pairs.hint("merge").join(one, "a").hint("merge").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+            if not batch.num_rows:
+                continue
+            marks = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            new = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
+            for x, y in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows]):
+                key = tuple(int(m[x]) for m in marks)
+                if held and key != last:
+                    close()
+                    held = []
+                held.append(batch.slice(x, y - x))
+                last = key
+            yield edges()
+            out = []
+        if held:
+            close()
+        yield edges()
+
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select(*names, "row", "label", "left", "right", "set").repartition(n, *names).sortWithinPartitions(*names)
+    return dealt.mapInArrow(run, "a long, b long, group long")
+
+
+def alike(scratch: Scratch, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges ``a``, ``b`` that connect the rows of a group whose sets reach the similarity."""
+    whole = sets.withColumns({"lo": F.lit(0), "hi": F.lit(0), "label": F.col("row"), "left": F.lit(True), "right": F.lit(True)})
+    return judged(whole, similarity).select("a", "b")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, similarity: float = 0.8, radius: int = LOOSE_RADIUS) -> DataFrame:
@@ -334,9 +385,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     Near copies are texts whose sets of word shingles are alike by ``similarity`` at
     least; a radius of a few bits finds only the closest of them, and one that finds
     all does not let blocks of bits choose the shards.  So shards are chosen by minima
-    of the shingles, a BK-tree over the fingerprints of each proposes pairs within a
-    loose radius, and sketches of the shingle sets decide.  Texts of equal words are
-    one point.
+    of the shingles, a BK-tree over the fingerprints of each connects what lies within a
+    loose radius, and within what is so connected every two texts are compared by their
+    whole shingle sets, unless others connect them.  Texts of equal words are one point.
     """
     scratch = Scratch(df.sparkSession, "keep")
     marked = scratch.table(df.select("*", F.monotonically_increasing_id().alias("__row")), "rows")
@@ -346,10 +397,17 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     reps = copies.select(F.col("rep").alias("row"))
     points = signed.select("row", "fp", "keys").hint("merge").join(reps, "row", "left_semi")
     pairs = scratch.table(candidates(scratch, points, radius), "pairs")
-    edges = scratch.table(alike(pairs, signed.select("row", "sketch"), similarity), "edges")
+    scratch.drop(signed)
+    groups = scratch.table(connected_components(scratch, pairs).select(F.col("node").alias("__row"), F.col("root").alias("group")), "groups")
+    scratch.drop(pairs)
+    # Always by sorting: a broadcast where the pairs are few would hide how shuffles grow.
+    grouped = marked.select("__row", F.col(text_col).alias("text")).hint("merge").join(groups, "__row").withColumnRenamed("__row", "row")
+    sets = scratch.table(shingle_sets(grouped, words_each), "sets")
+    edges = scratch.table(alike(scratch, sets, similarity), "edges")
+    scratch.drop(sets)
     nodes = connected_components(scratch, edges)
     rooted = copies.join(nodes, copies.rep == nodes.node, "left").select(F.coalesce("root", "rep").alias("root"), "best")
     chosen = scratch.table(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row")), "chosen")
-    for done in (signed, copies, pairs, edges):  # what is left to read are the rows and the choice
+    for done in (groups, copies, edges):  # what is left to read are the rows and the choice
         scratch.drop(done)
     return marked.hint("merge").join(chosen, "__row", "left_semi").select(*df.columns)
