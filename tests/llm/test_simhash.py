@@ -188,3 +188,23 @@ def test_copies_alike_to_a_later_original_only(spark):
     expected, _ = brute_kept(docs)
     assert expected == [0, 100, 200, 300]
     assert kept_ids(spark, docs) == expected
+
+
+def test_large_groups_of_copies_alike_to_few(spark, monkeypatch):
+    """Groups of many chunks: two around an original, and a chain of texts that are alike
+    to the next ones only."""
+    for name, value in (("CROWD", 16), ("CHUNK", 8), ("WIDE", 12), ("HUBS", 2)):
+        monkeypatch.setattr(simhash, name, value, raising=False)
+    rng = np.random.default_rng(4)
+    original, copies = star(rng, 150)
+    docs = [(k, t) for k, t in enumerate([*copies[:80], original, *copies[80:]])]
+    words = [f"c{k}" for k in range(300)]
+    for k in range(60):
+        docs.append((1000 + (k * 37) % 60, " ".join(words)))
+        for at in (k * 5 % 300, (k * 5 + 150) % 300):
+            words[at] = f"n{k}x{at}"
+    many, some = star(rng, 40, "p")
+    docs += [(2000 + k, t) for k, t in enumerate([*some, many])]
+    docs += [(3000 + k, " ".join(f"y{rng.integers(10**6)}" for _ in range(50))) for k in range(20)]
+    expected, _ = brute_kept(docs)
+    assert kept_ids(spark, docs) == expected

@@ -216,6 +216,9 @@ MINIMA, EACH = 64, 4
 LOOSE_RADIUS = 18
 #: Rows of a shard whose tree one task searches.
 CROWD = 2048
+#: Rows of a group that one task compares at first, and of a side in pairs of chunks;
+#: shingles of either; and rows of a large group that meet all its chunks.
+CHUNK, WIDE, HASHES, HUBS = 128, 512, 1 << 20, 64
 
 
 def minima_keys(distinct: np.ndarray) -> np.ndarray:
@@ -373,9 +376,52 @@ def judged(dealt: DataFrame, similarity: float) -> DataFrame:
 
 
 def alike(scratch: Scratch, sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges ``a``, ``b`` that connect the rows of a group whose sets reach the similarity."""
-    whole = sets.withColumns({"lo": F.lit(0), "hi": F.lit(0), "label": F.col("row"), "left": F.lit(True), "right": F.lit(True)})
-    return judged(whole, similarity).select("a", "b")
+    """Edges ``a``, ``b`` that connect the rows of a group whose sets reach the similarity.
+
+    A group too large for one task is compared in chunks; then all its rows with a few of
+    those that linked most, as an original does its copies; and at last, by pairs of chunks,
+    whatever is not connected with the largest component so far with all rows.  The second
+    round only spares work of the third, which leaves no pair out."""
+    yes, no = F.lit(True), F.lit(False)
+    chunks_of = lambda rows, n, most: F.ceil(F.greatest(rows / most, n / HASHES)).cast("int")
+    totals = sets.groupBy("group").agg(chunks_of(F.count("*"), F.sum("n"), CHUNK).alias("chunks"))
+    crowded = scratch.table(totals.where("chunks > 1").select(F.col("group").alias("of"), "chunks"), "crowded")
+    cut = sets.join(crowded, sets.group == crowded.of, "left").drop("of").withColumn("lo", F.pmod(F.xxhash64("row"), F.coalesce("chunks", F.lit(1))).cast("int"))
+    first = scratch.table(judged(cut.withColumns({"hi": F.col("lo"), "label": F.col("row"), "left": yes, "right": yes}), similarity), "first")
+    if crowded.isEmpty():
+        return first.select("a", "b")
+    large = scratch.table(cut.where("chunks IS NOT NULL"), "large")
+
+    def unfinished(edges: DataFrame) -> DataFrame:
+        """Rows, with labels, of the groups that are not one component yet."""
+        nodes = scratch.table(connected_components(scratch, edges.join(crowded, edges.group == crowded.of, "left_semi").select("a", "b")), "nodes")
+        state = large.drop("set").join(nodes, large.row == nodes.node, "left").select("row", "group", "n", "chunks", "lo", F.coalesce("root", "row").alias("label"))
+        state = scratch.table(state, "state")
+        left = state.groupBy(F.col("group").alias("of")).agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("of")
+        return scratch.table(state.join(left, state.group == left.of, "left_semi"), "unfinished")
+
+    with_sets = lambda rows: rows.hint("merge").join(large.select("row", "set"), "row")
+    state = unfinished(first)
+    degree = first.select(F.explode(F.array("a", "b")).alias("of")).groupBy("of").agg(F.count("*").alias("links"))
+    ranked = state.join(degree, state.row == degree.of, "left").withColumn("turn", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(HUBS)))
+    hubs = ranked.groupBy("group", "turn").agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "row", "label", "chunks")).alias("h"))
+    hubs = with_sets(hubs.select("group", "h.row", "h.label", "h.chunks")).withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    columns = ["group", "lo", F.col("lo").alias("hi"), "row", "label", "left", "right", "set"]
+    met = with_sets(state).withColumns({"left": no, "right": yes}).select(*columns).unionByName(hubs.withColumns({"left": yes, "right": no}).select(*columns))
+    second = scratch.table(first.unionByName(judged(met, similarity)), "second")
+
+    state = unfinished(second)
+    parts = state.groupBy("group", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    every = parts.groupBy("group").agg(F.max(F.struct("rows", "n", "label")).alias("m"), F.sum("rows").alias("rows"), F.sum("n").alias("n"))
+    plan = every.select(F.col("group").alias("of"), F.col("m.label").alias("main"), chunks_of(F.col("rows") - F.col("m.rows"), F.col("n") - F.col("m.n"), WIDE).alias("rest"), chunks_of(F.col("m.rows"), F.col("m.n"), WIDE).alias("mains"))
+    plan = scratch.table(plan, "plan")
+    placed = state.join(plan, state.group == plan.of).withColumn("inside", F.col("label") == F.col("main"))
+    own = F.when(F.col("inside"), F.col("rest") + F.pmod(F.xxhash64("row"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("row"), F.col("rest"))).cast("int")
+    last = F.when(F.col("inside"), F.col("rest")).otherwise(F.col("rest") + F.col("mains")) - 1
+    placed = with_sets(placed.withColumn("own", own).withColumn("last", last)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    placed = placed.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    third = judged(placed.withColumns({"left": F.col("own") == F.col("lo"), "right": F.col("own") == F.col("hi")}), similarity)
+    return second.unionByName(third).select("a", "b")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, similarity: float = 0.8, radius: int = LOOSE_RADIUS) -> DataFrame:
