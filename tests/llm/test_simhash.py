@@ -208,3 +208,15 @@ def test_large_groups_of_copies_alike_to_few(spark, monkeypatch):
     docs += [(3000 + k, " ".join(f"y{rng.integers(10**6)}" for _ in range(50))) for k in range(20)]
     expected, _ = brute_kept(docs)
     assert kept_ids(spark, docs) == expected
+
+
+def test_long_texts_just_above_and_below(spark):
+    """596 shingles each: 13 words changed leave 0.803 alike, 14 leave 0.790."""
+    rng = np.random.default_rng(5)
+    docs = []
+    for k in range(40):
+        words = [f"w{rng.integers(10**6)}" for _ in range(600)]
+        docs += [(10 * k, " ".join(words)), (10 * k + 1, edited(rng, words, np.arange(13 + k % 2) * 42 + 7, f"e{k}"))]
+    expected, _ = brute_kept(docs)
+    assert len(expected) == 60
+    assert kept_ids(spark, docs) == expected
