@@ -220,3 +220,13 @@ def test_long_texts_just_above_and_below(spark):
     expected, _ = brute_kept(docs)
     assert len(expected) == 60
     assert kept_ids(spark, docs) == expected
+
+
+def test_lines_repeated_more_or_less_often(spark):
+    rng = np.random.default_rng(7)
+    docs = []
+    for k in range(16):
+        prose = " ".join(f"w{rng.integers(10**6)}" for _ in range(304))
+        line = " ".join(f"l{rng.integers(10**6)}" for _ in range(12))
+        docs += [(10 * k + at, " ".join([prose, *[line] * times])) for at, times in enumerate((2, 40))]
+    assert kept_ids(spark, docs) == [10 * k for k in range(16)]

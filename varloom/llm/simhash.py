@@ -244,7 +244,7 @@ def minima_keys(distinct: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, row_col: str, id_col: str, text_col: str, words_each: int) -> DataFrame:
-    """``row``, ``id``, ``copy`` (a name of the words), ``fp`` and ``keys``."""
+    """``row``, ``id``, ``copy`` (a name of the words), ``fp`` (of distinct shingles) and ``keys``."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,9 +253,10 @@ def signatures(df: DataFrame, row_col: str, id_col: str, text_col: str, words_ea
                 fps, copies, keys = [], [], []
                 for text in texts(b, 2):
                     h, name = shingle_hashes(text, words_each)
-                    fps.append(majority(h))
+                    distinct = np.unique(h)
+                    fps.append(majority(distinct))
                     copies.append(name)
-                    keys.append(minima_keys(np.unique(h)))
+                    keys.append(minima_keys(distinct))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(1), pa.array(copies, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
                     names=["row", "id", "copy", "fp", "keys"],
