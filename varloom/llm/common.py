@@ -45,10 +45,12 @@ class Scratch:
     """Tables written to the shared folder to cut lineage; lost executors then
     recompute no more than the stage since the last table."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, codec: str | None = None):
         self.spark = spark
         self.base = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.options = {"compression": codec} if codec else {}
+        self.held: dict[str, str] = {}
 
     def table(self, df: DataFrame, name: str = "t", batch_rows: int = BATCH_ROWS) -> DataFrame:
         """Write ``df``; its shuffle files go as soon as the write ends.  Python gets
@@ -56,15 +58,25 @@ class Scratch:
         self.count += 1
         path = f"{self.base}/{self.count:03d}-{name}"
         with _writing(self.spark, batch_rows):
-            df.write.parquet(path)
+            df.write.options(**self.options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.held[path] = name
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Remove a table that nothing reads any longer."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        self._remove(df._scratch_path)
+
+    def drop_named(self, *names: str) -> None:
+        """Remove the tables of these names."""
+        for held in [p for p, name in self.held.items() if name in names]:
+            self._remove(held)
+
+    def _remove(self, held: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(held)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.held.pop(held, None)
 
 
 @contextmanager

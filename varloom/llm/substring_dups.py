@@ -1,23 +1,30 @@
 """Operator 4: removal of repeated passages by sparse distributed prefix doubling.
 
-Positions are ranked by growing prefixes, in rounds of sorts, until their rank is
-unique to a document or the threshold of ``LENGTH`` bytes is passed.  Ranks are
-64-bit names of the bytes; within a round Spark deals names by range and each part
-sorts its (name, document) or (name, context, document) records.
-
-Only a locally consistent sample of positions is ranked (the rightmost least hash of
-the ``GRAM``-byte strings in each window of ``LENGTH`` bytes): equal windows choose the
-same position, so each window is judged at its own, the anchor, and the records are
-a sixteenth of the positions.
-
-1. Anchors are sorted by their gram.  Those whose gram lies in one document drop out.
-2. The others are sorted by gram and context, all the bytes that windows of the anchor
-   can hold.  Where a smaller document has gram and context, every window of the
-   anchor is repeated.
-3. Where it has the gram only, the anchor stands at the rim of a passage: its windows
-   themselves are named (96 bits), sorted, and compared.
-
-Each round returns only places.  Records travel packed by part, one row for many.
+Sampled places of the texts are ranked by longer and longer strings, 16 bytes, 32 and
+the threshold of 50.  In each round Spark sorts pairs of the rank so far and the name
+of the bytes at the next offset, with the place; a pass over the sorted rows gives
+equal pairs their new rank, and places whose rank no other document has leave.
+
+Only a locally consistent sample of places is ranked at first (the rightmost least hash
+of the ``GRAM``-byte strings in each window of ``LENGTH`` bytes): equal windows choose
+the same place, their anchor, so neighbouring windows are judged together at theirs.
+
+1. 16 bytes: anchors are sorted by the name of their gram.
+2. The run: pairs of that rank and the name of all bytes that the windows of an anchor
+   hold.  Where a smaller document has the pair, all these windows are repeated; where
+   none has, the pair's rank stands for the run.
+3. 32 bytes: pairs of the gram's rank and the 16 bytes before or after it, one side a
+   row.  A side stays if different runs share it: a passage begins or ends there.
+4. 50 bytes: the single windows of a side, pairs of its rank and the name of the rest.
+
+A sorted part is read as a stream.  The order ends with the document, so the smallest
+one of a rank comes first and the rows of a hot rank divide among parts; ranks that
+reach a part's edge, or have more rows than a worker holds, are closed by an aggregate
+over their rows.  A rank is the part's number and a count inside it, so it keeps the
+order without another pass.  Texts meet what is known of them in a sort-merge join, a
+document a row.  Parts are sized from counted rows.
+
+Names are 64 bits, and every decision is taken on a rank and a name together.
 
 Defined results: a null or empty text has 0 bytes and the hash of nothing; texts shorter
 than ``LENGTH`` bytes keep everything; a null id is larger than any other, and never
@@ -31,24 +38,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.llm.common import Scratch, byte_buffer, text_chunks
 
 LENGTH = 50
-GRAM = 18
+GRAM = 16
 WINDOW = LENGTH - GRAM + 1  # grams of a window
-BACK, AHEAD = LENGTH - GRAM, LENGTH  # a context's reach before and after its anchor
+#: Windows that begin at least so far before their anchor hold the whole gram before it;
+#: all others hold the whole gram after it.
+LEFT_FROM = LENGTH - 2 * GRAM - 1
 NO_ID = int(np.iinfo(np.int64).max)
 U = np.uint64
-#: Records that a task gathers before it packs them, bytes of text that are hashed at a
-#: time, and rows of the byte matrices that are named at a time; these bound memory.
-GATHER = 1 << 20
+#: Bytes of text that are hashed at a time.
 TEXT_BYTES = 1 << 20
-ROWS = 1 << 13
-#: Parts by which records and documents are dealt, for each shuffle partition.
-PARTS_EACH = 2
+#: Rows of a part, sorted rows that Python gets at a time, and rows of one rank that it holds.
+PART_ROWS, SORTED_ROWS, HELD = 1 << 21, 1 << 16, 1 << 17
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -64,8 +72,7 @@ def grams(data: np.ndarray) -> np.ndarray:
     x8 = x4[:-4] | (x4[4:] << U(32))
     n = len(data) - GRAM + 1
     h = mixed(x8[:n] * U(0x9E3779B97F4A7C15) + U(1))
-    h = mixed((h ^ x8[8 : 8 + n]) * U(0xBF58476D1CE4E5B9))
-    return mixed((h ^ x2[16 : 16 + n]) * U(0x94D049BB133111EB))
+    return mixed((h ^ x8[8 : 8 + n]) * U(0xBF58476D1CE4E5B9))
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,294 +96,295 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ok, at, h
 
 
-def first_of_runs(ok: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The anchors of a buffer, ascending, once each."""
-    new = np.ones(len(at), dtype=bool)
-    new[1:] = (at[1:] != at[:-1]) | ~ok[:-1]
-    return at[ok & new]
-
-
-def names_of(rows: np.ndarray, seed: int) -> np.ndarray:
-    """A 64-bit name of each row of a byte matrix."""
-    pad = -rows.shape[1] % 8
-    words = np.ascontiguousarray(np.pad(rows, ((0, 0), (0, pad)))).view(np.uint64)
-    h = np.full(len(rows), U(seed))
-    for k in range(words.shape[1]):
-        h = mixed((h ^ words[:, k]) * U(0x9E3779B97F4A7C15) + U(2 * k + 1))
-    return h
-
-
-def pack(arrays: list[np.ndarray]) -> bytes:
-    """Columns one after another, each by byte planes (which compress well)."""
-    return b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
-
-
-def unpack(blobs: list[bytes], kinds: tuple[str, ...]) -> list[np.ndarray]:
-    width = sum(np.dtype(k).itemsize for k in kinds)
-    out: list[list[np.ndarray]] = [[] for _ in kinds]
-    for blob in blobs:
-        n, at = len(blob) // width, 0
-        for column, k in zip(out, kinds):
-            size = np.dtype(k).itemsize
-            planes = np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n)
-            column.append(np.ascontiguousarray(planes.T).view(k).reshape(n))
-            at += n * size
-    return [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(out, kinds)]
-
-
-def dealt(part: np.ndarray, arrays: list[np.ndarray]) -> pa.RecordBatch:
-    """One row (part, blob) for each part."""
-    order = np.argsort(part, kind="stable")
-    part = part[order]
-    arrays = [a[order] for a in arrays]
-    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist() if len(part) else []
-    ends = [*cuts[1:], len(part)]
-    blobs = [pack([a[i:j] for a in arrays]) for i, j in zip(cuts, ends)]
-    return pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "blob"])
-
-
-def by_range(names: np.ndarray, parts: int) -> np.ndarray:
-    return ((names >> U(32)) * U(parts)) >> U(32)
-
-
-def by_document(ids: np.ndarray, parts: int) -> np.ndarray:
-    """The same part as Spark's ``pmod(xxhash64(id), parts)`` gives."""
-    one, two, three, four, five = (U(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda x, n: (x << U(n)) | (x >> U(64 - n))
-    with np.errstate(over="ignore"):
-        h = (U(42) + five + U(8)) ^ (turn(ids.astype(np.int64).view(np.uint64) * two, 31) * one)
-        h = turn(h, 27) * one + four
-        h = (h ^ (h >> U(33))) * two
-        h = (h ^ (h >> U(29))) * three
-        h ^= h >> U(32)
-    return np.mod(h.view(np.int64), parts)
-
-
-def text_marks(ids: np.ndarray, raw: pa.Array) -> np.ndarray:
-    """Tells documents of equal ids apart: 0, but for ids with several texts the place of
-    the text's hash among them.  All rows of an id lie in one part, so this is the same
-    in every round, and it takes next to nothing in a packed record."""
-    from xxhash import xxh64_intdigest
-
-    marks = np.zeros(len(ids), dtype=np.uint32)
-    unique, back, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    for i in np.flatnonzero(counts > 1):
-        rows = np.flatnonzero(back == i)
-        hashes = [xxh64_intdigest(raw[int(r)].as_py() or b"") for r in rows]
-        order = {h: k for k, h in enumerate(sorted(set(hashes)))}
-        marks[rows] = [order[h] for h in hashes]
-    return marks
-
-
-SENT = "part int, blob binary"
-
-
-class Gather:
-    """Collects columns of records and gives them out packed."""
-
-    def __init__(self, columns: int, parts_of):
-        self.held: list[list[np.ndarray]] = [[] for _ in range(columns)]
-        self.size, self.parts_of = 0, parts_of
-
-    def add(self, *arrays: np.ndarray) -> None:
-        for held, a in zip(self.held, arrays):
-            held.append(a)
-        self.size += len(arrays[0])
-
-    def take(self) -> pa.RecordBatch:
-        arrays = [np.concatenate(h) if h else np.zeros(0, np.uint64) for h in self.held]
-        self.held, self.size = [[] for _ in self.held], 0
-        return dealt(self.parts_of(arrays), arrays)
-
-
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def smaller_exists(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Over sorted groups: for each row, whether a smaller id is in its group, and
-    whether the group has more than one id.  A missing id equals no other."""
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    sizes = np.diff(np.r_[starts, len(group)])
-    least = np.repeat(np.minimum.reduceat(ids, starts), sizes)
-    most = np.repeat(np.maximum.reduceat(ids, starts), sizes)
-    return ids > least, least != most
-
-
-def numbered(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order that sorts by the keys, first one first, and in that order a number
-    for each combination of all keys."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), dtype=bool)
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
-    return order, np.cumsum(new)
+def runs(ok: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of a buffer, ascending, the first window of each and how many it has."""
+    start = np.flatnonzero(ok)
+    new = np.ones(len(start), dtype=bool)
+    new[1:] = (at[start[1:]] != at[start[:-1]]) | (np.diff(start) > 1)
+    first = np.flatnonzero(new)
+    return at[start[first]], start[first], np.diff(np.r_[first, len(start)])
+
+
+def chained(*names: np.ndarray) -> np.ndarray:
+    """One name for a sequence of names."""
+    out = np.full(len(names[0]), U(0x27D4EB2F165667C5))
+    for k, name in enumerate(names):
+        out = mixed((out ^ name) * U(0x9E3779B97F4A7C15) + U(2 * k + 1))
+    return out
+
+
+def run_names(h: np.ndarray, anchor: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Names of all bytes that the windows of each run hold, and of the anchor's place in them."""
+    end = start + count - 1 + LENGTH - GRAM
+    pieces = [h[np.minimum(start + k, end)] for k in range(0, LENGTH + WINDOW - GRAM, GRAM)]
+    return chained(*pieces, h[end], (count << 8 | anchor - start).astype(np.uint64))
+
+
+def window_names(h: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return chained(*(h[start + k] for k in range(0, LENGTH - GRAM, GRAM)), h[start + LENGTH - GRAM])
+
+
+# A place is a long: the anchor's byte, how far before it the first window begins (8 bits),
+# and how many windows there are (8 bits).
+def place(anchor: np.ndarray, before: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return anchor << 16 | before << 8 | count
+
+
+def unplaced(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return p >> 16, p >> 8 & 0xFF, p & 0xFF
+
+
+def parts_for(rows: int) -> int:
+    return max(1, -(-rows // PART_ROWS))
+
+
+def rerank(scratch: Scratch, rows: DataFrame, keys: list[str], owner: str, keep: str, name: str) -> DataFrame:
+    """Sort ``rows`` (columns of type long, which a written table gives) by ``keys`` and
+    ``owner`` and give equal keys a ``rank``; ``smaller`` says whether a smaller owner has
+    the same rank.  ``keep``: ``all`` rows, those with a ``smaller`` owner, or those of
+    ``several``, ranks that more than one owner has."""
+    columns = rows.columns
+    n = parts_for(rows.count())
+    where = [columns.index(k) for k in keys]
+    own = columns.index(owner)
+    edges = [f"edge_{k}" for k in keys]
+    schema = ", ".join([f"{c} long" for c in columns] + ["rank long", "smaller boolean"] + [f"{e} long" for e in edges])
+
+    def batch(values: list[np.ndarray], rank: np.ndarray, smaller: np.ndarray, edge: bool, some: np.ndarray) -> pa.RecordBatch:
+        values = [v[some] for v in values]
+        none = pa.nulls(len(values[0]), pa.int64())
+        out = [*(pa.array(v) for v in values), pa.array(rank[some]), pa.array(smaller[some])]
+        return pa.RecordBatch.from_arrays([*out, *(pa.array(values[k]) if edge else none for k in where)], names=[*columns, "rank", "smaller", *edges])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 40
+        held: list[list[np.ndarray]] = []
+        # The part's first rank may have begun in the part before, so it is open.
+        rank, opened, opened_by = 0, True, None
+
+        def edge(values: list[np.ndarray], rank: int) -> pa.RecordBatch:
+            size = len(values[0])
+            return batch(values, np.full(size, base + rank), np.zeros(size, bool), True, np.ones(size, bool))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            values = [np.concatenate(c) for c in zip(*held)]
+            new = np.zeros(len(values[0]), bool)
+            for k in where:
+                new[1:] |= values[k][1:] != values[k][:-1]
+            starts = np.r_[0, np.flatnonzero(new)]
+            if opened and opened_by not in (None, [v[0] for k, v in enumerate(values) if k in where]):
+                rank, opened = rank + 1, False
+            if opened and len(starts) > 1:
+                yield edge([v[: starts[1]] for v in values], rank)
+                values, starts = [v[starts[1] :] for v in values], starts[1:] - starts[1]
+                rank, opened = rank + 1, False
+            last = int(starts[-1])
+            if len(starts) > 1:  # never while the first rank is open
+                done = [v[:last] for v in values]
+                owners, sizes = done[own], np.diff(starts)
+                least = owners[starts[:-1]]
+                smaller = owners > np.repeat(least, sizes)
+                some = {"all": np.ones(last, bool), "smaller": smaller, "several": np.repeat(owners[starts[1:] - 1] != least, sizes)}[keep]
+                yield batch(done, base + rank + np.repeat(np.arange(len(sizes)), sizes), smaller, False, some)
+                rank += len(sizes)
+            held = [[v[last:] for v in values]]
+            if opened or len(held[0][0]) > HELD:
+                yield edge(held[0], rank)
+                opened, opened_by = True, [v[0] for k, v in enumerate(held[0]) if k in where]
+                held = []
+        if held:
+            yield edge(held[0], rank)
+
+    order = [*keys, owner, "_part"]
+    # Rows that are wholly alike divide among parts by where they were read.
+    dealt = rows.withColumn("_part", F.spark_partition_id()).repartitionByRange(n, *order).sortWithinPartitions(*order).drop("_part")
+    streamed = scratch.table(dealt.mapInArrow(stream, schema), name, SORTED_ROWS)
+    inside = streamed.where(F.col(edges[0]).isNull()).select(*columns, "rank", "smaller")
+    at_edge = streamed.where(F.col(edges[0]).isNotNull())
+    totals = at_edge.groupBy(*edges).agg(F.min(owner).alias("_least"), F.max(owner).alias("_most"), F.min("rank").alias("_rank"))
+    totals = scratch.table(totals.select(*(F.col(e).alias(f"_{e}") for e in edges), "_least", "_most", "_rank"), f"{name}-edges")
+    smaller = F.col(owner) > F.col("_least")
+    kept = {"all": F.lit(True), "smaller": smaller, "several": F.col("_least") != F.col("_most")}[keep]
+    met = at_edge.join(totals, [F.col(e) == F.col(f"_{e}") for e in edges]).where(kept)
+    return inside.unionByName(met.select(*columns, F.col("_rank").alias("rank"), smaller.alias("smaller")))
+
+
+def _longs(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _told(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which row each told thing belongs to, and the fields of all."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    values = column.flatten()
+    return np.repeat(np.arange(len(column)), sizes), [_longs(f) for f in values.flatten()]
+
+
+def _rows(names: list[str], *values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64) if v.dtype == np.uint64 else v.astype(np.int64, copy=False)) for v in values], names=names)
+
+
+def _schema(names: list[str]) -> str:
+    return ", ".join(f"{c} long" for c in names)
+
+
+ANCHOR = ["h", "id", "mark"]
+RUN = ["gram", "run", "sides", "id", "mark", "place"]
+SINGLE = ["side", "window", "id", "mark", "place"]
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of (id, mark, raw, ...) with their bytes and offsets."""
+    for whole in batches:
+        for b in text_chunks(whole, 2, TEXT_BYTES):
+            yield b, *byte_buffer(b, 2)
+
+
+def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The grams of a document's anchors, once each."""
+    for b, data, offsets in _each(batches):
+        ok, at, h = anchors(data, offsets)
+        found, _, _ = runs(ok, at)
+        doc = np.searchsorted(offsets, found, side="right") - 1
+        order = np.lexsort((h[found], doc))
+        name, doc = h[found][order], doc[order]
+        once = np.r_[True, (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])][: len(name)]
+        yield _rows(ANCHOR, name[once], _longs(b.column(0))[doc[once]], _longs(b.column(1))[doc[once]])
+
+
+def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of the anchors whose gram other documents have."""
+    for b, data, offsets in _each(batches):
+        ok, at, h = anchors(data, offsets)
+        anchor, start, count = runs(ok, at)
+        doc = np.searchsorted(offsets, anchor, side="right") - 1
+        of, (name, rank) = _told(b.column(3))
+        in_doc = lambda name, doc: mixed(name ^ mixed(doc.astype(np.uint64) * U(0x9E3779B97F4A7C15) + U(5)))
+        known = in_doc(name.view(np.uint64), of)
+        order = np.argsort(known)
+        known, rank = known[order], rank[order]
+        asked = in_doc(h[anchor], doc)
+        spot = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+        hit = np.flatnonzero(known[spot] == asked)
+        anchor, start, count, doc, rank = anchor[hit], start[hit], count[hit], doc[hit], rank[spot[hit]]
+        # Names beside the gram; where a text has none, no window asks for them.
+        sides = (h[np.maximum(anchor - GRAM, 0)] >> U(32) << U(32)) | (h[np.minimum(anchor + GRAM, len(h) - 1)] >> U(32))
+        spots = place(anchor - offsets[doc], anchor - start, count)
+        yield _rows(RUN, rank, run_names(h, anchor, start, count), sides, _longs(b.column(0))[doc], _longs(b.column(1))[doc], spots)
+
+
+def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Single windows of the sides that different runs share."""
+    for b, data, offsets in _each(batches):
+        of, (rank, spots, left) = _told(b.column(3))
+        anchor, most, count = unplaced(spots)
+        least = most - count + 1
+        low = np.where(left == 1, np.maximum(least, LEFT_FROM), least)
+        high = np.where(left == 1, most, np.minimum(most, LEFT_FROM - 1))
+        sizes = np.maximum(high - low + 1, 0)
+        each = np.repeat(np.arange(len(of)), sizes)
+        before = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        doc = of[each]
+        start = anchor[each] - before  # within the document
+        h = grams(data) if len(data) >= LENGTH else np.zeros(0, np.uint64)
+        name = chained(window_names(h, start + offsets[doc]), before.astype(np.uint64))
+        yield _rows(SINGLE, rank[each], name, _longs(b.column(0))[doc], _longs(b.column(1))[doc], place(start, np.zeros_like(start), np.ones_like(start)))
+
+
+def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is left of each document."""
+    for b, data, offsets in _each(batches):
+        of, (spots,) = _told(b.column(3))
+        anchor, before, count = unplaced(spots)
+        begin = anchor - before + offsets[of]
+        cover = np.zeros(len(data) + 1, dtype=np.int32)
+        np.add.at(cover, begin, 1)
+        np.add.at(cover, begin + count - 1 + LENGTH, -1)
+        gone = np.cumsum(cover[:-1]) > 0
+        edge = gone & np.r_[True, ~gone[:-1]][: len(gone)]
+        sizes, removed, spans, kept = [], [], [], []
+        for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            mask = gone[x:y]
+            sizes.append(y - x)
+            removed.append(int(mask.sum()))
+            # a run that begins with the document may follow another's end
+            spans.append(int(edge[x + 1 : y].sum()) + int(y > x and mask[0]))
+            kept.append(data[x:y][~mask].tobytes())
+        ids = pc.if_else(pc.equal(b.column(0), NO_ID), None, b.column(0))
+        yield pa.RecordBatch.from_arrays(
+            [ids, *(pa.array(c, pa.int64()) for c in (sizes, removed, spans)), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept"]
+        )
+
+
+def _sources(scratch: Scratch, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id``, ``mark`` and ``raw``.  The mark tells texts of one id apart: 0, but for ids of
+    several rows the text's hash."""
+    bare = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw"))
+    repeated = scratch.table(bare.groupBy(F.col("id").alias("of")).agg(F.count("*").alias("c")).where("c > 1").select("of"), "repeated")
+    mark = F.when(F.col("of").isNull(), F.lit(0)).otherwise(F.xxhash64("raw")).cast("long")
+    return bare.join(repeated, bare.id == repeated.of, "left").select("id", mark.alias("mark"), "raw")
+
+
+def _meet(docs: DataFrame, told: DataFrame, things: Column, n: int, how: str) -> DataFrame:
+    """Documents with all that is told of each, dealt to ``n`` parts."""
+    by_doc = told.repartition(n, "id", "mark").groupBy("id", "mark").agg(F.collect_list(things).alias("told"))
+    return docs.repartition(n, "id", "mark").hint("merge").join(by_doc, ["id", "mark"], how).select("id", "mark", "raw", "told")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the remaining
     bytes, which may not be whole characters)."""
-    spark = df.sparkSession
-    scratch = Scratch(spark, "substrings")
-    parts = PARTS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw"))
-    kind = df.schema[id_col].dataType.simpleString()
+    return _removed(Scratch(df.sparkSession, "substrings", codec="zstd"), df, id_col, text_col)
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Gather(2, lambda a: by_range(a[0], parts))
-        for whole in batches:
-            for b in text_chunks(whole, limit=TEXT_BYTES):
-                data, offsets = byte_buffer(b)
-                ok, at, h = anchors(data, offsets)
-                found = first_of_runs(ok, at)
-                doc = np.searchsorted(offsets, found, side="right") - 1
-                order, number = numbered(doc, h[found])
-                once = order[np.r_[True, number[1:] != number[:-1]]] if len(order) else order
-                out.add(h[found][once], _ids(b.column(0))[doc[once]])
-                if out.size >= GATHER:
-                    yield out.take()
-        yield out.take()
-
-    def shared(table: pa.Table) -> pa.Table:
-        """Round 1: (id, gram) of grams that more than one document has."""
-        h, ids = unpack(table.column("blob").to_pylist(), ("u8", "i8"))
-        order, number = numbered(h)
-        _, several = smaller_exists(number, ids[order])
-        keep = order[several]
-        return pa.Table.from_batches([dealt(by_document(ids[keep], parts), [ids[keep], h[keep]])])
-
-    sent = source.mapInArrow(first, SENT)
-    grams_shared = scratch.table(sent.groupBy("part").applyInArrow(shared, SENT), "grams")
-
-    part = F.pmod(F.xxhash64(F.coalesce("id", F.lit(NO_ID).cast("long"))), F.lit(parts)).cast("int")
-
-    def by_part() -> DataFrame:
-        return source.select(part.alias("part"), "id", "raw")
-
-    def chunks(docs: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Buffers of documents: ids, bytes, offsets and text marks."""
-        for whole in docs.select(["id", "raw"]).combine_chunks().to_batches():
-            marks, done = text_marks(_ids(whole.column(0)), whole.column(1)), 0
-            for b in text_chunks(whole, limit=TEXT_BYTES):
-                data, offsets = byte_buffer(b)
-                yield _ids(b.column(0)), data, offsets, marks[done : done + b.num_rows]
-                done += b.num_rows
-
-    def second(docs: pa.Table, told: pa.Table) -> pa.Table:
-        """Contexts of the anchors whose gram is shared."""
-        known_id, known_h = unpack(told.column("blob").to_pylist(), ("i8", "u8"))
-        known = np.unique(mixed(known_h ^ known_id.view(np.uint64) * U(0x9E3779B97F4A7C15)))
-        out = Gather(5, lambda a: by_range(a[0], parts))
-        for ids, data, offsets, marks in chunks(docs):
-            ok, at, h = anchors(data, offsets)
-            found = first_of_runs(ok, at)
-            doc = np.searchsorted(offsets, found, side="right") - 1
-            asked = mixed(h[found] ^ ids[doc].view(np.uint64) * U(0x9E3779B97F4A7C15))
-            hit = known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked if len(known) else np.zeros(len(asked), bool)
-            found, doc = found[hit], doc[hit]
-            for i in range(0, len(found), ROWS):
-                a, d = found[i : i + ROWS], doc[i : i + ROWS]
-                where = a[:, None] + np.arange(-BACK, AHEAD)
-                inside = (where >= offsets[d][:, None]) & (where < offsets[d + 1][:, None])
-                rows = np.where(inside, data[np.clip(where, 0, len(data) - 1)], 0).astype(np.uint8)
-                context = mixed(names_of(rows, 11) ^ (inside.sum(axis=1).astype(np.uint64) * U(0xD6E8FEB86659FD93)) ^ inside[:, 0].astype(np.uint64))
-                out.add(h[a], context, ids[d], marks[d], (a - offsets[d]).astype(np.uint32))
-        return pa.Table.from_batches([out.take()])
-
-    def contexts(table: pa.Table) -> pa.Table:
-        """Round 2: anchors that are repeated whole, and anchors at a rim."""
-        h, context, ids, marks, at = unpack(table.column("blob").to_pylist(), ("u8", "u8", "i8", "u4", "u4"))
-        order, number = numbered(h, context)
-        h, ids, marks, at = h[order], ids[order], marks[order], at[order]
-        full, _ = smaller_exists(number, ids)
-        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, int)
-        ends = np.r_[starts[1:], len(h)]
-        several = np.repeat(number[starts] != number[ends - 1], ends - starts) if len(h) else np.zeros(0, bool)
-        state = np.where(full, 1, np.where(several, 2, 0)).astype(np.uint8)
-        keep = state > 0
-        return pa.Table.from_batches([dealt(by_document(ids[keep], parts), [ids[keep], marks[keep], at[keep], state[keep]])])
-
-    places = by_part().groupBy("part").cogroup(grams_shared.groupBy("part")).applyInArrow(second, SENT)
-    judged = scratch.table(places.groupBy("part").applyInArrow(contexts, SENT), "anchors")
-    scratch.drop(grams_shared)
-    PLACE = ("i8", "u4", "u4", "u1")
-
-    def look_up(told: pa.Table, kinds: tuple[str, ...]) -> dict[tuple[int, int], list[np.ndarray]]:
-        """Columns after id and mark, by document."""
-        columns = unpack(told.column("blob").to_pylist(), kinds)
-        order, number = numbered(columns[0], columns[1])
-        columns = [c[order] for c in columns]
-        starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]).tolist() if len(order) else []
-        return {(int(columns[0][a]), int(columns[1][a])): [c[a:b] for c in columns[2:]] for a, b in zip(starts, [*starts[1:], len(order)])}
-
-    def third(docs: pa.Table, told: pa.Table) -> pa.Table:
-        """Names of the windows of anchors at a rim."""
-        known = look_up(told, PLACE)
-        out = Gather(5, lambda a: by_range(a[0], parts))
-        for ids, data, offsets, marks in chunks(docs):
-            ok, at, _ = anchors(data, offsets)
-            rim = np.zeros(len(data) + 1, dtype=bool)
-            for i, (doc, mark) in enumerate(zip(ids.tolist(), marks.tolist())):
-                if (found := known.get((doc, mark))) is not None:
-                    rim[found[0][found[1] == 2].astype(np.int64) + offsets[i]] = True
-            start = np.flatnonzero(ok & rim[at]) if len(at) else at
-            doc = np.searchsorted(offsets, start, side="right") - 1
-            for i in range(0, len(start), ROWS):
-                q, d = start[i : i + ROWS], doc[i : i + ROWS]
-                rows = data[q[:, None] + np.arange(LENGTH)]
-                out.add(names_of(rows, 21), (names_of(rows, 31) >> U(32)).astype(np.uint32), ids[d], marks[d], (q - offsets[d]).astype(np.uint32))
-        return pa.Table.from_batches([out.take()])
-
-    def windows(table: pa.Table) -> pa.Table:
-        """Round 3: windows that a smaller document has."""
-        a, b, ids, marks, at = unpack(table.column("blob").to_pylist(), ("u8", "u4", "i8", "u4", "u4"))
-        order, number = numbered(a, b)
-        full, _ = smaller_exists(number, ids[order])
-        keep = order[full]
-        return pa.Table.from_batches([dealt(by_document(ids[keep], parts), [ids[keep], marks[keep], at[keep], np.full(len(keep), 3, np.uint8)])])
-
-    named = by_part().groupBy("part").cogroup(judged.groupBy("part")).applyInArrow(third, SENT)
-    rims = scratch.table(named.groupBy("part").applyInArrow(windows, SENT), "windows")
-
-    def last(docs: pa.Table, told: pa.Table) -> pa.Table:
-        known = look_up(told, PLACE)
-        ids_out, sizes, removed, spans, kept = [], [], [], [], []
-        for ids, data, offsets, marks in chunks(docs):
-            ok, at, _ = anchors(data, offsets)
-            full = np.zeros(len(data) + 1, dtype=bool)
-            start = np.zeros(len(data) + 1, dtype=np.int32)
-            for i, (doc, mark) in enumerate(zip(ids.tolist(), marks.tolist())):
-                if (found := known.get((doc, mark))) is not None:
-                    place = found[0].astype(np.int64) + offsets[i]
-                    full[place[found[1] == 1]] = True
-                    start[place[found[1] == 3]] = 1
-            if len(at):
-                start[: len(at)] |= (ok & full[at]).astype(np.int32)
-            ends = np.zeros(len(data) + 1, dtype=np.int32)
-            hits = np.flatnonzero(start)
-            ends[hits + LENGTH] = 1
-            gone = np.cumsum(start[:-1] - ends[:-1]) > 0
-            edge = gone & np.r_[True, ~gone[:-1]]
-            for i, doc in enumerate(ids.tolist()):
-                x, y = int(offsets[i]), int(offsets[i + 1])
-                mask = gone[x:y]
-                ids_out.append(doc)
-                sizes.append(y - x)
-                removed.append(int(mask.sum()))
-                # a run that begins with the document may follow another's end
-                spans.append(int(edge[x + 1 : y].sum()) + int(y > x and mask[0]))
-                kept.append(data[x:y][~mask].tobytes())
-        ids_array = pa.array([None if i == NO_ID else i for i in ids_out], pa.int64())
-        return pa.Table.from_arrays([ids_array, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    told = judged.unionByName(rims)
-    out = by_part().groupBy("part").cogroup(told.groupBy("part")).applyInArrow(last, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+def _removed(scratch: Scratch, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    kind = df.schema[id_col].dataType.simpleString()
+    docs = _sources(scratch, df, id_col, text_col)
+
+    # 16 bytes
+    sampled = scratch.table(docs.select("id", "mark", "raw").mapInArrow(first, _schema(ANCHOR)), "anchors")
+    n = parts_for(sampled.count())
+    shared = scratch.table(rerank(scratch, sampled, ["h"], "id", "several", "grams").select("id", "mark", "h", "rank"), "shared")
+    scratch.drop_named("anchors", "grams", "grams-edges")
+
+    # The run
+    met = _meet(docs, shared, F.struct("h", "rank"), n, "inner")
+    run_table = scratch.table(met.mapInArrow(second, _schema(RUN)), "runs")
+    scratch.drop(shared)
+    ranked = scratch.table(rerank(scratch, run_table, ["gram", "run"], "id", "all", "ranks"), "ranked")
+    scratch.drop_named("runs", "ranks", "ranks-edges")
+    whole = ranked.where("smaller").select("id", "mark", "place")
+
+    # 32 bytes
+    most, count = F.shiftright("place", 8).bitwiseAND(0xFF), F.col("place").bitwiseAND(0xFF)
+    left = F.struct(F.lit(1).cast("long").alias("left"), F.shiftrightunsigned("sides", 32).alias("beside"))
+    right = F.struct(F.lit(0).cast("long").alias("left"), F.col("sides").bitwiseAND(0xFFFFFFFF).alias("beside"))
+    both = F.array(F.when(most >= LEFT_FROM, left), F.when(most - count + 1 < LEFT_FROM, right))
+    open_runs = ranked.where("NOT smaller").select("gram", F.col("rank").alias("run"), "id", "mark", "place", F.explode(both).alias("s")).where("s IS NOT NULL")
+    side_rows = open_runs.select("gram", F.col("s.left").alias("left"), F.col("s.beside").alias("beside"), "run", "id", "mark", "place")
+    rims = scratch.table(rerank(scratch, side_rows, ["gram", "left", "beside"], "run", "several", "sides").select("id", "mark", "rank", "place", "left"), "rims")
+    scratch.drop_named("sides", "sides-edges")
+
+    # 50 bytes
+    met = _meet(docs, rims, F.struct("rank", "place", "left"), n, "inner")
+    windows = scratch.table(met.mapInArrow(third, _schema(SINGLE)), "windows")
+    scratch.drop(rims)
+    single = rerank(scratch, windows, ["side", "window"], "id", "smaller", "singles").select("id", "mark", "place")
+    scratch.drop(windows)
+
+    met = _meet(docs, whole.unionByName(single), F.struct("place"), n, "left")
+    out = met.mapInArrow(last, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The contract's columns, written and read back (they are small), so that the last
     round runs with small batches too."""
-    found = remove_repeats(df, id_col, text_col).select(id_col, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    return Scratch(df.sparkSession, "substrings").table(found, "digest")
+    scratch = Scratch(df.sparkSession, "substrings", codec="zstd")
+    found = _removed(scratch, df, id_col, text_col).select(id_col, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    out = scratch.table(found, "digest")
+    scratch.drop_named(*(set(scratch.held.values()) - {"digest"}))
+    return out
