@@ -63,7 +63,7 @@ def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = embeddings(spark, sf_dir)
-    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
 ORACLE_SQL["op8_topk"] = """
