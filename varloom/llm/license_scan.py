@@ -10,7 +10,7 @@ terms under which the work can be used.
 Defined results: a null text counts as empty; without a match labels are empty
 strings, places null and the score 0; equal places of several phrases count each;
 an expression that cannot be parsed gives the licences named before the fault;
-texts are scanned whole; repeated rows give repeated results; only the named
+texts are scanned whole, and expressions to the end of their line, however long; repeated rows give repeated results; only the named
 columns are read; an empty table gives an empty result.
 """
 
@@ -63,6 +63,9 @@ FAMILIES = {
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 WORD_BYTES = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
+#: The same words, and what is left of a line, in bytes decoded one to one.
+WORD = re.compile("[0-9A-Za-z\x80-\xff]+")
+LINE = re.compile(r"[^\n\r]*")
 
 
 @dataclass(frozen=True)
@@ -112,52 +115,53 @@ def to_postfix(tokens: list[str]) -> list[str]:
 def evaluate(tokens: list[str]) -> Terms:
     """``or`` lets the user choose the lighter terms, ``and`` binds to the heavier;
     an exception after ``with`` makes copyleft one step lighter."""
-    stack: list[Terms] = []
+    stack: list[tuple[set[str], int]] = []
     for t in to_postfix(tokens):
         if t not in PRECEDENCE:
-            stack.append(terms_of(t))
+            one = terms_of(t)
+            stack.append((set(one.ids), one.level))
             continue
-        b, a = stack.pop(), stack.pop()
-        if t == "or":
-            stack.append(Terms(a.ids | b.ids, min(a.level, b.level)))
-        elif t == "and":
-            stack.append(Terms(a.ids | b.ids, max(a.level, b.level)))
-        else:
-            exception = ",".join(sorted(b.ids))
-            stack.append(Terms(frozenset(f"{i} with {exception}" for i in a.ids), a.level - 1 if a.level in (1, 2) else a.level))
-    return stack[0]
+        (b, of_b), (a, of_a) = stack.pop(), stack.pop()
+        if t == "with":
+            exception = ",".join(sorted(b))
+            stack.append(({f"{i} with {exception}" for i in a}, of_a - 1 if of_a in (1, 2) else of_a))
+            continue
+        small, large = sorted((a, b), key=len)
+        large |= small
+        stack.append((large, min(of_a, of_b) if t == "or" else max(of_a, of_b)))
+    return Terms(frozenset(stack[0][0]), stack[0][1])
 
 
 TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
-#: No expression is longer; what follows on the line is prose.
-LONGEST_EXPRESSION = 400
+LEAD = re.compile(r"[ \t:=\"']*")
 
 
-def read_expression(text: str) -> Terms | None:
-    """The longest beginning of ``text``, up to the line's end, that is an expression."""
-    line = re.match(r"[ \t:=\"']*([^\n\r]*)", text[:LONGEST_EXPRESSION])[1]
-    tokens, operand, depth, best = [], True, 0, None
-    for m in TOKEN.finditer(line):
+def read_expression(text: str, start: int = 0, end: int | None = None) -> Terms | None:
+    """The longest beginning of ``text[start:end]``, a line's rest, that is an expression.
+    ``with`` stands between a licence and its exception only."""
+    end = len(text) if end is None else end
+    tokens, operand, depth, whole = [], True, 0, 0
+    for m in TOKEN.finditer(text, LEAD.match(text, start, end).end(), end):
         t = m[0].rstrip(".")
-        op = t.lower() in PRECEDENCE
+        low = t.lower()
+        before = tokens[-1].lower() if tokens else ""
         if t == "(":
-            fits = operand
+            fits = operand and before != "with"
             depth += 1
         elif t == ")":
             fits = not operand and depth > 0
             depth -= 1
+        elif low == "with":
+            fits = not operand and before != ")" and [x.lower() for x in tokens[-2:-1]] != ["with"]
         else:
-            fits = operand != op
+            fits = operand != (low in PRECEDENCE)
         if not fits:
             break
         tokens.append(t)
-        operand = op or t == "("
+        operand = low in PRECEDENCE or t == "("
         if not operand and depth == 0:
-            try:
-                best = evaluate(tokens)
-            except (ValueError, IndexError):
-                break
-    return best
+            whole = len(tokens)
+    return evaluate(tokens[:whole]) if whole else None
 
 
 class Scanner:
@@ -174,12 +178,13 @@ class Scanner:
         self.machine.make_automaton()
 
     def scan(self, text: str) -> dict:
-        words = text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
+        raw = text.encode("utf-8", "surrogatepass")
+        words = raw.translate(WORD_BYTES).split()
         out = {"n_words": len(words), "places": [], "labels": set(), "expressions": [], "weights": []}
         if not words:
             return out
         line = f" {b' '.join(words).decode('latin-1')} "
-        tagged, seen, place = False, 0, 0
+        seen, place, tags = 0, 0, []
         for end, (back, what) in self.machine.iter(line):
             start = end - back  # of the space before the phrase
             place += line.count(" ", seen, start) if start >= seen else -line.count(" ", start, seen)
@@ -192,18 +197,26 @@ class Scanner:
                     out["labels"].add(label)
                     out["weights"].append(0.6)
                 else:
-                    tagged = True
-        if tagged:
-            low, at = text.lower(), -1
-            if len(low) != len(text):
-                low = text
-            while (at := low.find(RAW_TAG, at + 1)) >= 0:
-                if found := read_expression(text[at + len(RAW_TAG) : at + len(RAW_TAG) + LONGEST_EXPRESSION]):
-                    out["expressions"].append(found)
-                    out["labels"] |= found.ids | {f"terms:{TERMS[found.level]}"}
-                    out["weights"].append(0.95)
+                    tags.append(place)
+        if tags:
+            self.expressions(raw.decode("latin-1"), tags, out)
         return out
 
+    def expressions(self, text: str, tags: list[int], out: dict) -> None:
+        """Read what follows each tag; ``tags``: the numbers of their first words."""
+        spans = [m.span() for m in WORD.finditer(text)]
+        line_end = 0
+        for place in tags:
+            start, end = spans[place][0], spans[place + len(TAG.split()) - 1][1]
+            if text[start:end].lower() != RAW_TAG:
+                continue
+            if end > line_end or not line_end:
+                line_end = LINE.match(text, end).end()
+            if found := read_expression(text, end, line_end):
+                out["expressions"].append(found)
+                out["labels"] |= found.ids | {f"terms:{TERMS[found.level]}"}
+                out["weights"].append(0.95)
+
 
 _SCANNER: list[Scanner] = []
 
