@@ -42,6 +42,8 @@ CONTEXT = {
     "iban": "iban|bank|account|transfer",
 }
 NEAR = 48
+#: Code points of the blocks in which the surroundings of spans are looked up.
+BLOCK = 512
 CONTEXT_GAIN = 0.5
 
 
@@ -98,29 +100,54 @@ def proposals(text: Column, kind: str) -> Column:
     return found
 
 
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def running(steps: Column) -> Column:
+    """Running sums of a non-empty array, by chunks of about the square root of its size:
+    a fold that grows an array copies it at each step, so it had better be short."""
+    total = lambda x, start: F.aggregate(
+        x,
+        F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["out"], F.array(acc["at"] + v)).alias("out")),
+    )["out"]
+
+    def chunked(chunks: Column) -> Column:
+        ends = total(F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda acc, v: acc + v)), F.lit(0))
+        return bound(ends, lambda ends: F.flatten(F.transform(chunks, lambda c, i: total(c, F.coalesce(F.get(ends, i - 1), F.lit(0))))))
+
+    size = F.ceil(F.sqrt(F.size(steps))).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / size).cast("int")), lambda i: F.slice(steps, i * size + 1, size))
+    return bound(chunks, chunked)
+
+
 def spans_of(text: Column, matches: Column, kind: str) -> Column:
     """Confirmed spans of a kind from its matches: array of kind, start, end, score."""
-    gaps = F.split(text, PATTERNS[kind], -1)
-    placed = F.aggregate(
-        F.sequence(F.lit(1), F.size(matches)),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out")),
-        lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.element_at(gaps, i)) + F.length(F.element_at(matches, i))).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(F.element_at(gaps, i))).alias("start"), F.element_at(matches, i).alias("text")))).alias("out"),
-        ),
-    )["out"]
+    gaps = F.transform(F.slice(F.split(text, PATTERNS[kind], -1), F.lit(1), F.size(matches)), F.length)
+    steps = F.zip_with(gaps, matches, lambda gap, m: gap + F.length(m))
+    placed = F.zip_with(bound(steps, running), matches, lambda end, m: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("text")))
     confirmed = F.filter(placed, lambda s: CHECKS[kind](s["text"]))
-    out = F.transform(confirmed, lambda s: _scored(text, s, kind))
-    return F.when(F.size(matches) > 0, out).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>"))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    scored = lambda spans: F.when(F.size(spans) > 0, bound(blocks, lambda b: F.transform(spans, lambda s: _scored(b, s, kind))))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
+    return F.coalesce(F.when(F.size(matches) > 0, bound(confirmed, scored)), none)
+
+
+def _piece(blocks: Column, start: Column, length: Column) -> Column:
+    """At most ``BLOCK`` code points of a text in blocks; finding them does not walk the text."""
+    at = F.floor(start / BLOCK).cast("int")
+    two = F.concat(F.coalesce(F.get(blocks, at), F.lit("")), F.coalesce(F.get(blocks, at + 1), F.lit("")))
+    return F.substring(two, start - at * BLOCK + 1, length)
 
 
-def _scored(text: Column, s: Column, kind: str) -> Column:
-    end = s["start"] + F.length(s["text"])
-    before = F.substring(text, F.greatest(s["start"] - NEAR, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR)))
-    after = F.substring(text, end + 1, F.lit(NEAR))
+def _scored(blocks: Column, s: Column, kind: str) -> Column:
+    before = _piece(blocks, F.greatest(s["start"] - NEAR, F.lit(0)), F.least(s["start"], F.lit(NEAR)))
+    after = _piece(blocks, s["end"], F.lit(NEAR))
     near = F.lower(F.concat(before, F.lit(" "), after)).rlike(CONTEXT[kind])
     score = F.lit(PRIOR[kind]) + F.when(near, (1 - PRIOR[kind]) * CONTEXT_GAIN).otherwise(0.0)
-    return F.struct(F.lit(kind).alias("kind"), s["start"].cast("int").alias("start"), end.cast("int").alias("end"), score.alias("score"))
+    return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score.alias("score"))
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
