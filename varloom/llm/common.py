@@ -32,24 +32,33 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; where that is unset
-    (single-machine sessions such as tests), a temporary one is set."""
+    """The shared folder named by ``spark.checkpoint.dir``.  Where that is unset a temporary
+    one is set, but only in a session whose tasks run on this machine (such as a test's)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="varloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first longer form of it that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; lost executors then
     recompute no more than the stage since the last table."""
 
-    def __init__(self, spark: SparkSession, name: str, codec: str | None = None):
+    def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
-        self.options = {"compression": codec} if codec else {}
         self.held: dict[str, str] = {}
 
     def table(self, df: DataFrame, name: str = "t", batch_rows: int = BATCH_ROWS) -> DataFrame:
@@ -58,7 +67,7 @@ class Scratch:
         self.count += 1
         path = f"{self.base}/{self.count:03d}-{name}"
         with _writing(self.spark, batch_rows):
-            df.write.options(**self.options).parquet(path)
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         self.held[path] = name

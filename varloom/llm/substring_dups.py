@@ -17,11 +17,10 @@ the same place, their anchor, so neighbouring windows are judged together at the
    row.  A side stays if different runs share it: a passage begins or ends there.
 4. 50 bytes: the single windows of a side, pairs of its rank and the name of the rest.
 
-A sorted part is read as a stream.  The order ends with the document, so the smallest
-one of a rank comes first and the rows of a hot rank divide among parts; ranks that
-reach a part's edge, or have more rows than a worker holds, are closed by an aggregate
-over their rows.  A rank is the part's number and a count inside it, so it keeps the
-order without another pass.  Texts meet what is known of them in a sort-merge join, a
+A sorted part is read as a stream.  Parts are cut by the document too, so the rows of a
+hot rank divide among them; ranks that reach a part's edge, or have more rows than a
+worker holds, are closed by an aggregate over their rows.  A rank is the part's number
+and a count inside it, so no pass is needed to number them.  Texts meet what is known of them in a sort-merge join, a
 document a row.  Parts are sized from counted rows.
 
 Names are 64 bits, and every decision is taken on a rank and a name together.
@@ -35,6 +34,7 @@ whole, as given; extra columns are not read; an empty table gives an empty resul
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -53,9 +53,9 @@ WINDOW = LENGTH - GRAM + 1  # grams of a window
 LEFT_FROM = LENGTH - 2 * GRAM - 1
 NO_ID = int(np.iinfo(np.int64).max)
 U = np.uint64
-#: Bytes of text that are hashed at a time.
-TEXT_BYTES = 1 << 20
-#: Rows of a part, sorted rows that Python gets at a time, and rows of one rank that it holds.
+#: Bytes of text that are hashed at a time, few enough for a processor's own memory.
+TEXT_BYTES = 1 << 15
+#: Rows of a part, rows that go to or from Python at a time, and rows of one rank that it holds.
 PART_ROWS, SORTED_ROWS, HELD = 1 << 21, 1 << 16, 1 << 17
 
 
@@ -138,78 +138,85 @@ def parts_for(rows: int) -> int:
     return max(1, -(-rows // PART_ROWS))
 
 
-def rerank(scratch: Scratch, rows: DataFrame, keys: list[str], owner: str, keep: str, name: str) -> DataFrame:
-    """Sort ``rows`` (columns of type long, which a written table gives) by ``keys`` and
-    ``owner`` and give equal keys a ``rank``; ``smaller`` says whether a smaller owner has
-    the same rank.  ``keep``: ``all`` rows, those with a ``smaller`` owner, or those of
-    ``several``, ranks that more than one owner has."""
+def rerank(scratch: Scratch, rows: DataFrame, n: int, keys: list[str], owner: str, keep: str, name: str) -> DataFrame:
+    """Sort ``rows`` (columns of type long, from written tables) by ``keys``, the first of
+    which is a name, in ``n`` parts, and give rows of equal keys one ``rank``; ``smaller``
+    says whether a smaller owner has the same rank.  ``keep``: ``all`` rows, those with a
+    ``smaller`` owner, or those of ``several``, ranks that more than one owner has.  Of
+    ``all`` rows, those with a smaller owner may keep only id, mark and place."""
     columns = rows.columns
-    n = parts_for(rows.count())
     where = [columns.index(k) for k in keys]
     own = columns.index(owner)
-    edges = [f"edge_{k}" for k in keys]
-    schema = ", ".join([f"{c} long" for c in columns] + ["rank long", "smaller boolean"] + [f"{e} long" for e in edges])
+    asked = [k for k, c in enumerate(columns) if c in ("id", "mark", "place")]
+    schema = ", ".join([f"{c} long" for c in columns] + ["rank long", "smaller boolean", "edge boolean"])
 
-    def batch(values: list[np.ndarray], rank: np.ndarray, smaller: np.ndarray, edge: bool, some: np.ndarray) -> pa.RecordBatch:
-        values = [v[some] for v in values]
-        none = pa.nulls(len(values[0]), pa.int64())
-        out = [*(pa.array(v) for v in values), pa.array(rank[some]), pa.array(smaller[some])]
-        return pa.RecordBatch.from_arrays([*out, *(pa.array(values[k]) if edge else none for k in where)], names=[*columns, "rank", "smaller", *edges])
+    def by_keys(values: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Rows in the order of all keys, and where a new combination begins."""
+        for turn in range(2):
+            new = np.zeros(len(values[0]), bool)
+            for k in where:
+                new[1:] |= values[k][1:] != values[k][:-1]
+            if turn or not (new[1:] & (values[where[0]][1:] == values[where[0]][:-1])).any():
+                break
+            order = np.lexsort([values[k] for k in where[::-1]])  # a name that several strings have
+            values = [v[order] for v in values]
+        new[:1] = True
+        return values, np.flatnonzero(new)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 40
-        held: list[list[np.ndarray]] = []
-        # The part's first rank may have begun in the part before, so it is open.
-        rank, opened, opened_by = 0, True, None
-
-        def edge(values: list[np.ndarray], rank: int) -> pa.RecordBatch:
-            size = len(values[0])
-            return batch(values, np.full(size, base + rank), np.zeros(size, bool), True, np.ones(size, bool))
+        rank = TaskContext.get().partitionId() << 40
+        held: list[np.ndarray] = []
+        edge = True  # the part's first name may have begun in the part before
+
+        def ranked(values: list[np.ndarray], edge: bool) -> pa.RecordBatch:
+            nonlocal rank
+            values, starts = by_keys(values)
+            sizes = np.diff(np.r_[starts, len(values[0])])
+            ranks = rank + np.repeat(np.arange(len(sizes)), sizes)
+            rank += len(sizes)
+            least = np.minimum.reduceat(values[own], starts)
+            smaller = values[own] > np.repeat(least, sizes)
+            if not edge and keep != "all":
+                some = smaller if keep == "smaller" else np.repeat(np.maximum.reduceat(values[own], starts) != least, sizes)
+                values, ranks, smaller = [v[some] for v in values], ranks[some], smaller[some]
+            done = smaller if keep == "all" and not edge else None  # nothing but the place of these is asked for
+            out = [pa.array(v, mask=done if k not in asked else None) for k, v in enumerate(values)]
+            return pa.RecordBatch.from_arrays([*out, pa.array(ranks), pa.array(smaller), pa.array(np.full(len(ranks), edge))], names=[*columns, "rank", "smaller", "edge"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
-            values = [np.concatenate(c) for c in zip(*held)]
-            new = np.zeros(len(values[0]), bool)
-            for k in where:
-                new[1:] |= values[k][1:] != values[k][:-1]
-            starts = np.r_[0, np.flatnonzero(new)]
-            if opened and opened_by not in (None, [v[0] for k, v in enumerate(values) if k in where]):
-                rank, opened = rank + 1, False
-            if opened and len(starts) > 1:
-                yield edge([v[: starts[1]] for v in values], rank)
-                values, starts = [v[starts[1] :] for v in values], starts[1:] - starts[1]
-                rank, opened = rank + 1, False
-            last = int(starts[-1])
-            if len(starts) > 1:  # never while the first rank is open
-                done = [v[:last] for v in values]
-                owners, sizes = done[own], np.diff(starts)
-                least = owners[starts[:-1]]
-                smaller = owners > np.repeat(least, sizes)
-                some = {"all": np.ones(last, bool), "smaller": smaller, "several": np.repeat(owners[starts[1:] - 1] != least, sizes)}[keep]
-                yield batch(done, base + rank + np.repeat(np.arange(len(sizes)), sizes), smaller, False, some)
-                rank += len(sizes)
-            held = [[v[last:] for v in values]]
-            if opened or len(held[0][0]) > HELD:
-                yield edge(held[0], rank)
-                opened, opened_by = True, [v[0] for k, v in enumerate(held[0]) if k in where]
+            values = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            if held:
+                values = [np.concatenate(c) for c in zip(held, values)]
+            name = values[where[0]]
+            last = int(np.searchsorted(name, name[-1], side="left"))
+            first = int(np.searchsorted(name, name[0], side="right")) if edge else 0
+            if edge:
+                yield ranked([v[:first] for v in values], True)
+                edge = first == len(name)
+            if first < last:
+                yield ranked([v[first:last] for v in values], False)
+            held = [v[max(first, last) :] for v in values]
+            if len(held[0]) > HELD:
+                yield ranked(held, True)
+                edge = True
+            if edge:
                 held = []
         if held:
-            yield edge(held[0], rank)
+            yield ranked(held, True)
 
-    order = [*keys, owner, "_part"]
-    # Rows that are wholly alike divide among parts by where they were read.
-    dealt = rows.withColumn("_part", F.spark_partition_id()).repartitionByRange(n, *order).sortWithinPartitions(*order).drop("_part")
+    # Hot ranks, and rows that are wholly alike, divide among parts; inside one the names
+    # are all that Spark has to sort by.
+    salted = rows.withColumn("_part", F.spark_partition_id())
+    dealt = salted.repartitionByRange(n, *keys, owner, "_part").drop("_part").sortWithinPartitions(keys[0])
     streamed = scratch.table(dealt.mapInArrow(stream, schema), name, SORTED_ROWS)
-    inside = streamed.where(F.col(edges[0]).isNull()).select(*columns, "rank", "smaller")
-    at_edge = streamed.where(F.col(edges[0]).isNotNull())
-    totals = at_edge.groupBy(*edges).agg(F.min(owner).alias("_least"), F.max(owner).alias("_most"), F.min("rank").alias("_rank"))
-    totals = scratch.table(totals.select(*(F.col(e).alias(f"_{e}") for e in edges), "_least", "_most", "_rank"), f"{name}-edges")
-    smaller = F.col(owner) > F.col("_least")
-    kept = {"all": F.lit(True), "smaller": smaller, "several": F.col("_least") != F.col("_most")}[keep]
-    met = at_edge.join(totals, [F.col(e) == F.col(f"_{e}") for e in edges]).where(kept)
-    return inside.unionByName(met.select(*columns, F.col("_rank").alias("rank"), smaller.alias("smaller")))
+    totals = streamed.where("edge").groupBy(*keys).agg(F.min(owner).alias("_least"), F.max(owner).alias("_most"), F.min("rank").alias("_rank"))
+    totals = scratch.table(totals.select(*(F.col(k).alias(f"_{k}") for k in keys), "_least", "_most", "_rank", F.lit(True).alias("_edge")), f"{name}-edges")
+    met = streamed.join(totals, [F.col(k) == F.col(f"_{k}") for k in [*keys, "edge"]], "left")
+    smaller = F.when(F.col("edge"), F.col(owner) > F.col("_least")).otherwise(F.col("smaller"))
+    kept = {"all": F.lit(True), "smaller": smaller, "several": ~F.col("edge") | (F.col("_least") != F.col("_most"))}[keep]
+    return met.where(kept).select(*columns, F.coalesce("_rank", "rank").alias("rank"), smaller.alias("smaller"))
 
 
 def _longs(column: pa.Array) -> np.ndarray:
@@ -231,73 +238,104 @@ def _schema(names: list[str]) -> str:
     return ", ".join(f"{c} long" for c in names)
 
 
-ANCHOR = ["h", "id", "mark"]
-RUN = ["gram", "run", "sides", "id", "mark", "place"]
-SINGLE = ["side", "window", "id", "mark", "place"]
+def _each(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of (key, raw, ...) with their bytes and offsets."""
+    for whole in batches:
+        for b in text_chunks(whole, len(key), TEXT_BYTES):
+            yield b, *byte_buffer(b, len(key))
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of (id, mark, raw, ...) with their bytes and offsets."""
-    for whole in batches:
-        for b in text_chunks(whole, 2, TEXT_BYTES):
-            yield b, *byte_buffer(b, 2)
+def gathered(rows: Iterator[list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of columns of longs, small pieces put together."""
+    held, size = [], 0
+    for piece in rows:
+        held.append(piece)
+        size += len(piece[0])
+        if size >= SORTED_ROWS:
+            yield _batch(held, names)
+            held, size = [], 0
+    if held:
+        yield _batch(held, names)
+
+
+def _batch(pieces: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
+    columns = [np.concatenate(c) for c in zip(*pieces)]
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64, copy=False)) for c in columns], names=names)
 
 
-def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(b: pa.RecordBatch, key: list[str], doc: np.ndarray) -> list[np.ndarray]:
+    return [_longs(b.column(k))[doc] for k in range(len(key))]
+
+
+def first(key: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The grams of a document's anchors, once each."""
-    for b, data, offsets in _each(batches):
-        ok, at, h = anchors(data, offsets)
-        found, _, _ = runs(ok, at)
-        doc = np.searchsorted(offsets, found, side="right") - 1
-        order = np.lexsort((h[found], doc))
-        name, doc = h[found][order], doc[order]
-        once = np.r_[True, (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])][: len(name)]
-        yield _rows(ANCHOR, name[once], _longs(b.column(0))[doc[once]], _longs(b.column(1))[doc[once]])
 
+    def rows() -> Iterator[list[np.ndarray]]:
+        for b, data, offsets in _each(batches, key):
+            ok, at, h = anchors(data, offsets)
+            found, _, _ = runs(ok, at)
+            doc = np.searchsorted(offsets, found, side="right") - 1
+            _, once = np.unique(in_document(h[found], doc), return_index=True)
+            yield [h[found[once]], *_keys(b, key, doc[once])]
+
+    return gathered(rows(), ["h", *key])
+
+
+def in_document(name: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Names that differ between the documents of a batch."""
+    return mixed(name ^ mixed(doc.astype(np.uint64) * U(0x9E3779B97F4A7C15) + U(5)))
 
-def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def second(key: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of the anchors whose gram other documents have."""
-    for b, data, offsets in _each(batches):
-        ok, at, h = anchors(data, offsets)
-        anchor, start, count = runs(ok, at)
-        doc = np.searchsorted(offsets, anchor, side="right") - 1
-        of, (name, rank) = _told(b.column(3))
-        in_doc = lambda name, doc: mixed(name ^ mixed(doc.astype(np.uint64) * U(0x9E3779B97F4A7C15) + U(5)))
-        known = in_doc(name.view(np.uint64), of)
-        order = np.argsort(known)
-        known, rank = known[order], rank[order]
-        asked = in_doc(h[anchor], doc)
-        spot = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-        hit = np.flatnonzero(known[spot] == asked)
-        anchor, start, count, doc, rank = anchor[hit], start[hit], count[hit], doc[hit], rank[spot[hit]]
-        # Names beside the gram; where a text has none, no window asks for them.
-        sides = (h[np.maximum(anchor - GRAM, 0)] >> U(32) << U(32)) | (h[np.minimum(anchor + GRAM, len(h) - 1)] >> U(32))
-        spots = place(anchor - offsets[doc], anchor - start, count)
-        yield _rows(RUN, rank, run_names(h, anchor, start, count), sides, _longs(b.column(0))[doc], _longs(b.column(1))[doc], spots)
-
-
-def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def rows() -> Iterator[list[np.ndarray]]:
+        for b, data, offsets in _each(batches, key):
+            ok, at, h = anchors(data, offsets)
+            anchor, start, count = runs(ok, at)
+            doc = np.searchsorted(offsets, anchor, side="right") - 1
+            of, (name, rank) = _told(b.column(len(key) + 1))
+            known = in_document(name.view(np.uint64), of)
+            order = np.argsort(known)
+            known, rank = known[order], rank[order]
+            asked = in_document(h[anchor], doc)
+            spot = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+            hit = np.flatnonzero(known[spot] == asked)
+            anchor, start, count, doc, rank = anchor[hit], start[hit], count[hit], doc[hit], rank[spot[hit]]
+            # Names beside the gram; where a text has none, no window asks for them.
+            sides = (h[np.maximum(anchor - GRAM, 0)] >> U(32) << U(32)) | (h[np.minimum(anchor + GRAM, len(h) - 1)] >> U(32))
+            spots = place(anchor - offsets[doc], anchor - start, count)
+            yield [rank, run_names(h, anchor, start, count), sides, *_keys(b, key, doc), spots]
+
+    return gathered(rows(), ["gram", "run", "sides", *key, "place"])
+
+
+def third(key: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Single windows of the sides that different runs share."""
-    for b, data, offsets in _each(batches):
-        of, (rank, spots, left) = _told(b.column(3))
-        anchor, most, count = unplaced(spots)
-        least = most - count + 1
-        low = np.where(left == 1, np.maximum(least, LEFT_FROM), least)
-        high = np.where(left == 1, most, np.minimum(most, LEFT_FROM - 1))
-        sizes = np.maximum(high - low + 1, 0)
-        each = np.repeat(np.arange(len(of)), sizes)
-        before = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        doc = of[each]
-        start = anchor[each] - before  # within the document
-        h = grams(data) if len(data) >= LENGTH else np.zeros(0, np.uint64)
-        name = chained(window_names(h, start + offsets[doc]), before.astype(np.uint64))
-        yield _rows(SINGLE, rank[each], name, _longs(b.column(0))[doc], _longs(b.column(1))[doc], place(start, np.zeros_like(start), np.ones_like(start)))
-
-
-def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def rows() -> Iterator[list[np.ndarray]]:
+        for b, data, offsets in _each(batches, key):
+            of, (rank, spots, left) = _told(b.column(len(key) + 1))
+            anchor, most, count = unplaced(spots)
+            least = most - count + 1
+            low = np.where(left == 1, np.maximum(least, LEFT_FROM), least)
+            high = np.where(left == 1, most, np.minimum(most, LEFT_FROM - 1))
+            sizes = np.maximum(high - low + 1, 0)
+            each = np.repeat(np.arange(len(of)), sizes)
+            before = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            doc = of[each]
+            start = anchor[each] - before  # within the document
+            h = grams(data) if len(data) >= LENGTH else np.zeros(0, np.uint64)
+            name = chained(window_names(h, start + offsets[doc]), before.astype(np.uint64))
+            yield [rank[each], name, *_keys(b, key, doc), place(start, np.zeros_like(start), np.ones_like(start))]
+
+    return gathered(rows(), ["side", "window", *key, "place"])
+
+
+def last(key: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is left of each document."""
-    for b, data, offsets in _each(batches):
-        of, (spots,) = _told(b.column(3))
+    for b, data, offsets in _each(batches, key):
+        of, (spots,) = _told(b.column(len(key) + 1))
         anchor, before, count = unplaced(spots)
         begin = anchor - before + offsets[of]
         cover = np.zeros(len(data) + 1, dtype=np.int32)
@@ -319,71 +357,73 @@ def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _sources(scratch: Scratch, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``mark`` and ``raw``.  The mark tells texts of one id apart: 0, but for ids of
-    several rows the text's hash."""
+def _sources(scratch: Scratch, df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+    """``id`` and ``raw``, and the columns that name a text: the id, and where ids have several
+    rows a mark that tells their texts apart (0, but for those ids the text's hash)."""
     bare = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw"))
     repeated = scratch.table(bare.groupBy(F.col("id").alias("of")).agg(F.count("*").alias("c")).where("c > 1").select("of"), "repeated")
+    if repeated.isEmpty():
+        return bare, ["id"]
     mark = F.when(F.col("of").isNull(), F.lit(0)).otherwise(F.xxhash64("raw")).cast("long")
-    return bare.join(repeated, bare.id == repeated.of, "left").select("id", mark.alias("mark"), "raw")
+    return bare.join(repeated, bare.id == repeated.of, "left").select("id", mark.alias("mark"), "raw"), ["id", "mark"]
 
 
-def _meet(docs: DataFrame, told: DataFrame, things: Column, n: int, how: str) -> DataFrame:
+def _meet(docs: DataFrame, told: DataFrame, key: list[str], things: Column, n: int, how: str) -> DataFrame:
     """Documents with all that is told of each, dealt to ``n`` parts."""
-    by_doc = told.repartition(n, "id", "mark").groupBy("id", "mark").agg(F.collect_list(things).alias("told"))
-    return docs.repartition(n, "id", "mark").hint("merge").join(by_doc, ["id", "mark"], how).select("id", "mark", "raw", "told")
+    by_doc = told.repartition(n, *key).groupBy(*key).agg(F.collect_list(things).alias("told"))
+    return docs.repartition(n, *key).hint("merge").join(by_doc, key, how).select(*key, "raw", "told")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the remaining
     bytes, which may not be whole characters)."""
-    return _removed(Scratch(df.sparkSession, "substrings", codec="zstd"), df, id_col, text_col)
+    return _removed(Scratch(df.sparkSession, "substrings"), df, id_col, text_col)
 
 
 def _removed(scratch: Scratch, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = df.schema[id_col].dataType.simpleString()
-    docs = _sources(scratch, df, id_col, text_col)
+    docs, key = _sources(scratch, df, id_col, text_col)
 
     # 16 bytes
-    sampled = scratch.table(docs.select("id", "mark", "raw").mapInArrow(first, _schema(ANCHOR)), "anchors")
+    sampled = scratch.table(docs.mapInArrow(partial(first, key), _schema(["h", *key])), "anchors")
     n = parts_for(sampled.count())
-    shared = scratch.table(rerank(scratch, sampled, ["h"], "id", "several", "grams").select("id", "mark", "h", "rank"), "shared")
-    scratch.drop_named("anchors", "grams", "grams-edges")
+    shared = rerank(scratch, sampled, n, ["h"], "id", "several", "grams")
+    scratch.drop(sampled)
 
     # The run
-    met = _meet(docs, shared, F.struct("h", "rank"), n, "inner")
-    run_table = scratch.table(met.mapInArrow(second, _schema(RUN)), "runs")
-    scratch.drop(shared)
-    ranked = scratch.table(rerank(scratch, run_table, ["gram", "run"], "id", "all", "ranks"), "ranked")
-    scratch.drop_named("runs", "ranks", "ranks-edges")
-    whole = ranked.where("smaller").select("id", "mark", "place")
+    met = _meet(docs, shared, key, F.struct("h", "rank"), n, "inner")
+    run_table = scratch.table(met.mapInArrow(partial(second, key), _schema(["gram", "run", "sides", *key, "place"])), "runs")
+    scratch.drop_named("grams", "grams-edges")
+    n_runs = parts_for(run_table.count())
+    ranked = rerank(scratch, run_table, n_runs, ["run", "gram"], "id", "all", "ranks")
+    scratch.drop(run_table)
+    whole = ranked.where("smaller").select(*key, "place")
 
     # 32 bytes
     most, count = F.shiftright("place", 8).bitwiseAND(0xFF), F.col("place").bitwiseAND(0xFF)
     left = F.struct(F.lit(1).cast("long").alias("left"), F.shiftrightunsigned("sides", 32).alias("beside"))
     right = F.struct(F.lit(0).cast("long").alias("left"), F.col("sides").bitwiseAND(0xFFFFFFFF).alias("beside"))
-    both = F.array(F.when(most >= LEFT_FROM, left), F.when(most - count + 1 < LEFT_FROM, right))
-    open_runs = ranked.where("NOT smaller").select("gram", F.col("rank").alias("run"), "id", "mark", "place", F.explode(both).alias("s")).where("s IS NOT NULL")
-    side_rows = open_runs.select("gram", F.col("s.left").alias("left"), F.col("s.beside").alias("beside"), "run", "id", "mark", "place")
-    rims = scratch.table(rerank(scratch, side_rows, ["gram", "left", "beside"], "run", "several", "sides").select("id", "mark", "rank", "place", "left"), "rims")
-    scratch.drop_named("sides", "sides-edges")
+    both = F.array_compact(F.array(F.when(most >= LEFT_FROM, left), F.when(most - count + 1 < LEFT_FROM, right)))
+    open_runs = ranked.where("NOT smaller").select("gram", F.col("rank").alias("run"), *key, "place", F.explode(both).alias("s")).select("gram", "s.*", "run", *key, "place")
+    side_rows = open_runs.select(F.xxhash64("gram", "left", "beside").alias("name"), "*")
+    rims = rerank(scratch, side_rows, n_runs, ["name", "gram", "left", "beside"], "run", "several", "sides")
 
     # 50 bytes
-    met = _meet(docs, rims, F.struct("rank", "place", "left"), n, "inner")
-    windows = scratch.table(met.mapInArrow(third, _schema(SINGLE)), "windows")
-    scratch.drop(rims)
-    single = rerank(scratch, windows, ["side", "window"], "id", "smaller", "singles").select("id", "mark", "place")
+    met = _meet(docs, rims, key, F.struct("rank", "place", "left"), n, "inner")
+    windows = scratch.table(met.mapInArrow(partial(third, key), _schema(["side", "window", *key, "place"])), "windows")
+    scratch.drop_named("sides", "sides-edges")
+    single = rerank(scratch, windows, parts_for(windows.count()), ["window", "side"], "id", "smaller", "singles").select(*key, "place")
     scratch.drop(windows)
 
-    met = _meet(docs, whole.unionByName(single), F.struct("place"), n, "left")
-    out = met.mapInArrow(last, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    met = _meet(docs, whole.unionByName(single), key, F.struct("place"), n, "left")
+    out = met.mapInArrow(partial(last, key), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The contract's columns, written and read back (they are small), so that the last
     round runs with small batches too."""
-    scratch = Scratch(df.sparkSession, "substrings", codec="zstd")
+    scratch = Scratch(df.sparkSession, "substrings")
     found = _removed(scratch, df, id_col, text_col).select(id_col, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     out = scratch.table(found, "digest")
     scratch.drop_named(*(set(scratch.held.values()) - {"digest"}))
