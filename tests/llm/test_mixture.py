@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 from fixtures import empty, tricky
+from pyspark.sql import functions as F
 
 from varloom.llm import mixture
 
@@ -72,3 +73,18 @@ def test_schedule_is_even(spark):
     for at in range(100, 1000, 50):
         some = Counter(s.sid for s in slots[:at])
         assert all(abs(some[k] - at * p) < 8 for k, p in enumerate((0.6, 0.3, 0.1)))
+
+
+def test_repeat_does_not_depend_on_layout(spark, sf):
+    """The same rows over 3 and 7 partitions, with columns of the operator's own names."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for k, name in enumerate(("row", "row_", "id", "order", "copies", "times", "size", "__row", "sid")):
+        docs = docs.withColumn(name, F.lit(k))
+    docs = docs.withColumn("odd.name", F.col("doc_id"))
+    runs = [mixture.repeat(docs.repartition(n, F.rand(n))) for n in (3, 7)]
+    assert runs[0].columns == runs[1].columns == docs.columns
+    a, b = (Counter(map(tuple, r.collect())) for r in runs)
+    assert a == b and sum(a.values()) > docs.count() / 2
+    odd = tricky(spark)
+    assert set(map(tuple, mixture.repeat(odd).collect())) <= set(map(tuple, odd.collect()))
+    assert mixture.repeat(empty(spark)).collect() == []

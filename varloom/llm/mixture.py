@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.llm.common import Scratch, running_sums
+from varloom.llm.common import Scratch, free_name, running_sums
 
 #: Fixed value: the golden ratio's fractional part, (5 ** 0.5 - 1) / 2.
 GOLDEN = 0.6180339887498949
@@ -39,10 +39,12 @@ class Settings:
     block_words: int = 1024
 
 
-def sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``id``, ``source``, ``size`` in words."""
+def sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", order: Column | None = None) -> DataFrame:
+    """``id``, ``source``, ``size`` in words, and ``order``, by which tapes are shuffled (a
+    hash of the id, unless given)."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
+    order = F.xxhash64(F.col(id_col), F.lit(7)) if order is None else order
+    return df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), order.alias("order"))
 
 
 def targets(sized: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -80,8 +82,7 @@ def tape(scratch: Scratch, sized: DataFrame, source_table: DataFrame) -> DataFra
     """Documents on their source's tape: ``id``, ``sid``, ``size``, ``chunk`` and ``place``
     (which name the row), and ``start``, the words before it."""
     table = source_table.select(F.col("source").alias("of"), "sid", "docs")
-    shuffle = F.xxhash64("id", F.lit(7))
-    rows = sized.join(table, F.col("source").eqNullSafe(F.col("of"))).select("id", "sid", "size", shuffle.alias("order"), _chunk(shuffle, F.col("docs")).alias("chunk"))
+    rows = sized.join(table, F.col("source").eqNullSafe(F.col("of"))).select("id", "sid", "size", "order", _chunk(F.col("order"), F.col("docs")).alias("chunk"))
     rows = scratch.table(rows, "dealt")
     before = scratch.table(running_sums(rows, ["sid"], "chunk", F.col("size"), "before"), "before").select(F.col("sid").alias("s"), F.col("chunk").alias("c"), "before")
     w = Window.partitionBy("sid", "chunk").orderBy("order", "id", "size")
@@ -120,10 +121,10 @@ def schedule(scratch: Scratch, source_table: DataFrame, s: Settings = Settings()
     return every.select("slot", "sid", "turn", lo.alias("lo"), F.least(lo + s.block_words, F.col("words")).alias("hi"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", s: Settings = Settings()) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", s: Settings = Settings(), order: Column | None = None) -> DataFrame:
     """Per document ``id_col``, ``size``, ``source_size``, ``target`` and ``taken``."""
     scratch = Scratch(df.sparkSession, "mixture")
-    sized = scratch.table(sizes(df, id_col, text_col, source_col), "sizes")
+    sized = scratch.table(sizes(df, id_col, text_col, source_col, order), "sizes")
     source_table = scratch.table(targets(sized, s), "sources")
     laid = scratch.table(tape(scratch, sized, source_table), "tape")
     lengths = source_table.select(F.col("sid").alias("s"), "source_size", "target")
@@ -152,12 +153,20 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 def repeat(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", s: Settings = Settings()) -> DataFrame:
     """The mix as rows: each row of ``df``, with all its columns, as many times as its
     words are taken (to the nearest whole number, so at most the one document that a
-    source's cut falls in differs from ``taken``)."""
+    source's cut falls in differs from ``taken``).
+
+    Tapes are shuffled by a hash of the whole row, so the mix does not depend on how rows
+    lie in files; rows that are alike in all columns may stand for each other.  Columns of
+    any name are kept, those of the operator's own working names too.
+    """
     scratch = Scratch(df.sparkSession, "repeat")
-    marked = scratch.table(df.select("*", F.monotonically_increasing_id().alias("__row")), "rows")
-    taken = mix(marked, "__row", text_col, source_col, s)
+    row = free_name(df, "row")
+    hashed = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    marked = scratch.table(df.select("*", F.monotonically_increasing_id().alias(row)), "rows")
+    taken = mix(marked, row, text_col, source_col, s, F.xxhash64(*hashed, F.lit(7)))
     times = F.round(F.col("taken") / F.col("size")).cast("int")
-    copies = scratch.table(taken.where("size > 0").select(F.col("__row").alias("__of"), times.alias("__times")).where("__times > 0"), "copies")
-    # Always by sorting: a broadcast where the copies are few would hide how shuffles grow.
-    rows = marked.hint("merge").join(copies, F.col("__row") == F.col("__of"))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*df.columns)
+    copies = taken.where("size > 0").select(F.col(row), F.sequence(F.lit(1), times).alias("copies"), times.alias("times")).where("times > 0")
+    copies = scratch.table(copies.select(F.col(row).alias(f"{row}_of"), "copies"), "copies")
+    # By sorting: both sides grow with the corpus.
+    met = marked.hint("merge").join(copies, marked[row] == copies[f"{row}_of"])
+    return met.select(*(marked[f"`{c}`"] for c in df.columns), F.explode(copies["copies"]).alias(row)).drop(row)
