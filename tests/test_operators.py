@@ -236,3 +236,48 @@ def test_names_must_fit(spark):
         blocks.rename_subjects(s, spark.createDataFrame([(0, "x"), (1, "x")], "sid int, name string")).collect()
     with pytest.raises(Exception, match="unknown name"):
         select.resolve(spark.createDataFrame([("zzz",)], "name string"), s, "name").collect()
+
+
+def test_sites_of_more_alleles_than_codes(spark):
+    """Fifteen alleles are merged and re-based, sixteen are an error and never cut."""
+    names = [chr(66 + k) * 2 for k in range(20)]
+    sites = lambda a, b: (
+        calls(spark, [(1, 10, "A", ",".join(names[:a]), [(k, k) for k in range(a + 1)])]),
+        calls(spark, [(1, 10, "A", ",".join(names[a : a + b]), [(k, 0) for k in range(b + 1)])]).withColumn("sid", F.col("sid") + 100),
+    )
+    got = cells_of(combine.merge(*sites(9, 5), "union"))
+    assert got == {(1, "A", ",".join(names[:14])): [(k, k) for k in range(10)] + [(0, 0)] + [(9 + k, 0) for k in range(1, 6)]}
+    for f in (lambda: combine.merge(*sites(9, 6), "union"), lambda: combine.merge(*sites(10, 10))):
+        with pytest.raises(Exception, match="more alleles than a site may have"):
+            f().collect()
+    full, _ = sites(14, 1)
+    with pytest.raises(Exception, match="more alleles than a site may have"):
+        reshape.reset_reference(full, F.lit("T")).collect()
+    with pytest.raises(Exception, match="more alleles than a site may have"):
+        combine.align(full, calls(spark, [(5, 10, "T", "C", [(0, 0)])])).collect()
+
+
+def test_wide_rows_in_wide_rows_out(spark):
+    """Stored wide rows give what long ones do, over 1,500 subjects."""
+    cells = lambda v, n: [None if (v * s) % 17 == 3 else ((v + s) % 3 % 2, (v * s) % 5 % 3 % 2) for s in range(n)]
+    a = calls(spark, [(v, 10 * (v // 2), "A", "CG"[v % 2], cells(v, 1500)) for v in range(12)])
+    b = calls(spark, [(v + 50, 10 * (v // 2), "ACA"[v % 3], "GAC"[v % 3], cells(v + 1, 700)) for v in range(12)]).withColumn("sid", F.col("sid") + 5000)
+    wa, wb = (spark.createDataFrame(stats.to_wide(t).collect(), stats.to_wide(t).schema) for t in (a, b))
+    check = strand.ChiSquare(0.5, 0.5)
+    for how in ("intersection", "union"):
+        for f in (lambda x, y: combine.merge(x, y, how), lambda x, y: combine.merge(x, y, how, check), lambda x, y: combine.align(x, y, how, check)):
+            assert cells_of(f(a, b)) == cells_of(f(wa, wb))
+    options = ld.Options(30, 0.0, 0.0)
+    pairs = [sorted((r.vid1, r.vid2, r.n_indv, round(r.r2, 9)) for r in ld.pairwise(t, "genotype", options).collect()) for t in (a, wa)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) > 20
+    plan = ld.planes(wa, 0.05)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert cells_of(stats.to_long(reshape.simplify(wa))) == cells_of(reshape.simplify(a))
+
+
+def test_checker_options(spark):
+    check = strand.checker(maf=0.2, agreeing=0.7, window=500, min_r=0.4)
+    assert strand.links_in(check) == strand.LinkSigns(0.2, 0.7, 500, 0.4) and strand.links_in(strand.checker(no_ld=True)) is None
+    a, b = derive(spark, SF, "merge_a"), derive(spark, SF, "merge_b").withColumn("vid", F.col("vid") + 1000)
+    plain, checked = (combine.merge(a, b, "union", c).count() for c in (None, check))
+    assert plain == checked

@@ -44,8 +44,13 @@ def test_files_are_united(spark, tmp_path):
     (tmp_path / "sub" / "b.vcf").write_text(top + "s2\nX\t7\t.\tA\tG,T\t.\t.\t.\tGT\t2\n")
     (tmp_path / "notes.txt").write_text("no")
     known = spark.createDataFrame([("1", 0, 2), ("X", 22, 2)], "chrom string, cidx int, ploidy int")
-    got = sorted((r.chrom, r.pos, r.name, r.a0, r.a1, r.gq, r.dp) for r in vcf.read(spark, str(tmp_path), known).collect())
-    assert got == [("1", 5, "chr", None, None, None, None), ("1", 5, "s1", 0, 1, 9, 4), ("1", 5, "s2", 1, 1, 30, None), ("X", 7, "s2", 2, 2, None, None)]
+    got = sorted(((r.chrom, r.pos, r.name, r.a0, r.a1, r.gq, r.dp) for r in vcf.read(spark, str(tmp_path), known).collect()), key=str)
+    assert got == sorted([("1", 5, "chr", None, None, None, None), ("1", 5, "s1", 0, 1, 9, 4), ("1", 5, "s2", 1, 1, 30, None), ("X", 7, "s2", 2, 2, None, None), ("X", 7, "s1", None, None, None, None), ("X", 7, "chr", None, None, None, None)], key=str)
+    assert sorted({(r.sid, r.name) for r in vcf.read(spark, str(tmp_path), known).collect()}) == [(0, "s1"), (1, "s2"), (2, "chr")]
+    (tmp_path / "sub" / "b.vcf").write_text(top + "s2\nX\t7\t.\tA\tG,T\t.\t.\t.\tGT\t15\nX\t7\t.\tA\tG,T\t.\t.\t.\tGT\t15\n")
+    twice = vcf.read(spark, str(tmp_path), known).where("chrom = 'X' AND name = 's2'").collect()
+    assert len({r.vid for r in twice}) == 2 and all(r.a0 is None for r in twice)  # no code for allele 15
+    assert [r.chrom for r in vcf.deep_contigs(vcf.read(spark, str(tmp_path), known)).orderBy("first").collect()] == ["1", "X"]
     (tmp_path / "c.vcf").write_text(top + "other\n")
     with pytest.raises(Exception, match="largest file lacks"):
         vcf.read(spark, str(tmp_path), known).collect()
@@ -87,3 +92,14 @@ def test_streaming_append(spark, calls, tmp_path):
     append.append(stream(), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(120)
     got = stats.to_long(append.read(spark, f"{tmp_path}/out")).select("vid", "sid", "a0", "a1")
     assert got.exceptAll(calls.select("vid", "sid", "a0", "a1")).count() == 0 and got.count() == calls.count()
+
+
+def test_concat_needs_equal_subjects(spark, calls, tmp_path):
+    subjects = derive(spark, SF, "subjects")
+    for name, some, properties in (("a", subjects, {}), ("b", subjects.withColumn("name", F.concat("name", F.lit("x"))), {}), ("c", subjects, {"phased": False})):
+        table.write(calls.where("cidx < 3"), some, f"{tmp_path}/{name}", table.Properties(**properties))
+    a, b, c = (table.read(spark, f"{tmp_path}/{n}") for n in "abc")
+    assert table.concat(a, a).sites.count() == a.sites.count()
+    for other in (b, c):
+        with pytest.raises(ValueError):
+            table.concat(a, other)

@@ -33,6 +33,13 @@ def alt_text(alts: Column) -> Column:
     return F.when(F.size(alts) == 0, F.lit(".")).otherwise(F.array_join(alts, ","))
 
 
+def alternatives(new: Column, most: int = 15) -> Column:
+    """ALT of an allele list; a list that codes cannot number is an error."""
+    return F.when(F.size(new) > most, F.raise_error(F.concat(F.lit("more alleles than a site may have: "), F.array_join(new, ",")))).otherwise(
+        alt_text(F.slice(new, F.lit(2), F.greatest(F.size(new) - 1, F.lit(0))))
+    )
+
+
 def rebase(old: Column, new: Column, a: Column) -> Column:
     """An allele's index in the list ``new``, from its index in ``old``; null stays, and
     so does an allele that ``new`` lacks become null."""

@@ -7,6 +7,8 @@ tables missing is null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,34 @@ def unphase(a0: Column, a1: Column) -> tuple[Column, Column]:
     return F.when(~missing, F.least(a0, a1)), F.when(~missing, F.greatest(a0, a1))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once a row."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def used(gt: Column) -> Column:
+    """The indices of alleles that some cell of a wide row holds, rising."""
+    held = F.transform(F.filter(F.array_distinct(gt), lambda c: c != 0), lambda c: decode(c.cast("int")))
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(held, lambda g: F.array(g["a0"], g["a1"])))))
+
+
+def recode(gt: Column, old: Column, new: Column) -> Column:
+    """A wide row's codes on another allele list, by a table of all codes of the old one.
+    Cells of alleles that ``new`` lacks become missing."""
+
+    def table(at: Column) -> Column:
+        def code(c: Column) -> Column:
+            g = decode(c)
+            i, j = F.get(at, g["a0"]), F.get(at, g["a1"])
+            return F.when((c == 0) | (i < 0) | (j < 0), F.lit(0)).otherwise(encode(i, j)).cast("smallint")
+
+        return F.transform(F.sequence(F.lit(0), F.size(at) * F.size(at)), code)
+
+    places = F.transform(old, lambda a: (F.array_position(new, a) - 1).cast("int"))
+    moved = bound(bound(places, table), lambda t: F.transform(gt, lambda c: F.get(t, c.cast("int"))))
+    return F.when(old == new, gt).otherwise(moved)
+
+
 def swap(code: Column, phased: bool = True) -> Column:
     """The code after REF and ALT of a biallelic site change places."""
     table = [0, 3, 4, 1, 2] if phased else [0, 3, 2, 1]
@@ -54,7 +84,8 @@ def parse(cell: Column) -> Column:
     cell missing, one number stands for both sides."""
     gt = F.split(cell, ":")[0]
     sides = F.split(gt, r"[/|]")
-    whole = gt.rlike(r"^[0-9]{1,2}([/|][0-9]{1,2})?$")
+    # Codes number alleles 0 to 14; a cell beyond them is missing.
+    whole = gt.rlike(r"^0*([0-9]|1[0-4])([/|]0*([0-9]|1[0-4]))?$")
     first = F.when(whole, sides[0].cast("int"))
     return F.struct(first.alias("a0"), F.when(whole & (F.size(sides) > 1), F.get(sides, F.lit(1)).cast("int")).otherwise(first).alias("a1"))
 

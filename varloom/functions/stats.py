@@ -61,9 +61,11 @@ def genotype_counts(calls: DataFrame, keys: list[str] = SITE) -> DataFrame:
 
 def to_wide(calls: DataFrame, keys: list[str] = SITE) -> DataFrame:
     """One row a site, ``gt`` with a code for each subject in order of ``sid``."""
-    cell = F.struct("sid", codec.encode(F.col("a0"), F.col("a1")).cast("smallint").alias("code"))
-    packed = calls.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    return packed.select(*keys, F.transform("cells", lambda c: c["sid"]).alias("sids"), F.transform("cells", lambda c: c["code"]).alias("gt"))
+    # A cell travels as one number, subject and code, so that sorting needs no comparisons of structs.
+    cell = F.shiftleft(F.col("sid").cast("long"), 8).bitwiseOR(codec.encode(F.col("a0"), F.col("a1")).cast("long"))
+    packed = calls.groupBy(*keys).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    sid = calls.schema["sid"].dataType
+    return packed.select(*keys, F.transform("cells", lambda c: F.shiftright(c, 8).cast(sid)).alias("sids"), F.transform("cells", lambda c: c.bitwiseAND(255).cast("smallint")).alias("gt"))
 
 
 def to_long(wide: DataFrame, keys: list[str] = SITE) -> DataFrame:
@@ -72,6 +74,17 @@ def to_long(wide: DataFrame, keys: list[str] = SITE) -> DataFrame:
     return out.select(*keys, "sid", "g.a0", "g.a1")
 
 
+def wide(table: DataFrame) -> DataFrame:
+    """Wide rows of a table in either layout; stored ones are taken as they are."""
+    return table.select(*SITE, "sids", "gt") if "gt" in table.columns else to_wide(table)
+
+
+def subjects(table: DataFrame, name: str = "sids") -> DataFrame:
+    """One row: a table's subjects, rising.  Cells are not gathered for it."""
+    listed = F.max("sids") if "gt" in table.columns else F.sort_array(F.collect_set("sid"))
+    return table.agg(listed.alias(name))
+
+
 def _alternatives_by_code(ploidy: int) -> Column:
     """What each code adds to AC, from the rule of the codes."""
     out = [0] * (codec.MOST_ALLELES**2 + 1)

@@ -1,14 +1,19 @@
-"""Tables of different subjects merged by coordinate, and aligned to a template."""
+"""Tables of different subjects merged by coordinate, and aligned to a template.
+
+All work is on wide rows, one a site: sides meet in one exchange by coordinate, allele
+lists are settled by row, and a side's codes move to the new list by a table of codes.
+Long tables are packed first, by one aggregate on the site's key.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.functions import alleles, stats
-from varloom.operators import reshape
+from varloom.functions import alleles, codec, stats
+from varloom.operators import reshape, strand
 
 KEY = ["chrom", "pos"]
 
@@ -42,64 +47,103 @@ def match(a: DataFrame, b: DataFrame, how: str = "intersection") -> DataFrame:
     return pairs if how == "union" else pairs.join(shared_positions(a, b), KEY, "left_semi")
 
 
-def reconciled(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs`` with ``old1``, ``old2`` and ``new``, the allele lists of the sides and of the
-    merged site: side 1's as it is where both are equal, else its reference, its used
-    alternatives and the used alleles of side 2."""
-    lists = []
-    for n, t in ((1, a), (2, b)):
-        old = alleles.listed(F.col("ref"), F.col("alt"))
-        u = reshape.used(t).select(F.col("vid").alias(f"vid{n}"), *(F.col(c).alias(f"{c}{n}") for c in ("cidx", "ploidy", "ref", "alt")), old.alias(f"old{n}"), F.transform("used", lambda i: F.get(alleles.listed(F.col("ref"), F.col("alt")), i)).alias(f"used{n}"))
-        lists.append(u)
-    out = pairs.join(lists[0], "vid1", "left").join(lists[1], "vid2", "left")
-    both = F.array_distinct(F.concat(F.array("ref1"), F.col("used1"), F.col("used2")))
-    new = F.when(F.col("vid1").isNull(), F.col("old2")).when(F.col("vid2").isNull() | ((F.col("ref1") == F.col("ref2")) & (F.col("alt1") == F.col("alt2"))), F.col("old1")).otherwise(both)
-    return out.withColumn("new", new).withColumn("cidx", F.coalesce("cidx1", "cidx2")).withColumn("ploidy", F.coalesce("ploidy1", "ploidy2"))
+def _beside(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    """One row for each pair of :func:`match`, from wide rows: structs ``one`` and ``two``
+    (null where a side has none).  The sides meet in one exchange by coordinate, which the
+    windows and the last aggregate share."""
+    if how not in ("intersection", "union"):
+        raise ValueError(how)
+    sides = [t.select(F.lit(n).alias("side"), *stats.SITE, "gt") for n, t in ((1, a), (2, b))]
+    rows = sides[0].unionByName(sides[1]).repartition(*KEY)
+    if how == "intersection":
+        here = Window.partitionBy(*KEY)
+        rows = rows.withColumn("both", F.min("side").over(here) < F.max("side").over(here)).where("both").drop("both")
+    rows = rows.withColumn("kind", F.array_join(F.array_sort(F.array("ref", "alt")), ">"))
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy(*KEY, "kind", "side").orderBy("vid")))
+    rows = rows.withColumn("alike", F.count("*").over(Window.partitionBy(*KEY, "kind", "turn")) == 2)
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*KEY, "side", "alike").orderBy("vid")))
+    slot = F.when(F.col("alike"), F.concat_ws(":", "kind", "turn")).otherwise(F.concat_ws(":", F.lit(""), "place"))
+    site = F.struct(*(c for c in stats.SITE if c not in KEY), "gt")
+    held = lambda n: F.first(F.when(F.col("side") == n, site), ignorenulls=True)
+    return rows.groupBy(*KEY, slot.alias("slot")).agg(held(1).alias("one"), held(2).alias("two")).drop("slot")
+
+
+def _checked(pairs: DataFrame, a: DataFrame, b: DataFrame, check: strand.Checker | None) -> DataFrame:
+    """``pairs`` with ``alt1``, ``ref2`` and ``alt2``, the labels after strand errors are undone."""
+    labels = {"alt1": F.col("one.alt"), "ref2": F.col("two.ref"), "alt2": F.col("two.alt")}
+    if check is None:
+        return pairs.withColumns(labels)
+    links = strand.links_in(check)
+    if links is not None:
+        ids = pairs.where("one IS NOT NULL AND two IS NOT NULL").select(F.col("one.vid").alias("vid1"), F.col("two.vid").alias("vid2"))
+        found = strand.link_signs(a, b, ids, links.window, links.min_r)
+        pairs = pairs.join(found, (F.col("one.vid") == F.col("vid1")) & (F.col("two.vid") == F.col("vid2")), "left")
+    alts = [stats.wide_ac(F.col(f"{s}.gt"), F.col(f"{s}.ploidy")) for s in ("one", "two")]
+    called = [stats.wide_an(F.col(f"{s}.gt"), F.col(f"{s}.ploidy")) for s in ("one", "two")]
+    pairs = pairs.withColumns({"ac1": alts[0], "ac2": alts[1], "an1": called[0], "an2": called[1]})
+    counts = strand.Counts(F.col("an1") - F.col("ac1"), F.col("ac1"), F.col("an2") - F.col("ac2"), F.col("ac2"))
+    new = strand.relabelled(F.col("one.ref"), F.col("one.alt"), F.col("two.ref"), F.col("two.alt"), counts, check)
+    both = F.col("one").isNotNull() & F.col("two").isNotNull()
+    pairs = pairs.withColumn("labels", F.when(both, new))
+    return pairs.withColumns({c: F.coalesce(F.col(f"labels.{c}"), old) for c, old in labels.items()}).drop("labels", "ac1", "ac2", "an1", "an2")
+
+
+def _used_names(side: str, old: Column) -> Column:
+    return F.transform(codec.used(F.col(f"{side}.gt")), lambda i: F.get(old, i))
+
+
+def merge_wide(a: DataFrame, b: DataFrame, how: str = "intersection", check: strand.Checker | None = None) -> DataFrame:
+    """:func:`merge`, giving wide rows."""
+    subjects = [stats.subjects(t, f"sids{n}") for n, t in ((1, a), (2, b))]
+    a, b = stats.wide(a), stats.wide(b)
+    pairs = _checked(_beside(a, b, how), a, b, check)
+    old1, old2 = alleles.listed(F.col("one.ref"), F.col("alt1")), alleles.listed(F.col("ref2"), F.col("alt2"))
+    pairs = pairs.withColumns({"old1": old1, "old2": old2})
+    all_used = F.array_distinct(F.concat(F.array("one.ref"), _used_names("one", F.col("old1")), _used_names("two", F.col("old2"))))
+    new = F.when(F.col("one").isNull(), F.col("old2")).when(F.col("two").isNull() | (F.col("old1") == F.col("old2")), F.col("old1")).otherwise(all_used)
+    pairs = pairs.withColumn("new", new)
+    for t in subjects:  # one row, as wide as a table's subject list
+        pairs = pairs.crossJoin(F.broadcast(t))
+    gts = [F.when(F.col(s).isNull(), F.array_repeat(F.lit(0).cast("smallint"), F.size(f"sids{n}"))).otherwise(codec.recode(F.col(f"{s}.gt"), F.col(f"old{n}"), F.col("new"))) for n, s in ((1, "one"), (2, "two"))]
+    first = lambda c: F.coalesce(F.col(f"one.{c}"), F.col(f"two.{c}")).alias(c)
+    return pairs.select(first("vid"), first("cidx"), *KEY, first("ploidy"), F.col("new")[0].alias("ref"), alleles.alternatives(F.col("new")).alias("alt"), F.concat("sids1", "sids2").alias("sids"), F.concat(*gts).alias("gt"))
+
+
+def merge(a: DataFrame, b: DataFrame, how: str = "intersection", check: strand.Checker | None = None) -> DataFrame:
+    """Calls of both tables' subjects on merged sites; a side that lacks the site gives
+    missing calls.  ``vid`` is side 1's where it has the site.
 
+    A merged site has side 1's alleles as they are where both sides' are equal, else its
+    reference, its used alternatives and the used alleles of side 2.  With a checker the
+    labels of a pair are first freed of strand errors (see :func:`strand.relabelled`).
+    Tables may be long or wide.
+    """
+    return stats.to_long(merge_wide(a, b, how, check))
 
-def merge(a: DataFrame, b: DataFrame, how: str = "intersection") -> DataFrame:
-    """Calls of both tables' subjects on merged sites; a side that lacks the site gives
-    missing calls.  ``vid`` is side 1's where it has the site."""
-    sites = reconciled(a, b, match(a, b, how))
-    parts = []
-    for n, t in ((1, a), (2, b)):
-        key = f"vid{n}"
-        cells = t.select(F.col("vid").alias(key), "sid", "a0", "a1")
-        moved = {c: alleles.rebase(F.col(f"old{n}"), F.col("new"), F.col(c)) for c in ("a0", "a1")}
-        held = sites.where(F.col(key).isNotNull()).join(cells, key).withColumns(moved)
-        # Only sites that the side lacks are filled; a table has all its subjects at each site.
-        sids = t.agg(F.array_sort(F.collect_set("sid")).alias("_sids"))  # one row, as wide as the table
-        lacking = sites.where(F.col(key).isNull()).join(F.broadcast(sids), F.lit(True)).withColumn("sid", F.explode("_sids")).withColumns({c: F.lit(None).cast("int") for c in ("a0", "a1")})
-        for part in (held, lacking):
-            parts.append(part.select(F.coalesce("vid1", "vid2").alias("vid"), "cidx", *KEY, "ploidy", F.col("new")[0].alias("ref"), alleles.alt_text(F.slice("new", 2, 15)).alias("alt"), "sid", "a0", "a1"))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def merge_all(tables: list[tuple[DataFrame, int]], how: str = "intersection", largest_first: bool = False) -> DataFrame:
+
+def merge_all(tables: list[tuple[DataFrame, int]], how: str = "intersection", largest_first: bool = False, check: strand.Checker | None = None) -> DataFrame:
     """Several (table, number of subjects), merged by rising or falling size."""
     order = sorted(tables, key=lambda t: t[1], reverse=largest_first)
-    return reduce(lambda x, y: merge(x, y, how), [t for t, _ in order])
-
-
-def merge_biallelic(a: DataFrame, b: DataFrame, how: str = "intersection") -> DataFrame:
-    return reshape.split_biallelic(merge(a, b, how))
-
-
-def align(df: DataFrame, template: DataFrame, how: str = "intersection") -> DataFrame:
-    """Calls of ``df`` on the reference alleles of ``template`` (sites only are read).
-    Sites of the template alone never appear; those of ``df`` alone stay under union."""
-    sites = df.select(*stats.SITE).distinct()
-    goal = template.select(*stats.SITE).distinct()
-    pairs = match(goal, sites, how).where("vid2 IS NOT NULL")
-    refs = goal.select(F.col("vid").alias("vid1"), F.col("ref").alias("_ref"), F.col("alt").alias("_alt"))
-    joined = df.join(pairs.join(refs, "vid1", "left").select(F.col("vid2").alias("_v"), "_ref", "_alt"), F.col("vid") == F.col("_v"))
-    new_ref = F.coalesce("_ref", "ref")
-    same = F.col("_ref").isNull() | (F.col("_ref") == F.col("ref"))
-    kept = joined.where(same).select(*df.columns)
-    based = reshape.used(df).select(F.col("vid").alias("_u"), "used")
-    moved = joined.where(~same).join(based, F.col("vid") == F.col("_u"))
-    old = alleles.listed(F.col("ref"), F.col("alt"))
-    moved = moved.withColumn("_new", F.array_distinct(F.concat(F.array(new_ref), F.transform("used", lambda i: F.get(old, i)))))
-    moved = moved.withColumns({c: alleles.rebase(old, F.col("_new"), F.col(c)) for c in ("a0", "a1")})
-    moved = moved.withColumns({"ref": F.col("_new")[0], "alt": alleles.alt_text(F.slice("_new", 2, 15))}).select(*df.columns)
-    return kept.unionByName(moved)
+    return stats.to_long(reduce(lambda x, y: merge_wide(x, y, how, check), [t for t, _ in order]))
+
+
+def merge_biallelic(a: DataFrame, b: DataFrame, how: str = "intersection", check: strand.Checker | None = None) -> DataFrame:
+    return reshape.split_biallelic(merge(a, b, how, check))
+
+
+def align(df: DataFrame, template: DataFrame, how: str = "intersection", check: strand.Checker | None = None) -> DataFrame:
+    """Calls of ``df`` on the reference alleles of ``template``.  Sites of the template alone
+    never appear; those of ``df`` alone stay under union.  Only the template's sites are
+    read, unless a checker asks for its calls."""
+    rows = stats.wide(df)
+    if check is None:
+        goal = template.select(*stats.SITE).distinct().withColumn("gt", F.lit(None).cast("array<smallint>"))
+    else:
+        goal = stats.wide(template)
+    pairs = _checked(_beside(goal, rows, how).where("two IS NOT NULL"), goal, rows, check)
+    pairs = pairs.withColumn("old", alleles.listed(F.col("ref2"), F.col("alt2")))
+    based = F.array_distinct(F.concat(F.array("one.ref"), _used_names("two", F.col("old"))))
+    new = F.when(F.col("one").isNull() | (F.col("one.ref") == F.col("ref2")), F.col("old")).otherwise(based)
+    pairs = pairs.withColumn("new", new).crossJoin(F.broadcast(stats.subjects(df)))
+    moved = pairs.select("two.vid", "two.cidx", *KEY, "two.ploidy", F.col("new")[0].alias("ref"), alleles.alternatives(F.col("new")).alias("alt"), "sids", codec.recode(F.col("two.gt"), F.col("old"), F.col("new")).alias("gt"))
+    return stats.to_long(moved)

@@ -1,9 +1,9 @@
 """Linkage disequilibrium of neighbouring sites.
 
-Each site is one row with bit planes over its subjects; pairs come from an equi-join
-on (contig, bin of the window's width) with the right side in its own bin and the
-one before, so no cartesian product and no row per subject is ever shuffled.  Sums
-are popcounts of ANDs.
+Each site is one row with bit planes over its subjects, made by row from wide tables and
+by an aggregate that shuffles 64 subjects a word from long ones.  Pairs come from an
+equi-join on (contig, bin of the window's width) with the right side in its own bin and
+the one before, so there is no cartesian product.  Sums are popcounts of ANDs.
 """
 
 from __future__ import annotations
@@ -14,9 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varloom.functions import codec, stats
-
-WORD = 32  # subjects in a word of a plane
+WORD = 64  # subjects in a word of a plane
 
 
 @dataclass(frozen=True)
@@ -26,22 +24,39 @@ class Options:
     min_r2: float = 0.2
 
 
-def _plane(gt: Column, bit: Callable[[Column], Column]) -> Column:
-    """Words of ``WORD`` bits, one for each code that ``bit`` says so."""
-    words = F.sequence(F.lit(0), F.ceil(F.size(gt) / WORD).cast("int") - 1)
-    word = lambda w: F.aggregate(F.slice(gt, w * WORD + 1, F.lit(WORD)), F.struct(F.lit(0).cast("long").alias("v"), F.lit(1).cast("long").alias("p")), lambda acc, c: F.struct((acc["v"] + F.when(bit(c), acc["p"]).otherwise(F.lit(0).cast("long"))).alias("v"), (acc["p"] * 2).alias("p")))["v"]
-    return F.transform(words, word)
+def _planes_of(wide: DataFrame) -> DataFrame:
+    """Bit planes of wide rows, without a shuffle."""
+
+    def plane(bit: Callable[[Column], Column]) -> Column:
+        words = F.sequence(F.lit(0), F.ceil(F.size("gt") / WORD).cast("int") - 1)
+        word = lambda w: F.aggregate(F.transform(F.slice("gt", w * WORD + 1, F.lit(WORD)), lambda c, k: F.when(bit(c.cast("int")), _one(k)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda acc, v: acc.bitwiseOR(v))
+        return F.transform(words, word)
+
+    right, left = lambda c: (c == 2) | (c == 3), lambda c: (c == 4) | (c == 3)  # noqa: E731  0|1, 1|1; 1|0, 1|1
+    return wide.select("vid", "chrom", "pos", "ploidy", plane(lambda c: c != 0).alias("valid"), plane(left).alias("x"), plane(right).alias("y"))
+
+
+def _one(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))
 
 
-def planes(calls: DataFrame, maf: float, min_called: bool = True) -> DataFrame:
+def _planes_by_cell(calls: DataFrame) -> DataFrame:
+    """Bit planes of long rows: words by subject, OR-ed by a partial aggregate, so what is
+    shuffled is a word for ``WORD`` subjects.  All sites of a table have all its subjects,
+    so words of the same place are of the same subjects."""
+    word, bit = F.floor(F.col("sid") / WORD).cast("long").alias("w"), _one(F.pmod(F.col("sid"), F.lit(WORD)))
+    held = lambda has: F.bit_or(F.when(has, bit).otherwise(F.lit(0).cast("long")))
+    keys = ["vid", "chrom", "pos", "ploidy"]
+    words = calls.groupBy(*keys, word).agg(held(F.col("a0").isNotNull()).alias("valid"), held(F.col("a0") == 1).alias("x"), held(F.col("a1") == 1).alias("y"))
+    rows = words.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("w", "valid", "x", "y"))).alias("ws"))
+    return rows.select(*keys, *(F.col(f"ws.{c}").alias(c) for c in ("valid", "x", "y")))
+
+
+def planes(calls: DataFrame, maf: float) -> DataFrame:
     """Two-allele sites whose both alleles reach ``maf``: ``valid``, and for the left and
-    right side the carriers ``x`` and ``y``."""
-    wide = stats.to_wide(calls.where(~F.col("alt").contains(",")))
-    gt = F.transform("gt", lambda c: c.cast("int"))
-    wide = wide.withColumn("gt", gt)
-    right = lambda c: (c == 2) | (c == 3)  # noqa: E731  0|1 and 1|1
-    left = lambda c: (c == 4) | (c == 3)  # noqa: E731  1|0 and 1|1
-    out = wide.select("vid", "chrom", "pos", "ploidy", _plane(F.col("gt"), lambda c: c != 0).alias("valid"), _plane(F.col("gt"), left).alias("x"), _plane(F.col("gt"), right).alias("y"))
+    right side the carriers ``x`` and ``y``.  ``calls`` may be long or wide."""
+    two = calls.where(~F.col("alt").contains(","))
+    out = _planes_of(two) if "gt" in calls.columns else _planes_by_cell(two)
     ones = lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda acc, v: acc + F.bit_count(v))
     p = (ones("x") + ones("y")) / F.nullif(2 * ones("valid"), F.lit(0))
     return out.withColumn("p", p).where((F.col("p") >= maf) & (1 - F.col("p") >= maf))
@@ -121,3 +136,9 @@ def pairwise(calls: DataFrame, model: str | Callable[[DataFrame, float], DataFra
     f = MODELS[model] if isinstance(model, str) else model
     sites = planes(calls, options.maf)
     return f(neighbours(sites, sites, options.window), options.min_r2)
+
+
+def write(pairs: DataFrame, path: str, compressed: bool = True) -> None:
+    """Pairs as comma-separated files with a header, by contig and place."""
+    ordered = pairs.orderBy("chrom1", "pos1", "vid1", "pos2", "vid2")
+    ordered.write.option("header", True).option("compression", "gzip" if compressed else "none").csv(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varloom.functions import alleles, stats
+from varloom.functions import alleles, codec, stats
 
 SITE = stats.SITE
 
@@ -16,26 +16,24 @@ def used(calls: DataFrame, keys: list[str] = SITE) -> DataFrame:
     return seen.select(*keys, F.array_sort(F.array_distinct(F.concat("_s0", "_s1"))).alias("used"))
 
 
-def _new_list(calls: DataFrame, new: Column, keys: list[str] = SITE) -> DataFrame:
-    """Calls on a new allele list (an expression over ref, alt and used)."""
-    sites = used(calls, keys).withColumn("_new", new)
-    sites = sites.select(*(F.col(k).alias(f"_k_{k}") if k == "vid" else F.col(k).alias(f"_s_{k}") for k in ("vid", "ref", "alt")), "_new")
-    joined = calls.join(sites, calls.vid == F.col("_k_vid"))
-    old = alleles.listed(F.col("ref"), F.col("alt"))
-    moved = joined.withColumns({c: alleles.rebase(old, F.col("_new"), F.col(c)) for c in ("a0", "a1")})
-    return moved.withColumns({"ref": F.col("_new")[0], "alt": alleles.alt_text(F.slice("_new", 2, 15))}).select(*calls.columns)
+def _new_list(calls: DataFrame, first: Column) -> DataFrame:
+    """Calls on the list of ``first`` and the alleles in use, in their old order.  Wide rows
+    change one by one and stay wide."""
+    rows = stats.wide(calls).withColumn("_old", alleles.listed(F.col("ref"), F.col("alt"))).withColumn("_first", first)
+    held = F.transform(codec.used(F.col("gt")), lambda i: F.get(F.col("_old"), i))
+    rows = rows.withColumn("_new", F.array_distinct(F.concat(F.array("_first"), held)))
+    moved = rows.withColumns({"gt": codec.recode(F.col("gt"), F.col("_old"), F.col("_new")), "ref": F.col("_new")[0], "alt": alleles.alternatives(F.col("_new"))}).drop("_old", "_new", "_first")
+    return moved if "gt" in calls.columns else stats.to_long(moved)
 
 
 def simplify(calls: DataFrame) -> DataFrame:
     """Alternatives that no cell holds leave the list."""
-    old = alleles.listed(F.col("ref"), F.col("alt"))
-    return _new_list(calls, F.array_distinct(F.concat(F.array("ref"), F.transform("used", lambda i: F.get(old, i)))))
+    return _new_list(calls, F.col("ref"))
 
 
 def reset_reference(calls: DataFrame, new_ref: Column) -> DataFrame:
     """Sites on another reference allele; alleles in use follow in their old order."""
-    old = alleles.listed(F.col("ref"), F.col("alt"))
-    return _new_list(calls, F.array_distinct(F.concat(F.array(new_ref), F.transform("used", lambda i: F.get(old, i)))))
+    return _new_list(calls, new_ref)
 
 
 def split_biallelic(calls: DataFrame) -> DataFrame:
@@ -98,7 +96,7 @@ def join_multiallelic(calls: DataFrame, phased: bool = True, most: int = 15) ->
     else:
         both = _fold_unphased(F.col("_cells"))
         a0, a1 = both["l"], both["r"]
-    return folded.select(F.col("_vid").alias("vid"), *coordinate, F.col("_new")[0].alias("ref"), alleles.alt_text(F.slice("_new", 2, most)).alias("alt"), "sid", a0.alias("a0"), a1.alias("a1"))
+    return folded.select(F.col("_vid").alias("vid"), *coordinate, F.col("_new")[0].alias("ref"), alleles.alternatives(F.col("_new"), most).alias("alt"), "sid", a0.alias("a0"), a1.alias("a1"))
 
 
 def unify_subjects(calls: DataFrame, master: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varloom.functions import codec
 from varloom.functions.alleles import complement
 from varloom.operators import ld
 
@@ -99,10 +100,13 @@ class FrequencyGap(Checker):
 @dataclass(frozen=True)
 class LinkSigns(Checker):
     """Common variants whose links to neighbours have the same signs in both tables.
-    ``agree`` and ``kept`` name columns that :func:`link_signs` gives."""
+    ``agree`` and ``kept`` name columns that :func:`link_signs` gives, over neighbours
+    within ``window`` whose r reaches ``min_r`` on both sides."""
 
     maf: float = 0.05
     alpha: float = 0.8
+    window: int = 10_000
+    min_r: float = 0.8
     agree: str = "agree"
     kept: str = "kept"
 
@@ -134,21 +138,34 @@ def link_signs(a: DataFrame, b: DataFrame, pairs: DataFrame, window: int = 10_00
     return pairs.join(counts, ["vid1", "vid2"], "left").fillna(0, ["kept", "agree"])
 
 
-def checker(no_ld: bool = False, freq_gap: bool = False) -> Checker:
-    rare: Checker = FrequencyGap() if freq_gap else ChiSquare()
-    return rare if no_ld else rare | LinkSigns()
+def checker(no_ld: bool = False, freq_gap: bool = False, maf: float = 0.05, alpha: float = 0.05, gap: float = 0.05, agreeing: float = 0.8, window: int = 10_000, min_r: float = 0.8) -> Checker:
+    """The four choices of checker, with their limits."""
+    rare: Checker = FrequencyGap(maf, gap) if freq_gap else ChiSquare(maf, alpha)
+    return rare if no_ld else rare | LinkSigns(maf, agreeing, window, min_r)
+
+
+def links_in(check: Checker) -> LinkSigns | None:
+    """The part of a checker that asks for links, which must be counted first."""
+    if isinstance(check, Either):
+        return links_in(check.one) or links_in(check.two)
+    return check if isinstance(check, LinkSigns) else None
 
 
 def relabelled(ref1: Column, alt1: Column, ref2: Column, alt2: Column, c: Counts, check: Checker) -> Column:
-    """Labels of two two-allele sites of one coordinate once strand errors are undone:
-    struct ``alt1``, ``ref2``, ``alt2``.  Codes never change, only names do; the first
-    rule that holds decides.  A side whose ALT nobody carries takes its ALT's name
-    from the other side."""
-    comp = complement
+    """Labels of two sites of one coordinate once strand errors are undone: struct ``alt1``,
+    ``ref2``, ``alt2``.  Codes never change, only names do; the first rule that holds
+    decides.  A side whose ALT nobody carries takes its ALT's name from the other side.
+    Where a side has several alternatives, all names of side 2 are complemented or none;
+    counts then are of the reference and of all alternatives together."""
     eq = F.coalesce(check.equal(c, False), F.lit(False))
     eqr = F.coalesce(check.equal(c.turned(), True), F.lit(False))
+    facts = F.struct(ref1.alias("ref1"), alt1.alias("alt1"), ref2.alias("ref2"), alt2.alias("alt2"), eq.alias("eq"), eqr.alias("eqr"), (c.alt1 == 0).alias("none1"), (c.alt2 == 0).alias("none2"))
+    return codec.bound(facts, lambda f: _decided(*(f[k] for k in ("ref1", "alt1", "ref2", "alt2", "eq", "eqr", "none1", "none2"))))
+
+
+def _decided(ref1: Column, alt1: Column, ref2: Column, alt2: Column, eq: Column, eqr: Column, none1: Column, none2: Column) -> Column:
+    comp = complement
     out = lambda a1, r2, a2: F.struct(a1.alias("alt1"), r2.alias("ref2"), a2.alias("alt2"))
-    none1, none2 = c.alt1 == 0, c.alt2 == 0
     neither = F.when(ref1 == ref2, out(alt1, ref2, alt1)).when(ref1 == comp(ref2), out(alt1, ref1, alt1)).otherwise(out(ref2, ref2, ref1))
     only1 = (
         F.when((ref1 == ref2) & (ref1 == comp(alt2)) & eqr, out(alt2, alt2, ref1))
@@ -169,4 +186,8 @@ def relabelled(ref1: Column, alt1: Column, ref2: Column, alt2: Column, c: Counts
         .otherwise(out(alt1, ref2, ref1))
     )
     pair = F.when((ref1 == comp(ref2)) & (alt1 == comp(alt2)) & eq, out(alt1, ref1, alt1)).when((ref1 == comp(alt2)) & (alt1 == comp(ref2)) & eqr, out(alt1, alt1, ref1)).otherwise(out(alt1, ref2, alt2))
-    return F.when(none1 & none2, neither).when(none1, only1).when(none2, only2).otherwise(pair)
+    two1, two2 = ~alt1.contains(","), ~alt2.contains(",")
+    opposite = ref1 == comp(ref2)
+    crossed = F.when(two1, alt1 == comp(ref2)).when(two2, alt2 == comp(ref1)).otherwise(F.lit(False))
+    many = F.when((opposite & eq) | (~opposite & crossed & eqr), out(alt1, comp(ref2), comp(alt2))).otherwise(out(alt1, ref2, alt2))
+    return F.when(none1 & none2, neither).when(none1, only1).when(none2, only2).when(two1 & two2, pair).otherwise(many)

@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varloom.plans import calls, coordinates, merging, pairs
+from varloom.plans import calls, coordinates, files, merging, pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (calls, coordinates, merging, pairs):
+for module in (calls, coordinates, merging, pairs, files):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

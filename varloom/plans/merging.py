@@ -148,7 +148,50 @@ def _ladder_sql():
  WHEN ac2 = 0 THEN CASE WHEN ref2 = ref1 AND ref2 = {c('alt1')} AND {eqr} THEN {row('alt1', 'alt1', 'ref1')} WHEN ref2 = ref1 THEN {row('alt1', 'ref2', 'alt1')}
   WHEN ref2 = alt1 AND ref2 = {c('ref1')} AND {eq} THEN {row('alt1', 'ref1', 'alt1')} WHEN ref2 = alt1 THEN {row('alt1', 'ref2', 'ref1')}
   WHEN ref2 = {c('ref1')} AND {eq} THEN {row('alt1', 'ref1', 'alt1')} WHEN ref2 = {c('alt1')} AND {eqr} THEN {row('alt1', 'alt1', 'ref1')} ELSE {row('alt1', 'ref2', 'ref1')} END
+ WHEN alt1 LIKE '%,%' OR alt2 LIKE '%,%' THEN CASE WHEN ref1 = {c('ref2')} AND {eq} OR ref1 <> {c('ref2')} AND {eqr} AND (alt1 NOT LIKE '%,%' AND alt1 = {c('ref2')} OR alt1 LIKE '%,%' AND alt2 NOT LIKE '%,%' AND alt2 = {c('ref1')}) THEN {row('alt1', c('ref2'), c('alt2'))} ELSE {row('alt1', 'ref2', 'alt2')} END
  WHEN ref1 = {c('ref2')} AND alt1 = {c('alt2')} AND {eq} THEN {row('alt1', 'ref1', 'alt1')} WHEN ref1 = {c('alt2')} AND alt1 = {c('ref2')} AND {eqr} THEN {row('alt1', 'alt1', 'ref1')} ELSE {row('alt1', 'ref2', 'alt2')} END"""
 
 
 add("merge_strand_fix", "merge_a merge_b", _fixed, f"{PAIRS}, n AS (SELECT vid, {_ladder_sql()} AS n FROM pr) SELECT vid, n.a AS new_alt1, n.b AS new_ref2, n.c AS new_alt2 FROM n")
+
+
+CHECK = strand.ChiSquare(0.5)
+#: Tables of unlike row names, with more strand errors and many-allele sites than merge_b.
+TURNED = """t AS (SELECT 100000 + vid AS vid, cidx, chrom, ploidy, idx, pos, CASE WHEN vid % 3 = 0 THEN translate(ref, 'ACGT', 'TGCA') ELSE ref END AS ref,
+ CASE WHEN vid % 3 = 0 THEN translate(alt, 'ACGT', 'TGCA') ELSE alt END AS alt, sid, a0, a1 FROM merge_b)"""
+
+
+def _turned(b):
+    comp = lambda c: F.when(F.col("vid") % 3 == 0, F.translate(c, "ACGT", "TGCA")).otherwise(F.col(c))
+    return b.withColumns({"ref": comp("ref"), "alt": comp("alt")}).withColumn("vid", F.col("vid") + 100000)
+
+
+def checked_sql(how: str, align: bool = False) -> str:
+    """Pairs by coordinate, their labels by the ladder, then the lists and cells."""
+    stat = ", ".join(f"c{n} AS (SELECT vid, CAST(sum({ALT_COUNT}) AS BIGINT) AS ac{n}, CAST(sum(CASE WHEN a0 IS NOT NULL THEN ploidy ELSE 0 END) AS BIGINT) AS an{n} FROM {t} GROUP BY ALL)" for n, t in ((1, "merge_a"), (2, "t")))
+    if align:
+        new = "CASE WHEN vid1 IS NULL OR ref1 = r2 THEN old2 ELSE list_prepend(ref1, list_filter(list_transform(used2, lambda i: old2[i + 1]), lambda x: x <> ref1)) END"
+        sides, keep = ((2, "t"),), "WHERE vid2 IS NOT NULL"
+    else:
+        new = "CASE WHEN vid1 IS NULL THEN old2 WHEN vid2 IS NULL OR old1 = old2 THEN old1 ELSE list_filter(long, lambda x, i: list_position(long, x) = i) END"
+        sides, keep = ((1, "merge_a"), (2, "t")), ""
+    vid = "k.vid2" if align else "coalesce(k.vid1, k.vid2)"
+    cells = "\n UNION ALL ".join(
+        f"""SELECT {vid} AS vid, k.chrom, k.pos, k.new[1] AS ref, CASE WHEN len(k.new) = 1 THEN '.' ELSE array_to_string(k.new[2:], ',') END AS alt, d.sid,
+ CAST(list_position(k.new, k.old{n}[c.a0 + 1]) - 1 AS INT) AS a0, CAST(list_position(k.new, k.old{n}[c.a1 + 1]) - 1 AS INT) AS a1
+ FROM k CROSS JOIN (SELECT DISTINCT sid FROM {t}) d LEFT JOIN {t} c ON c.vid = k.vid{n} AND c.sid = d.sid"""
+        for n, t in sides
+    )
+    return f"""WITH {TURNED}, {match_sql('merge_a', 't', how)}, {_used(1, 'merge_a')}, {_used(2, 't')}, {stat},
+ pr AS (SELECT m.*, s1.ref AS ref1, s1.alt AS alt1, s2.ref AS ref2, s2.alt AS alt2, ac1, ac2, an1 - ac1 AS rc1, an2 - ac2 AS rc2, coalesce(u1.used, []) AS used1, coalesce(u2.used, []) AS used2
+  FROM m LEFT JOIN s1 ON s1.vid1 = m.vid1 LEFT JOIN s2 ON s2.vid2 = m.vid2 LEFT JOIN c1 ON c1.vid = m.vid1 LEFT JOIN c2 ON c2.vid = m.vid2 LEFT JOIN u1 ON u1.vid = m.vid1 LEFT JOIN u2 ON u2.vid = m.vid2 {keep.replace('vid2', 'm.vid2')}),
+ n AS (SELECT *, CASE WHEN vid1 IS NULL OR vid2 IS NULL THEN {{'a': alt1, 'b': ref2, 'c': alt2}} ELSE {_ladder_sql()} END AS n FROM pr),
+ o AS (SELECT *, n.b AS r2, list_prepend(ref1, string_split(n.a, ',')) AS old1, list_prepend(n.b, string_split(n.c, ',')) AS old2 FROM n),
+ w AS (SELECT *, flatten([[ref1], list_transform(used1, lambda i: old1[i + 1]), list_transform(used2, lambda i: old2[i + 1])]) AS long FROM o),
+ k AS (SELECT chrom, pos, vid1, vid2, old1, old2, {new} AS new FROM w)
+ {cells}"""
+
+
+for how in ("intersection", "union"):
+    add("merge_checked" if how == "intersection" else "merge_checked_union", "merge_a merge_b", lambda a, b, h=how: combine.merge(a, _turned(b), h, CHECK).select(*CALL), checked_sql(how))
+    add("align_checked" if how == "intersection" else "align_checked_union", "merge_b merge_a", lambda b, a, h=how: combine.align(_turned(b), a, h, CHECK).select(*CALL), checked_sql(how, True))

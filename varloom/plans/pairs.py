@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from varloom.functions import stats
 from varloom.operators import ld, select, strand
+from varloom.plans import files
 from varloom.plans.merging import counts, two_allele_pairs
 from varloom.plans.registry import registry
 
@@ -42,7 +44,10 @@ def _r(name, digits=6):
     return F.round(name, digits).alias(name)
 
 
-add("ld_genotype", "calls", lambda c: ld.pairwise(c, "genotype", _options()).select(*PAIR, "n_indv", _r("r2")), f"WITH {_sums('calls')}, {_geno()} SELECT vid1, vid2, pos1, pos2, n AS n_indv, round(num * num / den, 6) AS r2 FROM g WHERE den > 0 AND num * num / den >= 0.2")
+GENOTYPE_SQL = f"WITH {_sums('calls')}, {_geno()} SELECT vid1, vid2, pos1, pos2, n AS n_indv, round(num * num / den, 6) AS r2 FROM g WHERE den > 0 AND num * num / den >= 0.2"
+add("ld_genotype", "calls", lambda c: ld.pairwise(c, "genotype", _options()).select(*PAIR, "n_indv", _r("r2")), GENOTYPE_SQL)
+add("ld_wide", "calls", lambda c: ld.pairwise(stats.to_wide(c), "genotype", _options()).select(*PAIR, "n_indv", _r("r2")), GENOTYPE_SQL)
+add("ld_files", "calls", lambda c: files.through_csv(ld.pairwise(c, "genotype", _options()).select("chrom1", *PAIR, "n_indv", _r("r2"))).drop("chrom1"), GENOTYPE_SQL)
 add(
     "ld_haplotype",
     "calls",

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def contigs(spark: SparkSession, path: str) -> DataFrame:
     """``chrom,ploidy,length`` lines after ``#`` lines; ploidy is 2 where it is missing."""
-    rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.split("value", ",").alias("f"), F.monotonically_increasing_id().alias("_o"))
+    order = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    rows = spark.read.text(path).select("value", order.alias("_o")).where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.split("value", ",").alias("f"), "_o")
     number = lambda i, other: F.coalesce(F.expr(f"try_cast(trim(get(f, {i})) AS BIGINT)"), F.lit(other))
-    return rows.select(F.trim(F.col("f")[0]).alias("chrom"), number(1, 2).cast("int").alias("ploidy"), number(2, 0).alias("length"), "_o").withColumn("cidx", F.col("_o").cast("int")).drop("_o")
+    cidx = F.row_number().over(Window.partitionBy().orderBy("_o")) - 1  # a genome's contigs are few
+    return rows.select(F.trim(F.col("f")[0]).alias("chrom"), number(1, 2).cast("int").alias("ploidy"), number(2, 0).alias("length"), cidx.alias("cidx"))
 
 
 def subject_list(spark: SparkSession, path: str, separator: str = "[,\t\n]") -> DataFrame:

@@ -64,6 +64,22 @@ def read(spark: SparkSession, path: str) -> GenotypeTable:
     return GenotypeTable(sites, spark.read.parquet(f"{path}/{SUBJECTS}"), Properties(**json.loads(found[0].value)))
 
 
+def concat(*tables: GenotypeTable) -> GenotypeTable:
+    """Tables of the same subjects one after another, repeated sites once.  Subjects (names
+    and order), phase and reference must be equal."""
+    first, *rest = tables
+    for t in rest:
+        if (t.properties.phased, t.properties.reference) != (first.properties.phased, first.properties.reference):
+            raise ValueError("tables to concatenate differ in phase or reference")
+        unlike = first.subjects.select("sid", "name").exceptAll(t.subjects.select("sid", "name")).unionByName(t.subjects.select("sid", "name").exceptAll(first.subjects.select("sid", "name")))
+        if not unlike.isEmpty():
+            raise ValueError("tables to concatenate have different subjects")
+    sites = first.sites
+    for t in rest:
+        sites = sites.unionByName(t.sites)
+    return GenotypeTable(sites.dropDuplicates([c for c in stats.SITE]), first.subjects, first.properties)
+
+
 def replace(spark: SparkSession, path: str, rewrite) -> None:
     """Rewrite a table in place: the new form is written beside it, then the folders
     change names, so readers never meet a half-written table."""

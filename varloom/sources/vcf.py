@@ -11,10 +11,15 @@ FIXED = ["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT"]
 
 
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``file`` and ``value`` of every line; folders are read through, and only files
-    that look like variant files (plain or gzip, which is not split)."""
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.vcf*")
-    return reader.text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
+    """``file``, ``value`` and ``arrival`` (which orders lines as the files have them) of every
+    line; folders are read through, and only files that look like variant files (plain or
+    gzip, which is not split) or like the parts that :func:`write` leaves.  Parts of a
+    folder are one file."""
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "{*.vcf*,part-*}")
+    path = F.col("_metadata.file_path")
+    file = F.regexp_replace(path, "/part-[^/]*$", "")
+    arrival = F.struct(path.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return reader.text(paths).select(file.alias("file"), "value", arrival.alias("arrival"))
 
 
 def headers(text: DataFrame) -> DataFrame:
@@ -29,18 +34,20 @@ def contigs(text: DataFrame) -> DataFrame:
 
 
 def deep_contigs(sites: DataFrame) -> DataFrame:
-    """Contigs in order of appearance, two copies each, length unknown."""
-    seen = sites.groupBy("chrom").agg(F.min("vid").alias("first"))
+    """Contigs in order of appearance (``arrival`` of read lines, else the number of the
+    site), two copies each, length unknown."""
+    seen = sites.groupBy("chrom").agg(F.min("arrival" if "arrival" in sites.columns else "vid").alias("first"))
     return seen.select("chrom", "first", F.lit(2).alias("ploidy"), F.lit(0).cast("long").alias("length"))
 
 
 def read(spark: SparkSession, paths: str | list[str], known: DataFrame) -> DataFrame:
-    """Long calls: site columns, ``qual``, ``info``, ``format``, subject ``name``, ``a0``,
-    ``a1``, ``gq``, ``dp``.  Rows on contigs that ``known`` (chrom, cidx, ploidy) lacks
-    are left out; a ``chr`` prefix goes.
+    """Long calls: site columns, ``arrival``, ``qual``, ``info``, ``format``, ``sid``, subject
+    ``name``, ``a0``, ``a1``, ``gq``, ``dp``.  Rows on contigs that ``known`` (chrom, cidx,
+    ploidy) lacks are left out; a ``chr`` prefix goes.
 
     Subjects of several files are united by name: the file with the most is the master
-    and must have all names of the others.
+    and must have all names of the others.  ``sid`` is the place in the master's list, and
+    calls of subjects that a file lacks are missing.  Every line is a site of its own.
     """
     text = lines(spark, paths)
     names = headers(text)
@@ -50,18 +57,20 @@ def read(spark: SparkSession, paths: str | list[str], known: DataFrame) -> DataF
     unknown = F.size(F.array_except("names", "_master")) > 0
     checked = checked.where(F.when(unknown, F.raise_error(F.lit("a file has subjects that the largest file lacks"))).otherwise(F.lit(True)))
     body = text.where(~F.col("value").startswith("#") & (F.col("value") != "")).withColumn("f", F.split("value", "\t"))
-    joined = body.join(checked.drop("_master"), "file")
+    # Where each of the master's subjects stands in the file's list, once a file.
+    joined = body.join(checked.withColumn("at", F.transform("_master", lambda n: F.array_position("names", n).cast("int") - 1)), "file")
     chrom = F.regexp_replace(F.col("f")[0], "^chr", "")
     site = joined.select(
-        "file", "names", chrom.alias("chrom"), F.col("f")[1].cast("long").alias("pos"), F.col("f")[3].alias("ref"), F.col("f")[4].alias("alt"),
-        F.col("f")[5].alias("qual"), F.col("f")[7].alias("info"), F.get("f", F.lit(8)).alias("format"), F.slice("f", 10, 1 << 24).alias("cells"), F.xxhash64("value").alias("line"),
+        "file", "arrival", "_master", "at", chrom.alias("chrom"), F.col("f")[1].cast("long").alias("pos"), F.col("f")[3].alias("ref"), F.col("f")[4].alias("alt"),
+        F.col("f")[5].alias("qual"), F.col("f")[7].alias("info"), F.get("f", F.lit(8)).alias("format"), F.slice("f", 10, 1 << 24).alias("cells"),
     ).join(known.select("chrom", "cidx", "ploidy"), "chrom")
-    site = site.withColumn("vid", F.xxhash64("file", "chrom", "pos", "ref", "alt", "line"))
-    long = site.withColumn("c", F.explode(F.arrays_zip("names", "cells")))
+    site = site.withColumn("vid", F.xxhash64("arrival"))
+    held = F.zip_with("_master", "at", lambda name, i: F.struct(name.alias("names"), F.when(i >= 0, F.get("cells", i)).alias("cells")))
+    long = site.select("*", F.posexplode(held).alias("sid", "c"))
     keys = F.split("format", ":")
     field = lambda key: F.get(F.split("c.cells", ":"), F.array_position(keys, key).cast("int") - 1)
     number = lambda key: F.when(F.array_position(keys, key) > 0, F.floor(F.when(field(key).rlike(r"^[0-9]+([.][0-9]+)?$"), field(key).cast("double"))).cast("int"))
-    return long.select("vid", "cidx", "chrom", "pos", "ploidy", "ref", "alt", "qual", "info", "format", F.col("c.names").alias("name"), codec.parse(F.col("c.cells")).alias("g"), number("GQ").alias("gq"), number("DP").alias("dp")).select("*", "g.a0", "g.a1").drop("g")
+    return long.select("vid", "cidx", "chrom", "pos", "ploidy", "ref", "alt", "arrival", "qual", "info", "format", "sid", F.col("c.names").alias("name"), codec.parse(F.col("c.cells")).alias("g"), number("GQ").alias("gq"), number("DP").alias("dp")).select("*", "g.a0", "g.a1").drop("g")
 
 
 def info_field(ac: Column, an: Column) -> Column:
