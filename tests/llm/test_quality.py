@@ -1,6 +1,8 @@
 """The classifier's held-out accuracy, its risk's parts, and odd input."""
 
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -67,3 +69,78 @@ def test_odd_input(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in quality.classify(spark, docs, none).collect()} == {0.5}
     assert quality.keep(spark, docs, none).columns == docs.columns
+
+
+def plain_features(text):
+    raw, words = (text or "").encode(), (text or "").split()
+    share = lambda ok: sum(map(ok, raw)) / max(1, len(raw))
+    upper, lower = (sum(a <= c <= z for c in raw) for a, z in ((65, 90), (97, 122)))
+    counts = [words.count(w) for w in words] if len(words) < 400 else list(Counter(words).values())
+    distinct, lines = len(set(words)), [x for x in (text or "").split("\n") if x]
+    none = not words
+    return {
+        "log_chars": math.log(1 + len(raw)),
+        "word_length": 0 if none else (len(text) - len(words) + 1) / len(words),
+        "upper": upper / max(1, upper + lower),
+        "symbols": share(lambda c: chr(c) in "!#$%&*+/<=>@[\\]^_`{|}~"),
+        "marks": share(lambda c: chr(c) in ".,;:'\"-()?"),
+        "digits": share(lambda c: 48 <= c <= 57),
+        "spaces": share(lambda c: c in (9, 10, 11, 12, 13, 32)),
+        "distinct": 0 if none else distinct / len(words),
+        "growth": 0 if none else math.log(1 + distinct) / math.log(1 + len(words)),
+        "top_word": 0 if none else max(counts) / len(words),
+        "repeated_lines": 1 - len(set(lines)) / len(lines) if lines and not none else 0,
+        "same_start": 0 if none else sum(w.isalpha() for w in words) / len(words),
+    }
+
+
+def plain_basis(values):
+    """A constant and the hat functions of each feature, one by one."""
+    out = [1.0]
+    for name, knots in quality.KNOTS.items():
+        x = min(max(values[name], knots[0]), knots[-1])
+        for i, k in enumerate(knots):
+            left = knots[i - 1] if i else k - 1
+            right = knots[i + 1] if i + 1 < len(knots) else k + 1
+            out.append(max(0.0, 1 - (x - k) / (right - k)) if x >= k else max(0.0, 1 - (k - x) / (k - left)))
+    return out
+
+
+def test_against_plain_loops(spark, sf):
+    """Features, the risk's minimum and the scores, by loops over all training rows."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    table = quality.feature_table(docs, "doc_id", "text").cache()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in table.collect():
+        assert np.allclose(np.frombuffer(r.x, "<f4"), list(plain_features(texts[r.id]).values()), atol=1e-5)
+    settings = quality.Settings(steps=40)
+    model = quality.fit(spark, table, labels, settings=settings)
+    x = {i: np.array(plain_basis(plain_features(t))) for i, t in texts.items()}
+    held = {i for i in texts if zlib.crc32(str(i).encode()) % 5 == 0}
+    train = np.array([x[i] for i in texts if i not in held])
+    trusted = np.array([x[r.doc_id] for r in labels.collect() if r.quality == 1 and r.doc_id not in held])
+    loss = lambda z: np.log1p(np.exp(-np.abs(z))) + np.maximum(-z, 0)
+
+    def risk(w):
+        p, u = trusted @ w, train @ w
+        negative = loss(-u).mean() - model.prior * loss(-p).mean()
+        return model.prior * loss(p).mean() + max(0.0, negative) + settings.ridge / 2 * w @ w, negative
+
+    best, negative = risk(model.weights)
+    assert negative > 0
+    rng = np.random.default_rng(0)
+    for size in (1e-3, 1e-2, 0.3):
+        for _ in range(50):
+            step = rng.normal(size=len(model.weights))
+            assert risk(model.weights + size * step / np.linalg.norm(step))[0] >= best - 1e-7
+    for r in quality.score(table, model).collect():
+        assert abs(r.score - 1 / (1 + math.exp(-x[r.doc_id] @ model.weights))) < 1e-4
+        assert r.held_out == (r.doc_id in held) and r.predicted == int(r.score >= 0.3)
+
+
+def test_keep_with_any_columns(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    odd = docs.selectExpr("*", "1 as id", "2 as x", "3 as held_out", "4 as score", "5 as predicted", "6 as quality")
+    kept = quality.keep(spark, odd, labels)
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in quality.classify(spark, docs, labels).collect() if r.predicted)

@@ -116,10 +116,10 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 class Settings:
     #: Most labelled positives that are fitted on; those of smallest id hash.
     positives: int = 20_000
-    #: Unlabelled rows whose curvature steers the steps; gradients are over all rows.
-    curvature_rows: int = 20_000
     ridge: float = 1e-3
-    steps: int = 6
+    #: Newton's steps end when no part of the gradient is above ``flat``, or after so many.
+    steps: int = 12
+    flat: float = 1e-7
     bins: int = 200
     #: Least share of the positives above a score at which the prior is read off.
     least_share: float = 0.5
@@ -154,28 +154,34 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(raw, dtype="<f4").reshape(-1, len(FEATURES))
 
 
-def _sums(table: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, int, float, np.ndarray]:
-    """Over all rows: the sum of sigmoid(f) * basis, the count, the sum of
-    loss(-f), and a histogram of sigmoid(f).  One small row comes from each task."""
+def _sums(table: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, float, np.ndarray]:
+    """Over all rows: the sum of sigmoid(f) * basis, its curvature, the count, the sum of
+    loss(-f), and a histogram of sigmoid(f).  Each task gives one small matrix."""
     bins = Settings.bins
+    upper = np.triu_indices(WIDTH)
+    cuts = np.cumsum([WIDTH, len(upper[0]), 1, 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(WIDTH + 2 + bins)
+        slope, curve, count, loss, histogram = np.zeros(WIDTH), np.zeros((WIDTH, WIDTH)), 0, 0.0, np.zeros(bins)
         for b in batches:
             x = basis(_matrix(b.column(0))) if b.num_rows else np.zeros((0, WIDTH))
             z = x @ weights
             p = sigmoid(z)
-            total[:WIDTH] += p @ x
-            total[WIDTH] += len(p)
-            total[WIDTH + 1] += np.logaddexp(0, z).sum()
-            total[WIDTH + 2 :] += np.bincount(np.minimum((p * bins).astype(int), bins - 1), minlength=bins)
+            slope += p @ x
+            curve += (x.T * (p * (1 - p))) @ x
+            count += len(p)
+            loss += np.logaddexp(0, z).sum()
+            histogram += np.bincount(np.minimum((p * bins).astype(int), bins - 1), minlength=bins)
+        total = np.r_[slope, curve[upper], count, loss, histogram]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["k", "v"])
 
-    rows = table.select("x").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-    total = np.zeros(WIDTH + 2 + bins)
-    for r in rows:
-        total[r.k] = r.v
-    return total[:WIDTH], int(total[WIDTH]), float(total[WIDTH + 1]), total[WIDTH + 2 :]
+    rows = table.select("x").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    total = np.zeros(cuts[-1] + bins)
+    total[rows.column("k").to_numpy()] = rows.column("v").to_numpy()
+    slope, half, count, loss, histogram = np.split(total, cuts)
+    curve = np.zeros((WIDTH, WIDTH))
+    curve[upper] = half
+    return slope, curve + np.triu(curve, 1).T, int(count[0]), float(loss[0]), histogram
 
 
 def estimate_prior(positive_scores: np.ndarray, histogram: np.ndarray, least_share: float) -> float:
@@ -196,11 +202,9 @@ def fit(spark: SparkSession, table: DataFrame, labels: DataFrame, label_id: str
     train = table.where(~F.col("held_out"))
     order = F.xxhash64(F.col("id").cast("string"))
     found = train.join(trusted, "id", "left_semi").select("x", order.alias("h"), "id").orderBy("h", "id", "x").limit(settings.positives).select("x").toArrow()
-    steer = train.select("x", order.alias("h"), "id").orderBy("h", "id", "x").limit(settings.curvature_rows).select("x").toArrow()
     if not found.num_rows:
         return Model(np.zeros(WIDTH), 0.5)
     pos = basis(_matrix(found.column("x").combine_chunks()))
-    some = basis(_matrix(steer.column("x").combine_chunks()))
     ridge = settings.ridge * np.eye(WIDTH)
 
     def descend(w: np.ndarray, prior: float | None, steps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +212,7 @@ def fit(spark: SparkSession, table: DataFrame, labels: DataFrame, label_id: str
         P against U, whose score orders by the ratio of their densities."""
         last, last_risk, hist, scale = w, np.inf, np.zeros(settings.bins), 1.0
         for _ in range(steps):
-            g, n, loss, hist = _sums(train, w)
+            g, curve, n, loss, hist = _sums(train, w)
             n = max(1, n)
             z = pos @ w
             p_pos = sigmoid(z)
@@ -216,7 +220,7 @@ def fit(spark: SparkSession, table: DataFrame, labels: DataFrame, label_id: str
             if prior is None:
                 risk = u_risk + np.logaddexp(0, -z).mean()
                 grad = u_grad - ((1 - p_pos) @ pos) / len(pos)
-                curve = [(some, 1.0), (pos, 1.0)]
+                curve = curve / n + (pos.T * (p_pos * (1 - p_pos))) @ pos / len(pos)
             else:
                 negative = u_risk - prior * np.logaddexp(0, z).mean()
                 risk = prior * np.logaddexp(0, -z).mean() + max(0.0, negative)
@@ -224,20 +228,22 @@ def fit(spark: SparkSession, table: DataFrame, labels: DataFrame, label_id: str
                 minus = u_grad - prior * (p_pos @ pos) / len(pos)
                 # a negative part below zero is overfitting: it is raised again
                 grad = plus + minus if negative >= 0 else -minus
-                curve = [(some, 1.0)]
+                curve = curve / n  # the positives' two losses differ by a straight line
             risk += 0.5 * settings.ridge * w @ w
             if risk > last_risk + 1e-9 and scale > 0.1:
                 w, scale = (w + last) / 2, scale / 2
                 continue
-            hess = ridge + sum(c * (x.T * (sigmoid(x @ w) * (1 - sigmoid(x @ w)))) @ x / max(1, len(x)) for x, c in curve)
             last, last_risk = w, risk
-            step = np.linalg.solve(hess + 1e-6 * np.eye(WIDTH), grad + settings.ridge * w)
+            grad = grad + settings.ridge * w
+            if np.abs(grad).max() <= settings.flat:
+                break
+            step = np.linalg.solve(ridge + curve, grad)
             w = w - scale * step * min(1.0, 20.0 / max(1e-9, np.abs(step).max()))
             scale = min(1.0, scale * 2)
         return w, hist
 
     w, _ = descend(np.zeros(WIDTH), None, settings.steps)
-    _, _, _, hist = _sums(train, w)
+    *_, hist = _sums(train, w)
     prior = estimate_prior(sigmoid(pos @ w), hist, settings.least_share)
     w = w.copy()
     w[0] += np.log(prior)
