@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 from fixtures import empty, same, tricky
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from varloom.llm import simhash
@@ -230,3 +231,34 @@ def test_lines_repeated_more_or_less_often(spark):
         line = " ".join(f"l{rng.integers(10**6)}" for _ in range(12))
         docs += [(10 * k + at, " ".join([prose, *[line] * times])) for at, times in enumerate((2, 40))]
     assert kept_ids(spark, docs) == [10 * k for k in range(16)]
+
+
+def test_keep_one_with_any_columns(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    expected = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
+    for k, name in enumerate(("row", "row_", "id", "of", "group", "root", "best", "__row", "odd.name")):
+        docs = docs.withColumn(name, F.lit(k))
+    got = simhash.keep_one(docs.repartition(7, F.rand(1)))
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == expected
+
+
+def test_hot_block_keys(spark, monkeypatch):
+    """Many fingerprints that agree in most blocks, over more than one part of a shard."""
+    monkeypatch.setattr(simhash, "CROWD", 50)
+    rng = np.random.default_rng(6)
+    fps = np.unique(rng.integers(0, 1 << 12, 600).astype(np.int64) << 40)
+    scratch = simhash.Scratch(spark, "test")
+    points = scratch.table(spark.createDataFrame([(int(x),) for x in fps], "fp long"))
+    parent = {int(x): int(x) for x in fps}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in simhash.links(scratch, points).collect():
+        parent[root(r.a)] = root(r.b)
+    for i, x in enumerate(fps.tolist()):
+        for y in fps[i + 1 :].tolist():
+            if bin(x ^ y).count("1") <= 3:
+                assert root(x) == root(y)

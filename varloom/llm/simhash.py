@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import Scratch, text_chunks, texts
+from varloom.llm.common import Scratch, free_name, text_chunks, texts
 from varloom.llm.components import Union, connected_components
 
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -39,6 +39,8 @@ RADIUS = 3
 BLOCKS = 6
 #: Pairs of a query and a node that one step of a search holds.
 FRONTIER = 1 << 20
+#: Points of a shard that one task searches, and points of all the shards of a task.
+CROWD, TASK_ROWS = 2048, 1 << 22
 
 
 def shingle_hashes(text: str, words_each: int) -> tuple[np.ndarray, bytes]:
@@ -168,7 +170,7 @@ def in_shards(batches: Iterator[pa.RecordBatch], solve) -> Iterator[pa.RecordBat
         yield whole([np.concatenate(c) for c in zip(*held)])
 
 
-def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(scratch: Scratch, points: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges ``a``, ``b`` between near fingerprints, enough to connect all that are
     connected.  ``points``: distinct ``fp``."""
     masks = block_masks(radius)
@@ -180,8 +182,17 @@ def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
         moved = label != np.arange(len(fp))
         return pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[label[moved]])], names=["a", "b"])
 
-    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartition(n, "shard").sortWithinPartitions("shard", "fp")
+    # A crowded shard is cut into parts, and a task holds two of them at most: each part
+    # goes with every other, so all its fingerprints still meet.
+    counts = keyed.groupBy("shard").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts")).where("parts > 1")
+    counts = scratch.table(counts.select(F.col("shard").alias("of"), "parts"), "crowded")
+    cut = keyed.join(counts, keyed.shard == counts.of, "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    # A part meets itself when it meets the next one, so pairs of equal numbers are left out.
+    cut = cut.where("parts IS NULL OR own <> other")
+    group = F.when(F.col("parts").isNull(), F.col("shard")).otherwise(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")))
+    n = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-points.count() * len(masks) // TASK_ROWS))
+    dealt = cut.select(group.alias("shard"), "fp").repartition(n, "shard").sortWithinPartitions("shard", "fp")
     return dealt.mapInArrow(lambda batches: in_shards(batches, solve), "a long, b long").distinct()
 
 
@@ -190,7 +201,7 @@ def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     scratch = Scratch(df.sparkSession, "simhash")
     table = scratch.table(fingerprints(df, id_col, text_col, words_each), "fp")
     points = scratch.table(table.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "points")
-    edges = scratch.table(links(points.select("fp"), radius), "links")
+    edges = scratch.table(links(scratch, points.select("fp"), radius), "links")
     nodes = scratch.table(connected_components(scratch, edges), "nodes")
     rooted = nodes.join(points, nodes.node == points.fp).select("root", "node", "rep")
     least = scratch.table(rooted.groupBy("root").agg(F.min("rep").alias("component")), "least")
@@ -214,8 +225,6 @@ MINIMA, EACH = 64, 4
 #: Fingerprint bits that texts of similarity 0.8 may differ in: about nine are
 #: expected of 64, and the spread is three.
 LOOSE_RADIUS = 18
-#: Rows of a shard whose tree one task searches.
-CROWD = 2048
 #: Rows of a group that one task compares at first, and of a side in pairs of chunks;
 #: shingles of either; and rows of a large group that meet all its chunks.
 CHUNK, WIDE, HASHES, HUBS = 128, 512, 1 << 20, 64
@@ -435,26 +444,32 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     of the shingles, a BK-tree over the fingerprints of each connects what lies within a
     loose radius, and within what is so connected every two texts are compared by their
     whole shingle sets, unless others connect them.  Texts of equal words are one point.
+
+    Null and empty texts are one group (they have equal words: none); texts shorter than a
+    shingle are alike only if their words are equal; a null id is kept where its group has
+    no other; columns of any name stay, those of the operator's own working names too.
     """
     scratch = Scratch(df.sparkSession, "keep")
-    marked = scratch.table(df.select("*", F.monotonically_increasing_id().alias("__row")), "rows")
-    signed = scratch.table(signatures(marked, "__row", id_col, text_col, words_each), "signatures")
+    own = free_name(df, "row")
+    marked = scratch.table(df.select("*", F.monotonically_increasing_id().alias(own)), "rows")
+    signed = scratch.table(signatures(marked, own, id_col, text_col, words_each), "signatures")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
     copies = scratch.table(signed.groupBy("copy").agg(F.min("row").alias("rep"), best), "copies")
     reps = copies.select(F.col("rep").alias("row"))
     points = signed.select("row", "fp", "keys").hint("merge").join(reps, "row", "left_semi")
     pairs = scratch.table(candidates(scratch, points, radius), "pairs")
     scratch.drop(signed)
-    groups = scratch.table(connected_components(scratch, pairs).select(F.col("node").alias("__row"), F.col("root").alias("group")), "groups")
+    groups = scratch.table(connected_components(scratch, pairs).select(F.col("node").alias("of"), F.col("root").alias("group")), "groups")
     scratch.drop(pairs)
-    # Always by sorting: a broadcast where the pairs are few would hide how shuffles grow.
-    grouped = marked.select("__row", F.col(text_col).alias("text")).hint("merge").join(groups, "__row").withColumnRenamed("__row", "row")
+    # By sorting: both sides grow with the corpus.
+    bare = marked.select(F.col(own).alias("row"), F.col(text_col).alias("text"))
+    grouped = bare.hint("merge").join(groups, bare.row == groups.of).drop("of")
     sets = scratch.table(shingle_sets(grouped, words_each), "sets")
     edges = scratch.table(alike(scratch, sets, similarity), "edges")
     scratch.drop(sets)
     nodes = connected_components(scratch, edges)
     rooted = copies.join(nodes, copies.rep == nodes.node, "left").select(F.coalesce("root", "rep").alias("root"), "best")
-    chosen = scratch.table(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row")), "chosen")
+    chosen = scratch.table(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(own)), "chosen")
     for done in (groups, copies, edges):  # what is left to read are the rows and the choice
         scratch.drop(done)
-    return marked.hint("merge").join(chosen, "__row", "left_semi").select(*df.columns)
+    return marked.hint("merge").join(chosen, own, "left_semi").select(*(f"`{c}`" for c in df.columns))
