@@ -6,6 +6,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from fixtures import tricky
+from pyspark.sql import functions as F
 from test_simhash import brute_kept
 
 import corpus_pipeline
@@ -76,6 +78,27 @@ def test_encoding(stages):
         assert hashlib.sha256(bpe.load(corpus_pipeline.vocabulary()).decode(ids).encode()).hexdigest() == r.decoded_sha256
 
 
+def test_odd_input(spark):
+    """Null, empty and very long texts, null ids and sources, repeated rows, clashing names."""
+    docs = tricky(spark)
+    for name in ("row", "id", "order", "copies", "group", "x", "held_out", "__row", "odd.name"):
+        docs = docs.withColumn(name, F.lit(name))
+    everything = docs.count()
+    scratch = Scratch(spark, "test")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        if name == "quality classifier":
+            assert stage(spark, docs, SF).columns == docs.columns  # it may reject all of these
+            continue
+        after = scratch.table(stage(spark, docs, SF))
+        assert after.columns == docs.columns and after.schema.simpleString() == docs.schema.simpleString()
+        if name == "secret scans":
+            assert after.count() == docs.count()
+        docs = after
+    assert 0 < docs.count() <= 2 * everything
+    encoded = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert encoded.count() == docs.count() and encoded.columns[:2] == ["doc_id", "n_tokens"]
+
+
 def test_run_and_empty(spark, stages, tmp_path):
     a = Counter(map(tuple, corpus_pipeline.run(spark, SF).drop("ids").collect()))
     assert a == Counter(map(tuple, stages[5].drop("ids").collect()))

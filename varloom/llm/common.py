@@ -51,6 +51,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def map_whole_rows(df: DataFrame, run) -> DataFrame:
+    """``df.mapInArrow(run, df.schema)`` for columns of any name; ``run`` goes by place."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; lost executors then
     recompute no more than the stage since the last table."""

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm.common import Scratch, byte_buffer, text_chunks, texts
+from varloom.llm.common import Scratch, byte_buffer, map_whole_rows, text_chunks, texts
 
 #: Knots of the hat functions of each feature.
 SHARES = (0.0, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9, 1.0)
@@ -281,4 +281,4 @@ def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
             for b in text_chunks(whole, column):
                 yield b.filter(pa.array(model.score(features(b, column)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_whole_rows(docs, run)

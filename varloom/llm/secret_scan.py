@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import byte_buffer, text_chunks, texts
+from varloom.llm.common import byte_buffer, map_whole_rows, text_chunks, texts
 
 
 @dataclass(frozen=True)
@@ -263,7 +263,7 @@ def redact(df: DataFrame, text_col: str = "text", mark: Callable[[str], str] = l
                     batch = pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
                 yield batch
 
-    return df.mapInArrow(run, df.schema)
+    return map_whole_rows(df, run)
 
 
 def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

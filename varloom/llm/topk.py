@@ -234,6 +234,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
                         yield pa.RecordBatch.from_arrays(found, names=["asker", "query_id", "row", "vec_id", "score"])
 
     found = scratch.table(met.mapInArrow(run, "asker long, query_id long, row long, vec_id long, score long"), "found", batch_rows)
+    scratch.drop_named("data", "queries")
     w = Window.partitionBy("asker").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
