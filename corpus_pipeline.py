@@ -1,5 +1,13 @@
 """The corpus pipeline: raw documents to a deduplicated, cleaned, mixed and encoded
-training set.  Each stage takes all documents that the one before it kept."""
+training set.  Each stage takes all documents that the one before it kept.
+
+Defined results, for every stage: null and empty texts are judged like others (all of them
+are one group of near copies, and the mix, which counts words, takes none of them); texts
+are read whole, however long; rows of a null id stay rows; rows that are alike are copies
+of each other; ties of copies go to the smallest id; a null source is a source of its own;
+columns of any name pass through all stages but the last, whose result has the id and the
+encoding only; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
