@@ -281,3 +281,19 @@ def test_checker_options(spark):
     a, b = derive(spark, SF, "merge_a"), derive(spark, SF, "merge_b").withColumn("vid", F.col("vid") + 1000)
     plain, checked = (combine.merge(a, b, "union", c).count() for c in (None, check))
     assert plain == checked
+
+
+def test_defaults_and_cursor(spark):
+    c = derive(spark, SF, "calls")
+    options = ld.Options(1000, 0.1, 0.0)
+    for phased, model in ((True, "haplotype"), (False, "genotype")):
+        assert ld.pairwise(c, None, options, phased).count() == ld.pairwise(c, model, options).count()
+    with pytest.raises(ValueError):
+        ld.pairwise(c, "other")
+    v = derive(spark, SF, "variants")
+    assert select.tell(v.limit(0)) is None and select.resume(v, None).count() == v.count()
+    assert select.resume(v, select.tell(v)).count() == 0
+    wide = stats.to_wide(c)
+    assert select.subjects_wide(wide, [5, 2, 5]).first().sids == [5, 2]
+    with pytest.raises(Exception, match="unknown subject"):
+        select.subjects_wide(wide, [10**6]).collect()

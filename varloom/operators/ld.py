@@ -129,8 +129,12 @@ def genotype(pairs: DataFrame, min_r2: float = 0.0) -> DataFrame:
 MODELS = {"haplotype": haplotype, "genotype": genotype}
 
 
-def pairwise(calls: DataFrame, model: str | Callable[[DataFrame, float], DataFrame] = "haplotype", options: Options = Options()) -> DataFrame:
-    """LD of all pairs of sites within the window."""
+def pairwise(calls: DataFrame, model: str | Callable[[DataFrame, float], DataFrame] | None = None, options: Options = Options(), phased: bool = True) -> DataFrame:
+    """LD of all pairs of sites within the window; without a model by haplotypes where calls
+    are phased, else by genotypes."""
+    model = model or ("haplotype" if phased else "genotype")
+    if isinstance(model, str) and model not in MODELS:
+        raise ValueError(f"no such model: {model}")
     if options.window < 1 or not 0 <= options.maf <= 0.5 or not 0 <= options.min_r2 <= 1:
         raise ValueError("options out of range")
     f = MODELS[model] if isinstance(model, str) else model

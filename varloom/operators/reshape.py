@@ -16,24 +16,28 @@ def used(calls: DataFrame, keys: list[str] = SITE) -> DataFrame:
     return seen.select(*keys, F.array_sort(F.array_distinct(F.concat("_s0", "_s1"))).alias("used"))
 
 
-def _new_list(calls: DataFrame, first: Column) -> DataFrame:
-    """Calls on the list of ``first`` and the alleles in use, in their old order.  Wide rows
-    change one by one and stay wide."""
-    rows = stats.wide(calls).withColumn("_old", alleles.listed(F.col("ref"), F.col("alt"))).withColumn("_first", first)
+def _new_list(calls: DataFrame, leading: Column) -> DataFrame:
+    """Calls on the list that begins with ``leading`` (an array) and goes on with all other
+    alleles in use, in their old order; an empty one keeps the reference.  Wide rows change
+    one by one and stay wide."""
+    rows = stats.wide(calls).withColumn("_old", alleles.listed(F.col("ref"), F.col("alt"))).withColumn("_leading", leading)
     held = F.transform(codec.used(F.col("gt")), lambda i: F.get(F.col("_old"), i))
-    rows = rows.withColumn("_new", F.array_distinct(F.concat(F.array("_first"), held)))
-    moved = rows.withColumns({"gt": codec.recode(F.col("gt"), F.col("_old"), F.col("_new")), "ref": F.col("_new")[0], "alt": alleles.alternatives(F.col("_new"))}).drop("_old", "_new", "_first")
+    new = F.array_distinct(F.concat("_leading", held))
+    rows = rows.withColumn("_new", F.when(F.size(new) == 0, F.array("ref")).otherwise(new))
+    moved = rows.withColumns({"gt": codec.recode(F.col("gt"), F.col("_old"), F.col("_new")), "ref": F.col("_new")[0], "alt": alleles.alternatives(F.col("_new"))}).drop("_old", "_new", "_leading")
     return moved if "gt" in calls.columns else stats.to_long(moved)
 
 
-def simplify(calls: DataFrame) -> DataFrame:
-    """Alternatives that no cell holds leave the list."""
-    return _new_list(calls, F.col("ref"))
+def simplify(calls: DataFrame, keep_ref: bool = True) -> DataFrame:
+    """Alternatives that no cell holds leave the list, and the reference too if it need not
+    be kept."""
+    return _new_list(calls, F.array("ref") if keep_ref else F.array().cast("array<string>"))
 
 
-def reset_reference(calls: DataFrame, new_ref: Column) -> DataFrame:
-    """Sites on another reference allele; alleles in use follow in their old order."""
-    return _new_list(calls, new_ref)
+def reset_reference(calls: DataFrame, new_ref: Column, new_alts: Column | None = None) -> DataFrame:
+    """Sites on another reference allele and, if given, alternatives (an array); other
+    alleles in use follow in their old order."""
+    return _new_list(calls, F.array(new_ref) if new_alts is None else F.concat(F.array(new_ref), new_alts))
 
 
 def split_biallelic(calls: DataFrame) -> DataFrame:

@@ -126,9 +126,15 @@ USED = """u AS (SELECT DISTINCT vid, a FROM (SELECT vid, a0 AS a FROM calls UNIO
 
 def _rebased(first: str) -> str:
     """The used alleles after ``first``, in old order, and cells by their new places."""
+    return _listed(f"[{first}]")
+
+
+def _listed(leading: str) -> str:
+    """``leading`` and the other used alleles, in old order, and cells by their new places."""
     return f"""WITH {USED},
- n0 AS (SELECT old.vid, al, {first} AS first, list_transform(coalesce(us.used, []), lambda i: al[i + 1]) AS names FROM old LEFT JOIN us ON old.vid = us.vid),
- n AS (SELECT vid, al, list_prepend(first, list_filter(names, lambda x: x <> first)) AS new FROM n0)
+ n0 AS (SELECT old.vid, al, {leading} AS head, list_transform(coalesce(us.used, []), lambda i: al[i + 1]) AS names FROM old LEFT JOIN us ON old.vid = us.vid),
+ n1 AS (SELECT vid, al, list_concat(head, list_filter(names, lambda x: NOT list_contains(head, x))) AS new FROM n0),
+ n AS (SELECT vid, al, CASE WHEN len(new) = 0 THEN [al[1]] ELSE new END AS new FROM n1)
  SELECT c.vid, c.sid, n.new[1] AS ref, CASE WHEN len(n.new) = 1 THEN '.' ELSE array_to_string(n.new[2:], ',') END AS alt,
  CAST(list_position(n.new, n.al[c.a0 + 1]) - 1 AS INT) AS a0, CAST(list_position(n.new, n.al[c.a1 + 1]) - 1 AS INT) AS a1
  FROM calls c JOIN n ON c.vid = n.vid"""
@@ -137,6 +143,14 @@ def _rebased(first: str) -> str:
 CALL = ["vid", "sid", "ref", "alt", "a0", "a1"]
 add("simplify_alleles", "calls", lambda c: reshape.simplify(c).select(*CALL), _rebased("al[1]"))
 add("reset_alleles", "calls", lambda c: reshape.reset_reference(c, F.split("alt", ",")[0]).select(*CALL), _rebased("al[2]"))
+add("simplify_alleles_all", "calls", lambda c: reshape.simplify(c, False).select(*CALL), _listed("CAST([] AS VARCHAR[])"))
+add("reset_alleles_with_alts", "calls", lambda c: reshape.reset_reference(c, F.split("alt", ",")[0], F.array(F.lit("TT"), F.col("ref"))).select(*CALL), _listed("[al[2], 'TT', al[1]]"))
+add(
+    "subject_order",
+    "calls",
+    lambda c: select.subjects_wide(stats.to_wide(c), [7, 3, 5, 3, 1]).select("vid", F.posexplode(F.arrays_zip("sids", "gt")).alias("k", "c")).select("vid", "k", F.col("c.sids").alias("sid"), F.col("c.gt").cast("int").alias("code")),
+    f"SELECT vid, CAST(CASE sid WHEN 7 THEN 0 WHEN 3 THEN 1 WHEN 5 THEN 2 ELSE 3 END AS INT) AS k, sid, CAST({CODE} AS INT) AS code FROM calls WHERE sid IN (7, 3, 5, 1)",
+)
 add("subject_subset", "calls", lambda c: stats.site_stats(select.subjects(c, [31, 3, 14, 15, 9, 3, 26])).select(*K, "ac", "an"), f"SELECT vid, chrom, pos, ac, an FROM ({SITES.replace('GROUP BY', 'WHERE sid IN (3, 9, 14, 15, 26, 31) GROUP BY')})")
 add("site_only", "variants", lambda v: v.select("vid", "chrom", "pos", "ref", "alt"), "SELECT vid, chrom, pos, ref, alt FROM variants")
 
@@ -203,6 +217,12 @@ add(
     lambda v: v.select("vid", F.md5(F.concat_ws("\t", "chrom", "pos", "ref", "alt")).alias("md5")),
     "SELECT vid, md5(concat_ws(chr(9), chrom, pos, ref, alt)) AS md5 FROM variants",
 )
+add(
+    "distinct_variants",
+    "calls",
+    lambda c: stats.to_wide(c.unionByName(c.withColumn("vid", -F.col("vid") - 1))).dropDuplicates(["chrom", "pos", "ploidy", "ref", "alt", "gt"]).select("chrom", "pos", "ploidy", "ref", "alt", F.size("gt").alias("n")),
+    f"WITH w AS (SELECT vid, chrom, pos, ploidy, ref, alt, list({CODE} ORDER BY sid) AS gt FROM calls GROUP BY ALL) SELECT chrom, pos, ploidy, ref, alt, CAST(len(gt) AS INT) AS n FROM (SELECT DISTINCT chrom, pos, ploidy, ref, alt, gt FROM w)",
+)
 add("distinct_sites", "variants", lambda v: v.dropDuplicates(["chrom", "pos", "ploidy", "ref", "alt"]).select("chrom", "pos", "ploidy", "ref", "alt"), "SELECT DISTINCT chrom, pos, ploidy, ref, alt FROM variants")
 add(
     "split_biallelic",

@@ -33,6 +33,8 @@ HIT = "EXISTS (SELECT 1 FROM chosen c WHERE c.chrom = b.chrom AND (c.block_id IS
 add("block_query", "variants blocks", lambda v, b: select.blocks(formed(v), _chosen(v)).select(*V, "block_id"), f"WITH {CHOSEN} SELECT vid, chrom, pos, block_id FROM blocks b WHERE {HIT}")
 add("block_delete", "variants blocks", lambda v, b: select.without_blocks(formed(v), _chosen(v)).select(*V, "block_id"), f"WITH {CHOSEN} SELECT vid, chrom, pos, block_id FROM blocks b WHERE NOT {HIT}")
 add("seek_first_ge", "variants", lambda v: select.ordered(select.seek(v, 4, 6950)).select(*V), "SELECT vid, chrom, pos FROM variants WHERE cidx > 4 OR (cidx = 4 AND pos >= 6950)")
+add("node_range", "variants blocks", lambda v, b: select.node_range(formed(v), "3", 1, 3).select(*V, "block_id"), "SELECT vid, chrom, pos, block_id FROM blocks WHERE chrom = '3' AND block_id >= 1 AND block_id < 3")
+add("cursor_resume", "variants", lambda v: select.resume(v, select.tell(select.ordered(v).limit(100))).select(*V), "SELECT vid, chrom, pos FROM (SELECT *, row_number() OVER (ORDER BY cidx, pos, alt LIKE '%,%', length(ref) + length(alt), vid) AS n FROM variants) WHERE n > 100")
 add("skip_limit", "variants", lambda v: select.skip(v, 100).limit(50).select(*V), "SELECT vid, chrom, pos FROM variants ORDER BY cidx, pos, alt LIKE '%,%', length(ref) + length(alt), vid LIMIT 50 OFFSET 100")
 add(
     "group_by_coordinate",

@@ -41,7 +41,7 @@ def deep_contigs(sites: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, paths: str | list[str], known: DataFrame) -> DataFrame:
-    """Long calls: site columns, ``arrival``, ``qual``, ``info``, ``format``, ``sid``, subject
+    """Long calls: ``file``, site columns, ``arrival``, ``qual``, ``info``, ``format``, ``sid``, subject
     ``name``, ``a0``, ``a1``, ``gq``, ``dp``.  Rows on contigs that ``known`` (chrom, cidx,
     ploidy) lacks are left out; a ``chr`` prefix goes.
 
@@ -70,7 +70,7 @@ def read(spark: SparkSession, paths: str | list[str], known: DataFrame) -> DataF
     keys = F.split("format", ":")
     field = lambda key: F.get(F.split("c.cells", ":"), F.array_position(keys, key).cast("int") - 1)
     number = lambda key: F.when(F.array_position(keys, key) > 0, F.floor(F.when(field(key).rlike(r"^[0-9]+([.][0-9]+)?$"), field(key).cast("double"))).cast("int"))
-    return long.select("vid", "cidx", "chrom", "pos", "ploidy", "ref", "alt", "arrival", "qual", "info", "format", "sid", F.col("c.names").alias("name"), codec.parse(F.col("c.cells")).alias("g"), number("GQ").alias("gq"), number("DP").alias("dp")).select("*", "g.a0", "g.a1").drop("g")
+    return long.select("file", "vid", "cidx", "chrom", "pos", "ploidy", "ref", "alt", "arrival", "qual", "info", "format", "sid", F.col("c.names").alias("name"), codec.parse(F.col("c.cells")).alias("g"), number("GQ").alias("gq"), number("DP").alias("dp")).select("*", "g.a0", "g.a1").drop("g")
 
 
 def info_field(ac: Column, an: Column) -> Column:
