@@ -62,6 +62,23 @@ def test_split_and_join(spark):
     assert cells_of(reshape.simplify(unused)) == {(1, "A", "."): [(0, 0), None]}
 
 
+def test_split_and_join_of_wide_rows(spark):
+    c = derive(spark, SF, "calls").where("vid < 60").drop("idx")
+    c = spark.createDataFrame(c.collect(), c.schema)
+    wide = stats.to_wide(c)
+    wide = spark.createDataFrame(wide.collect(), wide.schema)
+    key = [*stats.SITE, "sid", "a0", "a1"]
+    same = lambda x, y, cols: sorted(map(repr, x.select(cols).collect())) == sorted(map(repr, y.select(cols).collect()))
+    split = reshape.split_biallelic(wide)
+    assert "Exchange" not in split._jdf.queryExecution().executedPlan().toString()
+    assert same(stats.to_long(split, [*stats.SITE, "part"]), reshape.split_biallelic(c), [*key, "part"])
+    for phased in (True, False):
+        joined = reshape.join_multiallelic(wide, phased)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan
+        assert same(stats.to_long(joined), reshape.join_multiallelic(c, phased), key)
+
+
 def fold_unphased(cells):
     """Plain form of the unphased fold."""
     left = right = None

@@ -62,6 +62,18 @@ def recode(gt: Column, old: Column, new: Column) -> Column:
     return F.when(old == new, gt).otherwise(moved)
 
 
+def carriers(gt: Column, n_alleles: Column, allele: Column) -> Column:
+    """A wide row's codes where ``allele`` is 1 and every other allele 0."""
+    is_it = lambda a: (a == allele).cast("int")
+
+    def code(c: Column) -> Column:
+        g = decode(c)
+        return F.when(c == 0, F.lit(0)).otherwise(encode(is_it(g["a0"]), is_it(g["a1"]))).cast("smallint")
+
+    table = F.transform(F.sequence(F.lit(0), n_alleles * n_alleles), code)
+    return bound(table, lambda t: F.transform(gt, lambda c: F.get(t, c.cast("int"))))
+
+
 def swap(code: Column, phased: bool = True) -> Column:
     """The code after REF and ALT of a biallelic site change places."""
     table = [0, 3, 4, 1, 2] if phased else [0, 3, 2, 1]

@@ -128,7 +128,8 @@ def merge_all(tables: list[tuple[DataFrame, int]], how: str = "intersection", la
 
 
 def merge_biallelic(a: DataFrame, b: DataFrame, how: str = "intersection", check: strand.Checker | None = None) -> DataFrame:
-    return reshape.split_biallelic(merge(a, b, how, check))
+    split = reshape.split_biallelic(merge_wide(a, b, how, check))
+    return stats.to_long(split, [*stats.SITE, "part"])
 
 
 def align(df: DataFrame, template: DataFrame, how: str = "intersection", check: strand.Checker | None = None) -> DataFrame:

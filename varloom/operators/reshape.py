@@ -10,12 +10,6 @@ from varloom.functions import alleles, codec, stats
 SITE = stats.SITE
 
 
-def used(calls: DataFrame, keys: list[str] = SITE) -> DataFrame:
-    """Sites with ``used``: the indices of alleles that some cell holds, rising."""
-    seen = calls.groupBy(*keys).agg(F.collect_set("a0").alias("_s0"), F.collect_set("a1").alias("_s1"))
-    return seen.select(*keys, F.array_sort(F.array_distinct(F.concat("_s0", "_s1"))).alias("used"))
-
-
 def _new_list(calls: DataFrame, leading: Column) -> DataFrame:
     """Calls on the list that begins with ``leading`` (an array) and goes on with all other
     alleles in use, in their old order; an empty one keeps the reference.  Wide rows change
@@ -42,65 +36,61 @@ def reset_reference(calls: DataFrame, new_ref: Column, new_alts: Column | None =
 
 def split_biallelic(calls: DataFrame) -> DataFrame:
     """A site for each alternative in use (``part`` from 1): its carriers have 1, all other
-    alleles 0.  Without one the site keeps ALT "." and no call.  Two-allele sites stay."""
+    alleles 0.  Without one the site keeps ALT "." and no call.  Two-allele sites stay.
+    Wide rows split one by one and stay wide; of long tables only many-allele sites are packed."""
     two = ~F.col("alt").contains(",")
-    many = used(calls.where(~two)).select(F.col("vid").alias("_v"), F.filter("used", lambda i: i > 0).alias("_alts"))
     copied = calls.where(two).withColumn("part", F.lit(1))
-    joined = calls.where(~two).join(many, F.col("vid") == F.col("_v")).withColumn("part", F.explode_outer("_alts"))
-    cell = lambda c: F.when(F.col("part").isNotNull() & F.col(c).isNotNull(), (F.col(c) == F.col("part")).cast("int"))
-    name = F.coalesce(F.get(F.split("alt", ","), F.col("part") - 1), F.lit("."))
-    split = joined.withColumns({"a0": cell("a0"), "a1": cell("a1"), "alt": name, "part": F.coalesce("part", F.lit(1))})
-    return copied.unionByName(split.select(*copied.columns))
+    rows = stats.wide(calls.where(~two)).withColumn("_old", alleles.listed(F.col("ref"), F.col("alt")))
+    rows = rows.withColumn("part", F.explode_outer(F.filter(codec.used(F.col("gt")), lambda i: i > 0)))
+    gt = F.when(F.col("part").isNull(), F.transform("gt", lambda c: F.lit(0).cast("smallint"))).otherwise(codec.carriers(F.col("gt"), F.size("_old"), F.col("part")))
+    split = rows.withColumns({"gt": gt, "alt": F.coalesce(F.get("_old", F.col("part")), F.lit(".")), "part": F.coalesce("part", F.lit(1))}).drop("_old")
+    if "gt" not in calls.columns:
+        split = stats.to_long(split, [*SITE, "part"])
+        copied = copied.select(*split.columns)
+    return copied.select(*split.columns).unionByName(split)
 
 
-def _fold(cells: Column, side: str) -> Column:
-    """Phased: the first side that is not the reference, else the reference."""
-    found = F.filter(cells, lambda c: c[side] > 0)
-    return F.when(F.size(found) > 0, F.get(found, F.lit(0))[side]).otherwise(F.when(F.size(cells) > 0, F.lit(0)))
+def _fold(x: Column, y: Column) -> Column:
+    """Two codes of a subject, phased: each side keeps the first allele that is not the
+    reference.  A missing cell gives way to the other."""
+    a, b = codec.decode(x), codec.decode(y)
+    side = lambda k: F.when(a[k] > 0, a[k]).otherwise(b[k])
+    return F.when((x == 0) | (x == 1) & (y != 0), y).when((y == 0) | (y == 1), x).otherwise(codec.encode(side("a0"), side("a1")))
 
 
-def _fold_unphased(cells: Column) -> Column:
-    """Unphased: sides fill in reading order; each cell's left, then right, goes to the
-    first side that still is open or the reference."""
-    empty = F.struct(F.lit(None).cast("int").alias("l"), F.lit(None).cast("int").alias("r"))
+def _fold_unphased(x: Column, y: Column) -> Column:
+    """Unphased: the left, then the right of ``y`` goes to the first side of ``x`` that still
+    is the reference."""
+    a, b = codec.decode(x), codec.decode(y)
+    leading = F.when(b["a0"] == 0, b["a1"]).otherwise(b["a0"])
+    right = F.when(a["a0"] > 0, F.when(a["a1"] == 0, leading).otherwise(a["a1"])).otherwise(F.when(b["a0"] == 0, a["a1"]).otherwise(b["a1"]))
+    return F.when(y == 0, x).when(x == 0, _alone(y)).otherwise(codec.encode(F.when(a["a0"] > 0, a["a0"]).otherwise(leading), right))
 
-    def step(acc: Column, c: Column) -> Column:
-        open_left = acc["l"].isNull() | (acc["l"] == 0)
-        left = F.when(c["a0"] == 0, c["a1"]).otherwise(c["a0"])
-        right_if_open = F.when(c["a0"] == 0, F.coalesce(acc["r"], F.lit(0))).otherwise(c["a1"])
-        right_else = F.when(F.coalesce(acc["r"], F.lit(-1)) == 0, F.when(c["a0"] == 0, c["a1"]).otherwise(c["a0"])).otherwise(acc["r"])
-        return F.struct(F.when(open_left, left).otherwise(acc["l"]).alias("l"), F.when(open_left, right_if_open).otherwise(right_else).alias("r"))
 
-    return F.aggregate(cells, empty, step)
+def _alone(code: Column) -> Column:
+    """The first cell of an unphased fold: a reference on the left goes to the right."""
+    g = codec.decode(code)
+    return F.when((code > 1) & (g["a0"] == 0), codec.encode(g["a1"], g["a0"])).otherwise(code)
 
 
-def join_multiallelic(calls: DataFrame, phased: bool = True, most: int = 15) -> DataFrame:
+def join_multiallelic(calls: DataFrame, phased: bool = True, most: int = codec.MOST_ALLELES) -> DataFrame:
     """All sites of a coordinate as one: the first site's reference, then the alleles in
-    use by reading order.  Per subject the sites' calls are folded in that order."""
+    use by reading order.  Per subject the sites' calls are folded in that order.  All sites
+    of a table have all its subjects.  What meets by coordinate is wide rows, a few a
+    coordinate; wide tables stay wide."""
     coordinate = ["cidx", "chrom", "pos", "ploidy"]
     order = F.struct((F.size(F.split("alt", ",")) > 1).alias("many"), (F.length("ref") + F.length("alt")).alias("length"), F.col("vid"))
-    sites = used(calls).withColumn("_o", order)
-    names = F.transform("used", lambda i: F.get(alleles.listed(F.col("ref"), F.col("alt")), i))
-    per = sites.withColumn("_names", names).groupBy(*coordinate).agg(F.array_sort(F.collect_list(F.struct("_o", "ref", "_names"))).alias("_sites"))
-    merged = per.select(*coordinate, (F.size("_sites") == 1).alias("_alone"), F.array_distinct(F.concat(F.array(F.col("_sites")[0]["ref"]), F.flatten(F.transform("_sites", lambda s: s["_names"])))).alias("_new"), F.col("_sites")[0]["_o"]["vid"].alias("_vid"))
-    too_many = F.when(F.size("_new") > most, F.raise_error(F.lit("more alleles than a site may have"))).otherwise(F.lit(True))
-    merged = merged.where(too_many)
-    left = calls.withColumn("_o", order)
-    joined = left.join(merged, coordinate)
-    old = alleles.listed(F.col("ref"), F.col("alt"))
-    cell = F.struct("_o", *(alleles.rebase(old, F.col("_new"), F.col(c)).alias(c) for c in ("a0", "a1")))
-    # Most coordinates have one site, and its cells need no gathering.
-    cells = F.array_compact(F.array(F.when(F.col("a0").isNotNull(), cell)))
-    columns = [*coordinate, "_vid", "_new", "sid"]
-    alone = joined.where("_alone").select(*columns, cells.alias("_cells"))
-    shared = joined.where("NOT _alone").groupBy(*columns).agg(F.array_sort(F.collect_list(F.when(F.col("a0").isNotNull(), cell))).alias("_cells"))
-    folded = alone.unionByName(shared)
-    if phased:
-        a0, a1 = _fold(F.col("_cells"), "a0"), _fold(F.col("_cells"), "a1")
-    else:
-        both = _fold_unphased(F.col("_cells"))
-        a0, a1 = both["l"], both["r"]
-    return folded.select(F.col("_vid").alias("vid"), *coordinate, F.col("_new")[0].alias("ref"), alleles.alternatives(F.col("_new"), most).alias("alt"), "sid", a0.alias("a0"), a1.alias("a1"))
+    rows = stats.wide(calls).withColumn("old", alleles.listed(F.col("ref"), F.col("alt")))
+    site = F.struct(order.alias("o"), "old", F.transform(codec.used(F.col("gt")), lambda i: F.get("old", i)).alias("names"), "gt")
+    met = rows.groupBy(*coordinate).agg(F.array_sort(F.collect_list(site)).alias("sites"), F.first("sids").alias("sids"))
+    met = met.withColumn("new", F.array_distinct(F.concat(F.array(F.col("sites")[0]["old"][0]), F.flatten("sites.names"))))
+    met = met.withColumn("alt", alleles.alternatives(F.col("new"), most)).withColumn("moved", F.transform("sites", lambda s: codec.recode(s["gt"], s["old"], F.col("new"))))
+    fold = _fold if phased else _fold_unphased
+    first = F.col("moved")[0] if phased else F.transform(F.col("moved")[0], lambda c: _alone(c).cast("smallint"))
+    later = F.slice("moved", F.lit(2), F.size("moved"))
+    folded = F.when(F.size("moved") == 1, first).otherwise(F.aggregate(later, first, lambda acc, gt: F.zip_with(acc, gt, lambda x, y: fold(x, y).cast("smallint"))))
+    out = met.select(F.col("sites")[0]["o"]["vid"].alias("vid"), *coordinate, F.col("new")[0].alias("ref"), "alt", "sids", folded.alias("gt"))
+    return out if "gt" in calls.columns else stats.to_long(out)
 
 
 def unify_subjects(calls: DataFrame, master: DataFrame) -> DataFrame:

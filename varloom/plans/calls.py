@@ -244,4 +244,12 @@ JOIN_SQL = f"""WITH {USED},
  CAST(coalesce(arg_min(b0, o) FILTER (WHERE b0 > 0), min(b0)) AS INT) AS a0, CAST(coalesce(arg_min(b1, o) FILTER (WHERE b1 > 0), min(b1)) AS INT) AS a1
  FROM c GROUP BY first_vid, chrom, pos, sid, new"""
 add("join_multiallelic", "calls", lambda c: reshape.join_multiallelic(c).select("vid", "chrom", "pos", "sid", "ref", "alt", "a0", "a1"), JOIN_SQL)
-add("join_multiallelic_unphased", "calls", lambda c: reshape.join_multiallelic(c.withColumns(dict(zip(("a0", "a1"), codec.unphase(F.col("a0"), F.col("a1"))))), phased=False).select("vid", "chrom", "pos", "sid", "ref", "alt", "a0", "a1"), None)
+# The fold as a reduction over a list; -1 stands for "no call yet".
+FILL = """CASE WHEN x.l <= 0 THEN {'l': CASE WHEN y.l = 0 THEN y.r ELSE y.l END, 'r': CASE WHEN y.l = 0 THEN greatest(x.r, 0) ELSE y.r END}
+ ELSE {'l': x.l, 'r': CASE WHEN x.r = 0 THEN CASE WHEN y.l = 0 THEN y.r ELSE y.l END ELSE x.r END} END"""
+UNPHASED_SQL = JOIN_SQL[: JOIN_SQL.index(" c AS (SELECT")] + f""" half AS (SELECT vid, sid, least(a0, a1) AS a0, greatest(a0, a1) AS a1 FROM calls),
+ c AS (SELECT c.sid, o.o, n.*, CAST(list_position(n.new, o.al[c.a0 + 1]) - 1 AS INT) AS b0, CAST(list_position(n.new, o.al[c.a1 + 1]) - 1 AS INT) AS b1 FROM half c JOIN o ON c.vid = o.vid JOIN n ON o.cidx = n.cidx AND o.pos = n.pos),
+ l AS (SELECT first_vid, chrom, pos, sid, new, list({{'l': b0, 'r': b1}} ORDER BY o) FILTER (b0 IS NOT NULL) AS cells FROM c GROUP BY ALL),
+ f AS (SELECT *, list_reduce(list_prepend({{'l': CAST(-1 AS INT), 'r': CAST(-1 AS INT)}}, coalesce(cells, [])), lambda x, y: {FILL}) AS g FROM l)
+ SELECT first_vid AS vid, chrom, pos, sid, new[1] AS ref, CASE WHEN len(new) = 1 THEN '.' ELSE array_to_string(new[2:], ',') END AS alt, CAST(nullif(g.l, -1) AS INT) AS a0, CAST(nullif(g.r, -1) AS INT) AS a1 FROM f"""
+add("join_multiallelic_unphased", "calls", lambda c: reshape.join_multiallelic(c.withColumns(dict(zip(("a0", "a1"), codec.unphase(F.col("a0"), F.col("a1"))))), phased=False).select("vid", "chrom", "pos", "sid", "ref", "alt", "a0", "a1"), UNPHASED_SQL)
