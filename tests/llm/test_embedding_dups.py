@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from varloom.llm import embedding_dups
 from varloom.llm.embedding_dups import Forest, Settings
@@ -76,3 +77,51 @@ def test_recall_of_pairs_at_the_threshold():
     a, b = forest.cells(x), forest.cells(y)
     found = set(zip(*a)) & set(zip(*b))
     assert len({i for i, _ in found}) > 0.97 * len(x)
+
+
+def test_crowded_leaves_are_split_again(spark, monkeypatch):
+    """First trees of few, wide leaves: their own trees must thin them out, and lose no more
+    than the trees may; a dense group stays whole."""
+    monkeypatch.setattr(embedding_dups, "CHUNK", 128)
+    monkeypatch.setattr(embedding_dups, "OWN_SAMPLE", 256)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 32))
+    x[1500:2800] = x[:1300] + rng.normal(size=(1300, 32)) * 0.13  # near the threshold
+    x[2800:] = x[0] + rng.normal(size=(200, 32)) * 0.02
+    df = spark.createDataFrame([(i, v.tolist(), i % 2 if i < 100 else 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    sizes, dense = [], embedding_dups.unit(x[:1])[0]
+    whole = embedding_dups.refine
+
+    def most(placed):
+        """Rows of the largest leaf without a row of the dense group."""
+        leaves = {}
+        for r in placed.collect():
+            for c in r.cells:
+                leaves.setdefault((r.label, c), []).append(np.dot(embedding_dups.unit(np.array([r.v]))[0], dense) > 0.95)
+        return max(len(held) for held in leaves.values() if not any(held))
+
+    def watched(scratch, placed, s):
+        sizes.append(most(placed))
+        placed, crowded = whole(scratch, placed, s)
+        sizes.append(most(placed))
+        counted = placed.selectExpr("label", "size(v) AS n", "explode(cells) AS cell").groupBy("label", "n", "cell").agg(F.count("*").alias("rows")).where("rows > 128")
+        assert sorted(counted.collect()) == sorted(crowded.select(counted.columns).collect())
+        return placed, crowded
+
+    monkeypatch.setattr(embedding_dups, "refine", watched)
+    got = {r.vec_id: r for r in embedding_dups.find(df, s=Settings(sample=32, leaf_rows=64)).collect()}
+    u = embedding_dups.unit(x)
+    label = np.array([i % 2 if i < 100 else 1 for i in range(len(x))])
+    links = ((u @ u.T >= 0.98) & (label[:, None] == label[None])).sum(axis=1) - 1
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= links).all() and links.sum() > 40_000
+    single = links < 100
+    assert links[single].sum() > 1000 and found[single].sum() >= 0.98 * links[single].sum() and found.sum() >= 0.999 * links.sum()
+    assert sizes[0] > 300 and sizes[1] <= 128
+
+
+def test_packed_trees_are_the_same():
+    x = embedding_dups.unit(np.random.default_rng(1).normal(size=(500, 8)))
+    tree = embedding_dups.Tree.grown(x, 20, 0.01, (1, 2, 3))
+    again = embedding_dups.Tree.unpacked(tree.packed(), 8, 0.01, (1, 2, 3))
+    assert len(tree.nodes) > 10 and all((a == b).all() for a, b in zip(tree.leaves_of(x), again.leaves_of(x)))

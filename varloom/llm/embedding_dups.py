@@ -8,9 +8,13 @@ of a matrix product in double precision, and links are united.
 
 Equal vectors of a label are one point with a multiplicity.  A leaf gives counts and
 a spanning star, never pairs: a pair that shares several leaves is counted in the
-first of them, which each row can tell as it carries the leaves of all trees.  A leaf
-of more than ``CHUNK`` points (say a dense group that no split thins out) is dealt
-by pairs of chunks, so all its pairs are still compared and no task holds it whole.
+first of them, which each row can tell as it carries the leaves of all trees.
+
+The first trees' sample is of fixed size, so their leaves grow with the table.  A leaf of
+more than ``CHUNK`` points of a label is split again by a tree fitted on a sample of its
+own rows, and so on until leaves are small or no split thins them out, so work grows
+with the table and not its square.  A leaf that stays crowded (a dense group) is dealt by pairs
+of chunks, so all its pairs are still compared and no task holds it whole.
 
 Defined results: null labels, and vectors that are null, empty, zero or hold null or
 non-finite components, link with nothing; vectors of different lengths do not link;
@@ -35,6 +39,13 @@ from varloom.llm.components import Union, connected_components
 
 CHUNK = 4096
 BLOCK = 1024
+#: Rows, about, that a crowded leaf's tree is fitted on, and how often leaves are split
+#: again at most; what then is crowded still is compared whole.
+OWN_SAMPLE = 4096
+LEVELS = 8
+#: A split pays if both sides together make fewer pairs, so sides hold less than 0.7.
+LARGEST_SIDE = 0.7
+TRIES = 3
 
 
 @dataclass(frozen=True)
@@ -49,46 +60,76 @@ class Settings:
     spill: float = 0.8
     seed: int = 17
 
+    def margin(self, width: int) -> float:
+        return self.spill * float(np.sqrt(2 * (1 - self.threshold) / width))
+
 
 class Tree:
-    def __init__(self, x: np.ndarray, leaf: int, margin: float, rng: np.random.Generator):
-        self.margin = margin
-        self.nodes: list[tuple[np.ndarray, float, int, int]] = []  # direction, cut, left, right; leaves are ~number
+    """Nodes are (draw, cut, left, right), the first is the root, and leaves are ~number.  A
+    node's direction is the draw of that number from the tree's seed, so a tree packs small."""
+
+    def __init__(self, width: int, margin: float, seed: tuple[int, ...], nodes: list[tuple[int, float, int, int]] | None = None):
+        self.width, self.margin, self.seed = width, margin, seed
+        self.nodes = nodes or []
         self.leaves = 0
-        self.root = self._grow(x, leaf, rng, 0)
-
-    def _leaf(self) -> int:
-        self.leaves += 1
-        return ~(self.leaves - 1)
-
-    def _grow(self, x: np.ndarray, leaf: int, rng: np.random.Generator, depth: int) -> int:
-        if len(x) <= leaf or depth > 40:
-            return self._leaf()
-        direction = rng.normal(size=x.shape[1])
-        direction /= np.linalg.norm(direction)
-        p = x @ direction
-        cut = float(np.median(p))
-        left, right = p < cut + self.margin, p >= cut - self.margin
-        if max(left.sum(), right.sum()) > 0.8 * len(x):  # the spill holds nearly all: no use in splitting
-            return self._leaf()
+        self.draws = 0
+        self.directions: dict[int, np.ndarray] = {}
+
+    @classmethod
+    def grown(cls, x: np.ndarray, leaf: int, margin: float, seed: tuple[int, ...]) -> Tree:
+        tree = cls(x.shape[1], margin, seed)
+        tree._grow(x, leaf, 0)
+        return tree
+
+    def packed(self) -> bytes:
+        return np.array(self.nodes, dtype=np.float64).tobytes()
+
+    @classmethod
+    def unpacked(cls, data: bytes, width: int, margin: float, seed: tuple[int, ...]) -> Tree:
+        rows = np.frombuffer(data, dtype=np.float64).reshape(-1, 4)
+        return cls(width, margin, seed, [(int(d), float(c), int(a), int(b)) for d, c, a, b in rows])
+
+    def _direction(self, draw: int) -> np.ndarray:
+        if draw not in self.directions:
+            d = np.random.default_rng((*self.seed, draw)).normal(size=self.width)
+            self.directions[draw] = d / np.linalg.norm(d)
+        return self.directions[draw]
+
+    def _split(self, x: np.ndarray) -> tuple[int, float, np.ndarray, np.ndarray] | None:
+        """The first of some directions along which a split pays."""
+        for _ in range(TRIES):
+            self.draws += 1
+            p = x @ self._direction(self.draws)
+            cut = float(np.median(p))
+            left, right = p < cut + self.margin, p >= cut - self.margin
+            if max(left.sum(), right.sum()) < LARGEST_SIDE * len(x):
+                return self.draws, cut, left, right
+            del self.directions[self.draws]
+        return None
+
+    def _grow(self, x: np.ndarray, leaf: int, depth: int) -> int:
+        found = self._split(x) if len(x) > leaf and depth <= 40 else None
+        if found is None:
+            self.leaves += 1
+            return ~(self.leaves - 1)
+        draw, cut, left, right = found
         at = len(self.nodes)
-        self.nodes.append((direction, cut, 0, 0))
-        a, b = self._grow(x[left], leaf, rng, depth + 1), self._grow(x[right], leaf, rng, depth + 1)
-        self.nodes[at] = (direction, cut, a, b)
+        self.nodes.append((draw, cut, 0, 0))
+        self.nodes[at] = (draw, cut, self._grow(x[left], leaf, depth + 1), self._grow(x[right], leaf, depth + 1))
         return at
 
     def leaves_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and leaves, a pair for each leaf that a row reaches."""
         rows, found = [], []
-        stack = [(self.root, np.arange(len(x)))]
+        stack = [(0 if self.nodes else ~0, np.arange(len(x)))]
         while stack:
             node, at = stack.pop()
             if node < 0:
                 rows.append(at)
                 found.append(np.full(len(at), ~node))
             elif len(at):
-                direction, cut, a, b = self.nodes[node]
-                p = x[at] @ direction
+                draw, cut, a, b = self.nodes[node]
+                p = x[at] @ self._direction(draw)
                 stack += [(a, at[p < cut + self.margin]), (b, at[p >= cut - self.margin])]
         return np.concatenate(rows), np.concatenate(found)
 
@@ -97,9 +138,8 @@ class Forest:
     """Trees for vectors of one length; ``cells`` numbers the leaves of all trees."""
 
     def __init__(self, x: np.ndarray, rows: int, s: Settings):
-        margin = s.spill * np.sqrt(2 * (1 - s.threshold) / x.shape[1])
         leaf = max(8, int(s.leaf_rows * len(x) / max(1, rows)))
-        self.trees = [Tree(x, leaf, margin, np.random.default_rng((s.seed, t))) for t in range(s.trees)]
+        self.trees = [Tree.grown(x, leaf, s.margin(x.shape[1]), (s.seed, t)) for t in range(s.trees)]
 
     def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows, found, base = [], [], 0
@@ -146,13 +186,85 @@ def compare(cell: int, first: np.ndarray, second: np.ndarray | None, rows: dict[
             for k in range(0, len(i), 1 << 16):
                 p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
                 shared = (cells[p][:, :, None] == cells[q][:, None, :]).any(axis=2)
-                lowest = np.where(shared & (cells[p] >= 0), cells[p], np.iinfo(np.int32).max).min(axis=1)
+                lowest = np.where(shared & (cells[p] >= 0), cells[p], np.iinfo(np.int64).max).min(axis=1)
                 own = lowest == cell
                 np.add.at(out["links"], p[own], times[q[own]])
                 np.add.at(out["links"], q[own], times[p[own]])
                 out["union"].link(p, q)
 
 
+def _lists(rows: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+    """Values by row, rising."""
+    order = np.lexsort((values, rows))
+    counts = np.bincount(rows, minlength=n)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(values[order].astype(np.int64)))
+
+
+def _fitting(level: int, s: Settings):
+    def fit(key: tuple, t: pa.Table) -> pa.Table:
+        leaf = key[0].as_py()
+        x = unit(_vectors(t.column("v").combine_chunks()))[np.argsort(t.column("rid").to_numpy())]
+        rows = t.column("rows")[0].as_py()
+        small = max(8, int(s.leaf_rows * len(x) / rows))
+        tree = Tree.grown(x, small, s.margin(x.shape[1]), (s.seed, level, leaf))
+        return pa.table({"leaf": pa.array([leaf], pa.int64()), "rows": pa.array([rows], pa.int64()), "model": pa.array([tree.packed()], pa.binary())})
+
+    return fit
+
+
+def _descending(level: int, s: Settings):
+    def descend(key: tuple, t: pa.Table, model: pa.Table) -> pa.Table:
+        if not t.num_rows or not model.num_rows:
+            return pa.table({"rid": pa.array([], pa.int64()), "cell": pa.array([], pa.int64()), "leaves": pa.array([], pa.list_(pa.int64()))})
+        x = unit(_vectors(t.column("v").combine_chunks()))
+        tree = Tree.unpacked(model.column("model")[0].as_py(), x.shape[1], s.margin(x.shape[1]), (s.seed, level, key[0].as_py()))
+        return pa.table({"rid": t.column("rid"), "cell": t.column("cell"), "leaves": _lists(*tree.leaves_of(x), len(x))})
+
+    return descend
+
+
+def refine(scratch: Scratch, placed: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """``placed`` (rid, label, v, times, cells) with crowded leaves split by trees of their own,
+    and the leaves (label, n, cell, rows) that stay crowded.
+
+    A tree is fitted in one task on about ``OWN_SAMPLE`` rows of its leaf and then meets the
+    leaf's rows by parts of about ``CHUNK``, so no task holds a leaf.
+    """
+    keys = ["label", "n", "cell"]
+    stuck = None
+    for level in range(1, LEVELS + 2):
+        in_cells = placed.select("rid", "label", F.size("v").alias("n"), "v", F.explode("cells").alias("cell"))
+        sizes = in_cells.groupBy(*keys).agg(F.count("*").alias("rows")).where(F.col("rows") > CHUNK)
+        if stuck is not None:
+            sizes = sizes.join(stuck, keys, "left_anti")
+        crowded = scratch.table(sizes.withColumn("leaf", F.monotonically_increasing_id()), "crowded")
+        known = crowded.select(*keys, "rows")
+        if level > LEVELS or crowded.isEmpty():
+            break
+        held = in_cells.join(crowded, keys).select("leaf", "rid", "cell", "rows", "v")
+        some = held.where(F.pmod(F.xxhash64(F.lit(level), "rid"), F.col("rows")) < OWN_SAMPLE)
+        models = scratch.table(some.groupBy("leaf").applyInArrow(_fitting(level, s), "leaf long, rows long, model binary"), "models")
+        split = models.where(F.length("model") > 0)
+        if split.isEmpty():
+            break
+        useless = crowded.join(models.where(F.length("model") == 0).select("leaf"), "leaf", "left_semi").select(*keys, "rows")
+        stuck = useless if stuck is None else stuck.unionByName(useless)
+        parts = F.ceil(F.col("rows") / CHUNK).cast("int")
+        rows = held.join(split.select("leaf"), "leaf", "left_semi").withColumn("part", F.pmod(F.xxhash64("rid"), parts).cast("int"))
+        trees = split.select(F.col("leaf").alias("of"), "model", F.explode(F.sequence(F.lit(0), parts - 1)).alias("place"))
+        moved = rows.groupBy("leaf", "part").cogroup(trees.groupBy("of", "place")).applyInArrow(_descending(level, s), "rid long, cell long, leaves array<bigint>")
+        # Two leaves of one number would only be compared together.
+        number = lambda k: F.xxhash64(F.lit(level), F.col("cell"), k).bitwiseAND(F.lit((1 << 62) - 1))
+        moved = moved.select("rid", "cell", F.transform("leaves", number).alias("leaves"))
+        new = moved.groupBy("rid").agg(F.collect_list("cell").alias("gone"), F.flatten(F.collect_list("leaves")).alias("more"))
+        cells = F.array_distinct(F.concat(F.array_except("cells", "gone"), "more"))
+        finer = placed.join(new, "rid", "left").select("rid", "label", "v", "times", F.when(F.col("gone").isNull(), F.col("cells")).otherwise(cells).alias("cells"))
+        finer = scratch.table(finer, "placed")
+        scratch.drop(placed)
+        placed = finer
+    return placed, known if stuck is None else stuck.unionByName(known)
+
+
 def find(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", s: Settings = Settings()) -> DataFrame:
     """Per vector ``id_col``, ``n_links``, ``component_id`` and ``kept``."""
     spark = df.sparkSession
@@ -173,18 +285,13 @@ def find(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", l
             for n in np.unique(size):
                 part = batch.filter(pa.array(size == n))
                 rows, cells = forests[int(n)].cells(unit(_vectors(part.column(2))))
-                order = np.lexsort((cells, rows))
-                rows, cells = rows[order], cells[order].astype(np.int32)
-                counts = np.bincount(rows, minlength=part.num_rows)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(cells))
+                lists = _lists(rows, cells, part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "cells"])
 
     label = unique.schema["label"].dataType.simpleString()
-    placed = unique.select("rid", "label", "v", "times").mapInArrow(place, f"rid long, label {label}, v array<double>, times long, cells array<int>")
-    placed = scratch.table(placed, "placed")
-    in_cells = placed.select("rid", "label", F.size("v").alias("n"), F.explode("cells").alias("cell"))
-    crowded = in_cells.groupBy("label", "n", "cell").agg(F.count("*").alias("rows")).where(F.col("rows") > CHUNK)
-    crowded = scratch.table(crowded.select(F.col("label").alias("l"), F.col("n").alias("m"), F.col("cell").alias("c"), F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks")), "crowded")
+    placed = unique.select("rid", "label", "v", "times").mapInArrow(place, f"rid long, label {label}, v array<double>, times long, cells array<bigint>")
+    placed, crowded = refine(scratch, scratch.table(placed, "placed"), s)
+    crowded = crowded.select(F.col("label").alias("l"), F.col("n").alias("m"), F.col("cell").alias("c"), F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks"))
     in_cells = placed.select("rid", "label", "v", "times", "cells", F.size("v").alias("n"), F.explode("cells").alias("cell"))
     in_cells = in_cells.join(crowded, (F.col("label") == F.col("l")) & (F.col("n") == F.col("m")) & (F.col("cell") == F.col("c")), "left")
     chunks = F.coalesce("chunks", F.lit(1))
@@ -200,7 +307,7 @@ def find(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", l
         col = {name: t.column(i) for i, name in enumerate(t.schema.names)}
         lists = col["cells"]
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        cells = np.full((t.num_rows, int(counts.max())), -1, dtype=np.int32)
+        cells = np.full((t.num_rows, int(counts.max())), -1, dtype=np.int64)
         cells[np.arange(cells.shape[1])[None] < counts[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
         rows = {"cells": cells, "times": col["times"].to_numpy(zero_copy_only=False)}
         marks = [col[k].to_numpy(zero_copy_only=False) for k in ("group", "n", "cell", "lo", "hi")]
