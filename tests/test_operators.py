@@ -314,3 +314,11 @@ def test_defaults_and_cursor(spark):
     assert select.subjects_wide(wide, [5, 2, 5]).first().sids == [5, 2]
     with pytest.raises(Exception, match="unknown subject"):
         select.subjects_wide(wide, [10**6]).collect()
+
+
+def test_shared_positions_join_nothing(spark):
+    """Once each, nulls too, and no side that could be broadcast."""
+    a, b = (spark.createDataFrame(rows, "chrom string, pos long, sid int") for rows in ([("1", 5, 1), ("1", 5, 2), (None, 3, 1), ("2", 5, 1)], [("1", 5, 3), (None, 3, 3), (None, 3, 4), ("1", 6, 3)]))
+    got = combine.shared_positions(a, b)
+    assert sorted(map(tuple, got.collect()), key=str) == [("1", 5), (None, 3)]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()

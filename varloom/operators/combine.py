@@ -19,7 +19,10 @@ KEY = ["chrom", "pos"]
 
 
 def shared_positions(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select(*KEY).intersect(b.select(*KEY))
+    """Coordinates of both tables, once each.  One aggregate, which drops a site's repeats
+    before its exchange: no side is joined, so none can be broadcast."""
+    sides = a.select(*KEY, F.lit(1).alias("_side")).unionByName(b.select(*KEY, F.lit(2).alias("_side")))
+    return sides.groupBy(*KEY).agg(F.min("_side").alias("_low"), F.max("_side").alias("_high")).where("_low < _high").select(*KEY)
 
 
 def match(a: DataFrame, b: DataFrame, how: str = "intersection") -> DataFrame:
