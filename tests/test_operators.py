@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from varloom.functions import qc, stats
 from varloom.operators import blocks, combine, ld, ranks, reshape, select, strand
-from varloom.sources.fixtures import derive
+from varloom.sources.fixtures import SHARE, dealt, derive
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "vid long, cidx int, chrom string, pos long, ploidy int, ref string, alt string, sid long, a0 int, a1 int"
@@ -322,3 +322,10 @@ def test_shared_positions_join_nothing(spark):
     got = combine.shared_positions(a, b)
     assert sorted(map(tuple, got.collect()), key=str) == [("1", 5), (None, 3)]
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_calls_keep_the_deal_of_their_variants(spark):
+    """Grouping by site moves no cells, and tasks grow with the variants."""
+    plan = stats.genotype_counts(derive(spark, SF, "calls"))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+    assert dealt(derive(spark, SF, "variants"), SHARE * 3 + 1).rdd.getNumPartitions() == 4

@@ -52,12 +52,26 @@ NEEDS = {
 }
 
 
+#: Variants that a task turns into calls.  A file of parts is small, what comes of it sixty
+#: times as many rows, so tasks are counted by variants and not by the file's size.
+SHARE = 8192
+
+
+def dealt(variants: DataFrame, rows: int) -> DataFrame:
+    """Variants dealt by ``vid`` to as many tasks as ``rows`` asks for.  Calls keep the deal, so
+    whatever is grouped by site needs no exchange of cells."""
+    return variants.repartition(max(1, -(-rows // SHARE)), "vid")
+
+
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as a lazy DataFrame; nothing is registered in the catalog."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = VIEWS[name]
     inputs = {n: derive(spark, sf_dir, n) for n in NEEDS[name]}
+    if name == "calls":
+        inputs["variants"] = dealt(inputs["variants"], derive(spark, sf_dir, "part").count())
+        inputs["supplier"] = inputs["supplier"].hint("broadcast")  # sixty rows at most
     for n in inputs:
         text = text.replace(f"FROM {n}", f"FROM {{{n}}}")
     return spark.sql(text, **inputs)
