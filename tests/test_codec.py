@@ -68,3 +68,22 @@ def test_allele_lists(spark):
     df = spark.createDataFrame([("A", "C,G"), ("A", ".")], "ref string, alt string")
     rows = df.select(alleles.count(F.col("alt")).alias("n"), alleles.nth(F.col("ref"), F.col("alt"), F.lit(2)).alias("x"), alleles.index_of(F.col("ref"), F.col("alt"), F.lit("G")).alias("i")).collect()
     assert [(r.n, r.x, r.i) for r in rows] == [(3, "G", 2), (2, None, -1)]
+
+
+def test_texts_by_code(spark):
+    df = spark.createDataFrame([(i, j) for i in range(15) for j in range(15)] + [(None, None)], "a0 int, a1 int")
+    for ploidy in (1, 2):
+        for phased in (True, False):
+            found = F.get(codec.texts(ploidy, phased), codec.encode(F.col("a0"), F.col("a0" if ploidy == 1 else "a1")))
+            assert df.where(found != codec.text(F.col("a0"), F.col("a1"), F.lit(ploidy), phased)).isEmpty() and df.where(found.isNull()).isEmpty()
+
+
+def test_packed_codes_are_worked_out_once_a_row(spark):
+    """Not once a digit: what makes the codes stands once in the plan, and no filter repeats it."""
+    seen = {}
+    from varloom.plans.catalog import QUERIES
+
+    for name in ("group_pack_phased", "group_pack_unphased", "two_bit_pack"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        seen[name] = plan.count("& 255")
+    assert set(seen.values()) == {1}, seen

@@ -8,6 +8,7 @@ tables missing is null.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -91,24 +92,39 @@ def text(a0: Column, a1: Column, ploidy: Column, phased: bool = True) -> Column:
     )
 
 
+def texts(ploidy: int, phased: bool = True) -> Column:
+    """What :func:`text` gives for each code."""
+    mark = "|" if phased else "/"
+    out = ["." if ploidy == 1 else f".{mark}."] * (MOST_ALLELES**2 + 1)
+    for i in range(MOST_ALLELES):
+        for j in range(MOST_ALLELES):
+            out[(i + 1) ** 2 - j if i >= j else j**2 + i + 1] = str(i) if ploidy == 1 else f"{i}{mark}{j}"
+    return F.array(*map(F.lit, out))
+
+
 def parse(cell: Column) -> Column:
     """Struct ``a0``, ``a1`` from a cell's text; a side that is missing makes the whole
     cell missing, one number stands for both sides."""
-    gt = F.split(cell, ":")[0]
-    sides = F.split(gt, r"[/|]")
+    gt = F.substring_index(cell, ":", 1)
     # Codes number alleles 0 to 14; a cell beyond them is missing.
     whole = gt.rlike(r"^0*([0-9]|1[0-4])([/|]0*([0-9]|1[0-4]))?$")
-    first = F.when(whole, sides[0].cast("int"))
-    return F.struct(first.alias("a0"), F.when(whole & (F.size(sides) > 1), F.get(sides, F.lit(1)).cast("int")).otherwise(first).alias("a1"))
+    side = lambda n: F.when(whole, F.substring_index(F.translate(gt, "/", "|"), "|", n).cast("int"))
+    return F.struct(side(1).alias("a0"), side(-1).alias("a1"))
 
 
 def pack_groups(codes: Column, phased: bool = True) -> Column:
     """Biallelic codes packed three (base 5) or four (base 4) to a byte; a short last
     group is filled with its last code."""
     base, each = (5, 3) if phased else (4, 4)
-    size = F.size(codes)
-    one = lambda g: F.aggregate(F.sequence(F.lit(0), F.lit(each - 1)), F.lit(0), lambda acc, k: acc * base + F.get(codes, F.least(g * each + k, size - 1)))
-    return F.when(size == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.ceil(size / each).cast("int") - 1), one))
+
+    def packed(held: Column) -> Column:
+        size = F.size(held)
+        digit = lambda g, k: F.get(held, F.least(g * each + k, size - 1))
+        one = lambda g: reduce(lambda acc, k: acc * base + digit(g, k), range(1, each), digit(g, 0))
+        return F.when(size == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.ceil(size / each).cast("int") - 1), one))
+
+    # Bound, as ``codes`` would be worked out again for each digit.
+    return bound(codes, packed)
 
 
 def unpack_groups(packed: Column, count: Column, phased: bool = True) -> Column:
@@ -120,8 +136,13 @@ def unpack_groups(packed: Column, count: Column, phased: bool = True) -> Column:
 def pack_two_bits(codes: Column, table: list[int]) -> Column:
     """Cells looked up in ``table`` (values 0 to 3), sixteen to a 32-bit word from the
     lowest bits on; the last word is filled with ``table[0]``."""
-    lookup = F.array(*map(F.lit, table))
-    size = F.size(codes)
-    value = lambda i: F.when(i < size, F.get(lookup, F.get(codes, i))).otherwise(F.lit(table[0])).cast("long")
-    word = lambda w: F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0).cast("long"), lambda acc, k: acc + value(w * 16 + k) * F.pow(F.lit(4), k).cast("long"))
-    return F.when(size == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.ceil(size / 16).cast("int") - 1), word))
+    lookup = F.array(*(F.lit(x).cast("long") for x in table))
+
+    def packed(values: Column) -> Column:
+        size = F.size(values)
+        value = lambda i: F.coalesce(F.get(values, i), F.lit(table[0]).cast("long"))
+        word = lambda w: reduce(lambda acc, k: acc.bitwiseOR(F.shiftleft(value(w * 16 + k), 2 * k)), range(1, 16), value(w * 16))
+        return F.when(size == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.ceil(size / 16).cast("int") - 1), word))
+
+    # Bound: each cell is looked up once.
+    return bound(F.transform(codes, lambda c: F.get(lookup, c)), packed)

@@ -12,6 +12,13 @@ from varloom.sources import vcf
 QUERIES, ORACLE_SQL, add = registry()
 K = ["vid", "chrom", "pos"]
 
+
+def _numbered(rows, place, value):
+    """``vid``, and the elements of ``p`` with their places.  An inner explode would add a filter
+    on the array's size, and so work out the array twice."""
+    return rows.select("vid", F.posexplode_outer("p").alias(place, value)).where(F.col(place).isNotNull())
+
+
 # Pieces of oracle text.
 ALTS = "CASE WHEN a0 IS NULL THEN 0 WHEN ploidy = 1 THEN (CASE WHEN a0 > 0 THEN 1 ELSE 0 END) ELSE (CASE WHEN a0 > 0 THEN 1 ELSE 0 END) + (CASE WHEN a1 > 0 THEN 1 ELSE 0 END) END"
 SITES = f"""SELECT vid, cidx, chrom, pos, ploidy, ref, alt,
@@ -78,7 +85,7 @@ def _packed(phased):
         low, high = (F.col("a0"), F.col("a1")) if phased else codec.unphase(F.col("a0"), F.col("a1"))
         wide = stats.to_wide(c.where(~F.col("alt").contains(",")).withColumns({"a0": low, "a1": high}))
         packed = wide.select("vid", codec.pack_groups(F.transform("gt", lambda x: x.cast("int")), phased).alias("p"))
-        return packed.select("vid", F.posexplode("p").alias("grp", "packed"))
+        return _numbered(packed, "grp", "packed")
 
     return build
 
@@ -109,7 +116,7 @@ add("group_unpack_phased", "calls", _unpacked, f"SELECT vid, sid, CAST({CODE} AS
 add(
     "two_bit_pack",
     "calls",
-    lambda c: stats.to_wide(c.where(~F.col("alt").contains(","))).select("vid", F.posexplode(codec.pack_two_bits(F.transform("gt", lambda x: x.cast("int")), [0, 0, 1, 3, 2])).alias("word", "bits")),
+    lambda c: _numbered(stats.to_wide(c.where(~F.col("alt").contains(","))).select("vid", codec.pack_two_bits(F.transform("gt", lambda x: x.cast("int")), [0, 0, 1, 3, 2]).alias("p")), "word", "bits"),
     f"""WITH c AS (SELECT vid, {CODE} AS code, row_number() OVER (PARTITION BY vid ORDER BY sid) - 1 AS k FROM calls WHERE alt NOT LIKE '%,%')
  SELECT vid, CAST(floor(k / 16) AS INT) AS word, CAST(sum((CASE code WHEN 2 THEN 1 WHEN 3 THEN 3 WHEN 4 THEN 2 ELSE 0 END) * CAST(pow(4, k % 16) AS BIGINT)) AS BIGINT) AS bits FROM c GROUP BY ALL""",
 )
@@ -174,7 +181,7 @@ add(
 
 
 def _listing(c):
-    counts = stats.genotype_counts(c).groupBy("vid").agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("g")).withColumnRenamed("vid", "v")
+    counts = stats.genotype_counts(c).groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("code", "n"))).alias("g")).withColumnRenamed("vid", "v")
     text = F.array_join(F.transform("g", lambda x: F.concat_ws("=", x["code"].cast("string"), x["n"].cast("string"))), ";")
     head = F.concat(F.lit("AC="), F.col("ac"), F.lit(";AF="), F.format_string("%.8f", "af"), F.lit(";AN="), F.col("an"))
     return stats.site_stats(c).join(counts, F.col("vid") == F.col("v")).select(*K, F.concat_ws(";", head, text).alias("listing"))
