@@ -103,3 +103,17 @@ def test_concat_needs_equal_subjects(spark, calls, tmp_path):
     for other in (b, c):
         with pytest.raises(ValueError):
             table.concat(a, other)
+
+
+def test_lines_stay_where_they_are_read(spark, tmp_path):
+    """Reading joins by broadcast alone; contigs by arrival and replaced tables leave cells alone."""
+    from varloom.plans.catalog import QUERIES
+    from varloom.sources import vcf
+    from varloom.sources.fixtures import derive
+
+    c, v = derive(spark, "/root/testdata/sf0.001", "calls"), derive(spark, "/root/testdata/sf0.001", "variants")
+    vcf.write(vcf.call_lines(c), str(tmp_path / "a.vcf"), vcf.header("r", [("1", 0)], [r.name for r in derive(spark, "/root/testdata/sf0.001", "subjects").orderBy("sid").collect()]), False)
+    plan = vcf.read(spark, str(tmp_path), v.select("chrom", "cidx", "ploidy").distinct())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 3
+    seen = QUERIES["contig_arrival"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in seen and "row" in seen

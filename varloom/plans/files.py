@@ -29,8 +29,9 @@ def folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
-def _known(calls: DataFrame) -> DataFrame:
-    return calls.select("chrom", "cidx", "ploidy").distinct()
+def _known(variants: DataFrame) -> DataFrame:
+    """Contigs, from the sites: there is no need to make all calls for them."""
+    return variants.select("chrom", "cidx", "ploidy").distinct()
 
 
 def _names(subjects: DataFrame) -> list[str]:
@@ -42,18 +43,18 @@ def _vcf(c: DataFrame, s: DataFrame, path: str, compressed: bool) -> None:
     vcf.write(vcf.call_lines(c), path, vcf.header("ref", [("1", 1000), ("X", 0)], _names(s)), compressed)
 
 
-def _back(c, s):
+def _back(c, s, v):
     path = folder(c.sparkSession) + "/a.vcf"
     _vcf(c, s, path, True)
-    return vcf.read(c.sparkSession, path, _known(c)).select(*CELL)
+    return vcf.read(c.sparkSession, path, _known(v)).select(*CELL)
 
 
-def _united(c, s):
+def _united(c, s, v):
     """Two files in a folder and one below it; the second lacks half of the subjects."""
     path = folder(c.sparkSession)
     _vcf(c.where("vid % 2 = 0"), s, f"{path}/a.vcf", True)
     _vcf(c.where("vid % 2 = 1 AND sid < 30"), s.where("sid < 30"), f"{path}/deeper/b.vcf", False)
-    return vcf.read(c.sparkSession, path, _known(c)).select(*CELL)
+    return vcf.read(c.sparkSession, path, _known(v)).select(*CELL)
 
 
 def _stored(c, s) -> table.GenotypeTable:
@@ -65,7 +66,7 @@ def _stored(c, s) -> table.GenotypeTable:
 def _replaced(c, s):
     path = folder(c.sparkSession)
     table.write(c, s, path)
-    table.replace(c.sparkSession, path, lambda old, new: table.write(old.calls().where("chrom <> 'X'"), old.subjects, new, old.properties))
+    table.replace(c.sparkSession, path, lambda old, new: table.write(old.sites.where("chrom <> 'X'"), old.subjects, new, old.properties))
     return table.read(c.sparkSession, path).calls().select("vid", "sid", "a0", "a1")
 
 
@@ -88,8 +89,8 @@ def through_csv(pairs: DataFrame) -> DataFrame:
     return pairs.sparkSession.read.option("header", True).schema(pairs.schema).csv(path)
 
 
-add("vcf_round_trip", "calls subjects", _back, NAMED)
-add("vcf_united", "calls subjects", _united, NAMED.replace("c.a0, c.a1", "CASE WHEN c.vid % 2 = 0 OR c.sid < 30 THEN c.a0 END AS a0, CASE WHEN c.vid % 2 = 0 OR c.sid < 30 THEN c.a1 END AS a1"))
+add("vcf_round_trip", "calls subjects variants", _back, NAMED)
+add("vcf_united", "calls subjects variants", _united, NAMED.replace("c.a0, c.a1", "CASE WHEN c.vid % 2 = 0 OR c.sid < 30 THEN c.a0 END AS a0, CASE WHEN c.vid % 2 = 0 OR c.sid < 30 THEN c.a1 END AS a1"))
 add("table_round_trip", "calls subjects", lambda c, s: _stored(c, s).calls().select("vid", "chrom", "pos", "sid", "a0", "a1"), "SELECT vid, chrom, pos, sid, a0, a1 FROM calls")
 add("table_describe", "calls subjects", lambda c, s: _stored(c, s).describe(), "SELECT count(DISTINCT chrom) AS chroms, count(DISTINCT vid) AS variants, count(DISTINCT sid) AS subjects FROM calls")
 add("table_contig", "calls subjects", lambda c, s: _stored(c, s).chroms("7", "X").calls().select("vid", "sid", "a0", "a1"), "SELECT vid, sid, a0, a1 FROM calls WHERE chrom IN ('7', 'X')")
@@ -109,12 +110,12 @@ add(
     lambda v: select.points(v, lists.positions(v.sparkSession, _text(v.where("vid % 3 = 0").withColumn("value", F.concat_ws(",", "chrom", "pos")), ["vid"], ["# no"]))).select("vid"),
     "SELECT vid FROM variants WHERE (chrom, pos) IN (SELECT (chrom, pos) FROM variants WHERE vid % 3 = 0)",
 )
-add("contig_arrival", "calls subjects", lambda c, s: _arrival(c, s), "SELECT chrom, CAST(row_number() OVER (ORDER BY min(cidx)) AS INTEGER) AS place FROM calls GROUP BY chrom")
+add("contig_arrival", "calls subjects variants", lambda c, s, v: _arrival(c, s, v), "SELECT chrom, CAST(row_number() OVER (ORDER BY min(cidx)) AS INTEGER) AS place FROM calls GROUP BY chrom")
 
 
-def _arrival(c, s):
+def _arrival(c, s, v):
     """Contigs in the order in which a written file has them."""
     path = folder(c.sparkSession) + "/a.vcf"
     _vcf(c, s, path, False)
-    read = vcf.read(c.sparkSession, path, _known(c))
+    read = vcf.read_sites(c.sparkSession, path, _known(v))  # cells are not looked at
     return vcf.deep_contigs(read).select("chrom", F.row_number().over(Window.partitionBy().orderBy("first")).alias("place"))

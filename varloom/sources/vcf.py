@@ -36,19 +36,19 @@ def contigs(text: DataFrame) -> DataFrame:
 def deep_contigs(sites: DataFrame) -> DataFrame:
     """Contigs in order of appearance (``arrival`` of read lines, else the number of the
     site), two copies each, length unknown."""
-    seen = sites.groupBy("chrom").agg(F.min("arrival" if "arrival" in sites.columns else "vid").alias("first"))
+    if "arrival" in sites.columns:
+        # The least of structs would sort all rows; numbers by stretch of a file do not.
+        stretch = sites.groupBy("chrom", F.col("arrival.path").alias("path"), F.col("arrival.block").alias("block")).agg(F.min("arrival.row").alias("row"))
+        seen = stretch.groupBy("chrom").agg(F.min(F.struct("path", "block", "row")).alias("first"))
+    else:
+        seen = sites.groupBy("chrom").agg(F.min("vid").alias("first"))
     return seen.select("chrom", "first", F.lit(2).alias("ploidy"), F.lit(0).cast("long").alias("length"))
 
 
-def read(spark: SparkSession, paths: str | list[str], known: DataFrame) -> DataFrame:
-    """Long calls: ``file``, site columns, ``arrival``, ``qual``, ``info``, ``format``, ``sid``, subject
-    ``name``, ``a0``, ``a1``, ``gq``, ``dp``.  Rows on contigs that ``known`` (chrom, cidx,
-    ploidy) lacks are left out; a ``chr`` prefix goes.
-
-    Subjects of several files are united by name: the file with the most is the master
-    and must have all names of the others.  ``sid`` is the place in the master's list, and
-    calls of subjects that a file lacks are missing.  Every line is a site of its own.
-    """
+def read_sites(spark: SparkSession, paths: str | list[str], known: DataFrame) -> DataFrame:
+    """The lines of :func:`read` before their cells are told apart: ``names`` and ``cells``, arrays
+    of the same length, in place of what is read from cells.  Lines stay where they are read:
+    ``known`` and the lists of subjects, a row a file, are broadcast."""
     text = lines(spark, paths)
     names = headers(text)
     w = F.max(F.struct(F.size("names"), "file", "names"))
@@ -58,15 +58,30 @@ def read(spark: SparkSession, paths: str | list[str], known: DataFrame) -> DataF
     checked = checked.where(F.when(unknown, F.raise_error(F.lit("a file has subjects that the largest file lacks"))).otherwise(F.lit(True)))
     body = text.where(~F.col("value").startswith("#") & (F.col("value") != "")).withColumn("f", F.split("value", "\t"))
     # Where each of the master's subjects stands in the file's list, once a file.
-    joined = body.join(checked.withColumn("at", F.transform("_master", lambda n: F.array_position("names", n).cast("int") - 1)), "file")
+    at = F.when(F.col("names") != F.col("_master"), F.transform("_master", lambda n: F.array_position("names", n).cast("int") - 1))
+    joined = body.join(F.broadcast(checked.select("file", "_master", at.alias("at"))), "file")
     chrom = F.regexp_replace(F.col("f")[0], "^chr", "")
     site = joined.select(
         "file", "arrival", "_master", "at", chrom.alias("chrom"), F.col("f")[1].cast("long").alias("pos"), F.col("f")[3].alias("ref"), F.col("f")[4].alias("alt"),
-        F.col("f")[5].alias("qual"), F.col("f")[7].alias("info"), F.get("f", F.lit(8)).alias("format"), F.slice("f", 10, 1 << 24).alias("cells"),
-    ).join(known.select("chrom", "cidx", "ploidy"), "chrom")
-    site = site.withColumn("vid", F.xxhash64("arrival"))
-    held = F.zip_with("_master", "at", lambda name, i: F.struct(name.alias("names"), F.when(i >= 0, F.get("cells", i)).alias("cells")))
-    long = site.select("*", F.posexplode(held).alias("sid", "c"))
+        F.col("f")[5].alias("qual"), F.col("f")[7].alias("info"), F.get("f", F.lit(8)).alias("format"), F.slice("f", F.lit(10), F.size("_master")).alias("cells"),
+    ).join(F.broadcast(known.select("chrom", "cidx", "ploidy")), "chrom")
+    # A file with the master's list has its cells in place already.
+    placed = F.when(F.col("at").isNull(), F.col("cells")).otherwise(F.transform("at", lambda i: F.when(i >= 0, F.get("cells", i))))
+    return site.withColumns({"vid": F.xxhash64("arrival"), "names": F.col("_master"), "cells": placed}).drop("_master", "at")
+
+
+def read(spark: SparkSession, paths: str | list[str], known: DataFrame) -> DataFrame:
+    """Long calls: ``file``, site columns, ``arrival``, ``qual``, ``info``, ``format``, ``sid``, subject
+    ``name``, ``a0``, ``a1``, ``gq``, ``dp``.  Rows on contigs that ``known`` (chrom, cidx,
+    ploidy) lacks are left out; a ``chr`` prefix goes.
+
+    Subjects of several files are united by name: the file with the most is the master
+    and must have all names of the others.  ``sid`` is the place in the master's list, and
+    calls of subjects that a file lacks are missing.  Every line is a site of its own.
+    """
+    # An inner explode would add a filter on the array's size, and so work out the array twice.
+    held = F.posexplode_outer(F.arrays_zip("names", "cells")).alias("sid", "c")
+    long = read_sites(spark, paths, known).select("*", held).where(F.col("sid").isNotNull())
     keys = F.split("format", ":")
     field = lambda key: F.get(F.split("c.cells", ":"), F.array_position(keys, key).cast("int") - 1)
     number = lambda key: F.when(F.array_position(keys, key) > 0, F.floor(F.when(field(key).rlike(r"^[0-9]+([.][0-9]+)?$"), field(key).cast("double"))).cast("int"))
@@ -91,10 +106,14 @@ def site_lines(calls: DataFrame) -> DataFrame:
 
 def call_lines(calls: DataFrame, phased: bool = True, with_info: bool = True) -> DataFrame:
     """Full lines, samples in order of sid."""
-    cell = F.struct("sid", codec.text(F.col("a0"), F.col("a1"), F.col("ploidy"), phased).alias("t"))
-    s = calls.groupBy(*stats.SITE).agg(stats.ac().alias("ac"), stats.an().alias("an"), F.array_sort(F.collect_list(cell)).alias("cells"))
+    # A cell travels as one number, as in ``stats.to_wide``, and its text is looked up a row.
+    code = codec.encode(F.col("a0"), F.when(F.col("ploidy") == 1, F.col("a0")).otherwise(F.col("a1")))
+    cell = F.shiftleft(F.col("sid").cast("long"), 8).bitwiseOR(code.cast("long"))
+    s = calls.groupBy(*stats.SITE).agg(stats.ac().alias("ac"), stats.an().alias("an"), F.sort_array(F.collect_list(cell)).alias("cells"))
     info = info_field(F.col("ac"), F.col("an")) if with_info else None
-    return s.select("vid", "cidx", "pos", F.concat_ws("\t", *site_columns(info), F.lit("GT"), F.array_join(F.transform("cells", lambda c: c["t"]), "\t")).alias("line"))
+    texts = lambda ploidy: F.transform("cells", lambda c: F.get(codec.texts(ploidy, phased), c.bitwiseAND(255).cast("int")))
+    cells = F.array_join(F.when(F.col("ploidy") == 1, texts(1)).otherwise(texts(2)), "\t")
+    return s.select("vid", "cidx", "pos", F.concat_ws("\t", *site_columns(info), F.lit("GT"), cells).alias("line"))
 
 
 def header(reference: str, contig_rows: list[tuple[str, int]], names: list[str], with_calls: bool = True) -> list[str]:
@@ -109,6 +128,7 @@ def header(reference: str, contig_rows: list[tuple[str, int]], names: list[str],
 def write(lines_: DataFrame, path: str, head: list[str], compressed: bool = True) -> None:
     """A folder of part files in coordinate order, the header first."""
     spark = lines_.sparkSession
-    body = lines_.orderBy("cidx", "pos", "vid").select("line")
+    # Dealt out first: ordering looks at all lines twice, and would make them twice.
+    body = lines_.repartition("cidx", "pos", "vid").orderBy("cidx", "pos", "vid").select("line")
     top = spark.createDataFrame([(h,) for h in head], "line string").coalesce(1)
     top.unionByName(body).write.option("compression", "gzip" if compressed else "none").text(path)
