@@ -69,8 +69,9 @@ def to_wide(calls: DataFrame, keys: list[str] = SITE) -> DataFrame:
 
 
 def to_long(wide: DataFrame, keys: list[str] = SITE) -> DataFrame:
-    cell = F.explode(F.arrays_zip("sids", "gt")).alias("c")
-    out = wide.select(*keys, cell).select(*keys, F.col("c.sids").alias("sid"), codec.decode(F.col("c.gt").cast("int")).alias("g"))
+    # An inner explode would add a filter on the array's size, and so work out the cells twice.
+    cell = F.explode_outer(F.arrays_zip("sids", "gt")).alias("c")
+    out = wide.select(*keys, cell).where(F.col("c").isNotNull()).select(*keys, F.col("c.sids").alias("sid"), codec.decode(F.col("c.gt").cast("int")).alias("g"))
     return out.select(*keys, "sid", "g.a0", "g.a1")
 
 

@@ -48,7 +48,7 @@ def write(calls: DataFrame, subjects: DataFrame, path: str, properties: Properti
     """Sites by contig and position; row groups then have narrow position ranges, so a
     range reads only the files and groups it meets."""
     spark = calls.sparkSession
-    wide = blocks.form(stats.to_wide(calls), properties.block_size)
+    wide = blocks.form(stats.wide(calls), properties.block_size)  # stored rows go in as they are
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = wide.repartitionByRange(parts, "cidx", "pos").sortWithinPartitions("cidx", "pos", "vid")
     ranged.write.mode(mode).option("compression", properties.codec).partitionBy("chrom").parquet(f"{path}/{DATA}")
