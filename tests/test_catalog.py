@@ -40,3 +40,17 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLE_SQL) <= set(__spark_entry__.oracle_sql())
+
+
+def test_listing_reads_calls_once(spark, connection, tmp_path):
+    """One pass over calls, no join of its results; null and repeated keys as the SQL has them."""
+    connection.execute(f"COPY (SELECT * FROM part UNION ALL SELECT * REPLACE (NULL AS p_partkey) FROM part WHERE p_partkey = 3 UNION ALL SELECT * FROM part WHERE p_partkey = 7) TO '{tmp_path}/part.parquet'")
+    connection.execute(f"COPY supplier TO '{tmp_path}/supplier.parquet'")
+    df = QUERIES["site_listing_gt"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("NestedLoopJoin") == 1
+    odd = duckdb.connect()
+    for name in ("part", "supplier"):
+        odd.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    expected = odd.execute(f"SELECT vid, chrom, pos, listing FROM ({ORACLE_SQL['site_listing_gt']})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(expected)
