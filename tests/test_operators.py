@@ -107,6 +107,24 @@ def test_unphased_join(spark):
         assert cell == fold_unphased(renamed), c
 
 
+def test_folds_look_codes_up(spark):
+    """Folding works out no code per cell, and gives what the plain forms give for all codes."""
+    from varloom.functions import codec
+
+    wide = stats.to_wide(calls(spark, [(1, 10, "A", "C", [(0, 1)]), (2, 10, "A", "G", [(1, 1)])]))
+    for phased in (True, False):
+        assert "SQRT" not in reshape.join_multiallelic(wide, phased)._jdf.queryExecution().optimizedPlan().toString()
+    codes = spark.range(226).select(F.col("id").cast("smallint").alias("x"))
+    g = lambda c: codec.decode(c.cast("int"))
+    fold = codes.crossJoin(codes.withColumnRenamed("x", "y")).select(g(F.col("x")).alias("x"), g(F.col("y")).alias("y"), g(reshape._fold(F.col("x"), F.col("y"))).alias("p"), g(reshape._fold_unphased(reshape._alone(F.col("x")), F.col("y"))).alias("u"))
+    cell = lambda r: None if r.a0 is None else (r.a0, r.a1)
+    rows = [tuple(map(cell, r)) for r in fold.collect()]
+    assert len(rows) == 226 * 226
+    for x, y, p, u in rows:
+        assert u == fold_unphased([x, y]), (x, y)
+        assert p == (tuple(a or b for a, b in zip(x, y)) if x and y else x or y), (x, y)
+
+
 def test_too_many_alleles(spark):
     sites = [(k, 10, "A", "A" * (k + 2), [(1, 1)]) for k in range(15)]
     with pytest.raises(Exception, match="more alleles"):

@@ -30,6 +30,33 @@ def decode(code: Column) -> Column:
     return F.struct(i.cast("int").alias("a0"), j.cast("int").alias("a1"))
 
 
+def _numbers(values: list[int]) -> Column:
+    # One literal, folded by the optimizer: hundreds of them would slow down every plan.
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+
+def by_code(value: Callable[[int, int], int]) -> Column:
+    """``value`` of the alleles of each code, and -1 for a missing cell, as an array.  For the
+    cells of wide rows: a look-up costs a fraction of :func:`decode`, which they would interpret."""
+    out = [-1] * (MOST_ALLELES**2 + 1)
+    for i in range(MOST_ALLELES):
+        for j in range(MOST_ALLELES):
+            out[(i + 1) ** 2 - j if i >= j else j**2 + i + 1] = value(i, j)
+    return _numbers(out)
+
+
+def sides(code: Column) -> tuple[Column, Column]:
+    """The alleles of a wide row's cell by look-up; -1 for a missing one."""
+    return F.get(by_code(lambda i, j: i), code.cast("int")), F.get(by_code(lambda i, j: j), code.cast("int"))
+
+
+def encoded(i: Column, j: Column) -> Column:
+    """:func:`encode` by look-up."""
+    n = range(MOST_ALLELES)
+    codes = _numbers([(a + 1) ** 2 - b if a >= b else b**2 + a + 1 for a in n for b in n])
+    return F.coalesce(F.get(codes, i * MOST_ALLELES + j), F.lit(0))
+
+
 def unphase(a0: Column, a1: Column) -> tuple[Column, Column]:
     missing = a0.isNull() | a1.isNull()
     return F.when(~missing, F.least(a0, a1)), F.when(~missing, F.greatest(a0, a1))
@@ -42,8 +69,8 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
 
 def used(gt: Column) -> Column:
     """The indices of alleles that some cell of a wide row holds, rising."""
-    held = F.transform(F.filter(F.array_distinct(gt), lambda c: c != 0), lambda c: decode(c.cast("int")))
-    return F.sort_array(F.array_distinct(F.flatten(F.transform(held, lambda g: F.array(g["a0"], g["a1"])))))
+    held = F.transform(F.filter(F.array_distinct(gt), lambda c: c != 0), lambda c: F.array(*sides(c)))
+    return F.sort_array(F.array_distinct(F.flatten(held)))
 
 
 def recode(gt: Column, old: Column, new: Column) -> Column:
@@ -52,9 +79,8 @@ def recode(gt: Column, old: Column, new: Column) -> Column:
 
     def table(at: Column) -> Column:
         def code(c: Column) -> Column:
-            g = decode(c)
-            i, j = F.get(at, g["a0"]), F.get(at, g["a1"])
-            return F.when((c == 0) | (i < 0) | (j < 0), F.lit(0)).otherwise(encode(i, j)).cast("smallint")
+            i, j = (F.get(at, a) for a in sides(c))
+            return F.when((c == 0) | (i < 0) | (j < 0), F.lit(0)).otherwise(encoded(i, j)).cast("smallint")
 
         return F.transform(F.sequence(F.lit(0), F.size(at) * F.size(at)), code)
 

@@ -53,24 +53,23 @@ def split_biallelic(calls: DataFrame) -> DataFrame:
 def _fold(x: Column, y: Column) -> Column:
     """Two codes of a subject, phased: each side keeps the first allele that is not the
     reference.  A missing cell gives way to the other."""
-    a, b = codec.decode(x), codec.decode(y)
-    side = lambda k: F.when(a[k] > 0, a[k]).otherwise(b[k])
-    return F.when((x == 0) | (x == 1) & (y != 0), y).when((y == 0) | (y == 1), x).otherwise(codec.encode(side("a0"), side("a1")))
+    first = (F.when(a > 0, a).otherwise(b) for a, b in zip(codec.sides(x), codec.sides(y)))
+    return F.when((x == 0) | (x == 1) & (y != 0), y).when((y == 0) | (y == 1), x).otherwise(codec.encoded(*first))
 
 
 def _fold_unphased(x: Column, y: Column) -> Column:
     """Unphased: the left, then the right of ``y`` goes to the first side of ``x`` that still
-    is the reference."""
-    a, b = codec.decode(x), codec.decode(y)
-    leading = F.when(b["a0"] == 0, b["a1"]).otherwise(b["a0"])
-    right = F.when(a["a0"] > 0, F.when(a["a1"] == 0, leading).otherwise(a["a1"])).otherwise(F.when(b["a0"] == 0, a["a1"]).otherwise(b["a1"]))
-    return F.when(y == 0, x).when(x == 0, _alone(y)).otherwise(codec.encode(F.when(a["a0"] > 0, a["a0"]).otherwise(leading), right))
+    is the reference.  ``x`` is what :func:`_alone` or this gave: its left is the reference only
+    if its right is."""
+    free = F.get(codec.by_code(lambda i, j: i if i and not j else -1), x.cast("int"))  # the left, where the right is free
+    leading = F.get(codec.by_code(lambda i, j: i or j), y.cast("int"))
+    return F.when(y == 0, x).when((x == 0) | (x == 1), _alone(y)).when(free < 0, x).otherwise(codec.encoded(free, leading))
 
 
 def _alone(code: Column) -> Column:
     """The first cell of an unphased fold: a reference on the left goes to the right."""
-    g = codec.decode(code)
-    return F.when((code > 1) & (g["a0"] == 0), codec.encode(g["a1"], g["a0"])).otherwise(code)
+    turned = codec.by_code(lambda i, j: (j + 1) ** 2 if i == 0 else (i + 1) ** 2 - j if i >= j else j**2 + i + 1)
+    return F.when(code == 0, code).otherwise(F.get(turned, code.cast("int")))
 
 
 def join_multiallelic(calls: DataFrame, phased: bool = True, most: int = codec.MOST_ALLELES) -> DataFrame:
